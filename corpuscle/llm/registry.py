@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash, tokenfile
 
 
 def queries() -> dict:
-    return {"op6_simhash_near_dedup": simhash.op6}
+    return {
+        "op2_token_files": tokenfile.op2,
+        "op5_bpe_codec": bpe.op5,
+        "op6_simhash_near_dedup": simhash.op6,
+    }
 
 
 def oracle_sql() -> dict:
