@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, tokenfile
+from . import bpe, lm, simhash, tokenfile
 
 
 def queries() -> dict:
     return {
         "op2_token_files": tokenfile.op2,
+        "op3_lm_scores": lm.op3,
         "op5_bpe_codec": bpe.op5,
         "op6_simhash_near_dedup": simhash.op6,
     }
