@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, simhash, tokenfile
+from . import bpe, embedding, lm, simhash, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": embedding.op1,
         "op2_token_files": tokenfile.op2,
         "op3_lm_scores": lm.op3,
         "op5_bpe_codec": bpe.op5,
