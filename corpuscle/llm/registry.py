@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, langid, linededup, lm, simhash, tokenfile, toxicity
+from . import bpe, decontaminate, embedding, langid, linededup, lm, simhash, tokenfile, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_lm_scores": lm.op3,
         "op5_bpe_codec": bpe.op5,
         "op6_simhash_near_dedup": simhash.op6,
+        "op7_decontamination": decontaminate.op7,
         "op8_language_id": langid.op8,
         "op9_line_dedup": linededup.op9,
         "op10_toxicity": toxicity.op10,
