@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embedding, langid, linededup, lm, simhash, tokenfile, toxicity
+from . import bpe, decontaminate, embedding, langid, license, linededup, lm, simhash, tokenfile, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_embedding_near_dedup": embedding.op1,
         "op2_token_files": tokenfile.op2,
         "op3_lm_scores": lm.op3,
+        "op4_license_scan": license.op4,
         "op5_bpe_codec": bpe.op5,
         "op6_simhash_near_dedup": simhash.op6,
         "op7_decontamination": decontaminate.op7,
