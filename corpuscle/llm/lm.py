@@ -99,6 +99,11 @@ def count_words(texts: DataFrame, distinct: int = Params.distinct) -> DataFrame:
     return texts.mapInArrow(_count(distinct), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequency() -> Column:
+    """Steps of a sixteenth of a doubling of the count."""
+    return F.floor(F.log2("n") * 16)
+
+
 @dataclass
 class Vocabulary:
     """What scoring needs of the counts; arrays are by known word or by class."""
@@ -110,6 +115,7 @@ class Vocabulary:
     distinct: int  # V, the end included
     class_count: np.ndarray
     group_size: np.ndarray  # log10 of N_group + V_group + 1
+    cut: int  # words in higher steps of frequency() are known
 
     @classmethod
     def of(cls, counts: DataFrame, p: Params) -> Vocabulary:
@@ -120,15 +126,22 @@ class Vocabulary:
         for g, n, v in groups.collect():  # at most p.groups rows
             n_group[g], v_group[g] = n, v
         tokens, distinct = int(n_group.sum()) + docs, int(v_group.sum()) + (docs > 0)
-        top = words.orderBy(F.desc("n"), "word").limit(p.known).collect()
-        own = [bytes(r.word) for r in top]
-        count = np.array([r.n for r in top], np.int64)
+        # The steps of a log scale, a bounded number, tell which words are the most frequent.
+        steps = sorted(map(tuple, words.groupBy(frequency().alias("step")).count().collect()), reverse=True)
+        cut, held = 1 << 20, 0
+        for step, k in steps:
+            if held + k > p.known:
+                break
+            cut, held = step - 1, held + k
+        top = sorted(((r.n, bytes(r.word)) for r in words.filter(frequency() > cut).collect()), key=lambda r: (-r[0], r[1]))
+        own = [w for _, w in top]
+        count = np.array([n for n, _ in top], np.int64)
         for w, n in zip(own[: p.frequent], count[: p.frequent].tolist(), strict=True):
             n_group[group_of(w, p.groups)] -= n
             v_group[group_of(w, p.groups)] -= 1
         first = np.zeros(p.frequent, np.int64)
         first[: min(p.frequent, len(count))] = count[: p.frequent]
-        return cls(p, own, count, tokens, distinct, np.concatenate([first, n_group, [docs]]), np.log10(n_group + v_group + 1.0))
+        return cls(p, own, count, tokens, distinct, np.concatenate([first, n_group, [docs]]), np.log10(n_group + v_group + 1.0), cut)
 
     def classes(self) -> np.ndarray:
         """Class of each known word."""
@@ -360,9 +373,7 @@ def score_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa
     schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<int>"
     found = materialize(rows.mapInArrow(_score(shared, p), schema))
     pairs = found.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    # A word that isn't broadcast has at most the last broadcast word's count.
-    least = int(v.counts[-1]) if len(v.words) >= p.known else 0
-    rest = counts.filter(F.col("word").isNotNull() & (F.col("n") <= least)) if least else counts.filter("false")
+    rest = counts.filter(F.col("word").isNotNull() & (frequency() <= v.cut))
     sums = pairs.join(rest, "word").groupBy("uid").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs"))
     more = F.coalesce("logs", F.lit(0.0))
     return found.join(sums, "uid", "left").select(

@@ -63,7 +63,7 @@ def test_group_in_sql_is_group_in_python(spark):
 
 def test_nce_learns_a_transition():
     p = lm.Params(frequent=6, groups=1, dim=4, noise=16, batch=64)
-    v = lm.Vocabulary(p, [], np.array([]), 0, 0, np.full(p.classes, 100), np.zeros(1))
+    v = lm.Vocabulary(p, [], np.array([]), 0, 0, np.full(p.classes, 100), np.zeros(1), 0)
     t = lm.Trainer(lm.initial(v), v.unigram(), p, 0)
     seq = np.tile(np.arange(6), 3000).astype(np.int16)
     x1, x2 = lm.contexts(seq, p.end)
