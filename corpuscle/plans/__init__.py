@@ -1,0 +1,16 @@
+"""Named queries and their SQL."""
+
+from __future__ import annotations
+
+from . import documents
+from .catalog import QUERIES, SQL
+
+__all__ = ["all_queries", "all_sql", "documents"]
+
+
+def all_queries() -> dict:
+    return QUERIES
+
+
+def all_sql() -> dict[str, str]:
+    return SQL
