@@ -151,12 +151,10 @@ def without_stop_words(c: str | Column) -> Column:
     return F.when(kept == "", col(c)).otherwise(kept)
 
 
-def word_ngrams(tokens: Column, most: int) -> Column:
-    """All runs of 1 to `most` tokens, joined by single spaces; needs no shuffle."""
-
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-        found = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        return F.when(F.size(tokens) >= n, found).otherwise(F.array().cast("array<string>"))
-
-    return F.flatten(F.array(*(of(n) for n in range(1, most + 1))))
+def word_ngrams(tokens: str, most: int) -> Column:
+    """All runs of 1 to `most` of a column of tokens, joined by single spaces; needs no shuffle."""
+    c, grams = F.col(tokens), [F.col(tokens)]
+    for n in range(2, most + 1):
+        size = F.greatest(F.size(c) - (n - 1), F.lit(0))
+        grams.append(F.zip_with(F.slice(grams[-1], F.lit(1), size), F.slice(c, F.lit(n), size), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.flatten(F.array(*grams))

@@ -1,8 +1,8 @@
 """Tagging text with the dictionary entries that it mentions.
 
-A term matches where its tokens stand between single spaces. The plan is an equi-join of the
-text's n-grams with the terms, which hashes; `contains` compares every pair and is kept as a
-check and for tiny dictionaries; `regex` has word boundaries.
+A term matches where its tokens stand between single spaces. The plan is an equi-join of a
+text's distinct n-grams with the terms, so only keys and n-grams travel; `contains` compares
+every pair and is kept as a check and for tiny dictionaries; `regex` has word boundaries.
 """
 
 from __future__ import annotations
@@ -21,17 +21,21 @@ def terms(dictionary: DataFrame) -> DataFrame:
     return last.withColumn("n_tokens", F.size(F.split("term", " ", -1)))
 
 
-def tag(df: DataFrame, key: str, text: str, dictionary: DataFrame, longest: int = 3, mode: str = "ngram") -> DataFrame:
+def tag(df: DataFrame, key: str, text: str, dictionary: DataFrame, mode: str = "ngram", most: int = 100_000) -> DataFrame:
     """(key, dict_name, mentions): sorted distinct canonical names; rows without a mention are left out.
 
-    mode: 'ngram' (terms of at most `longest` tokens), 'contains' or 'regex'. The dictionary's
-    size decides whether the optimizer broadcasts it.
+    mode: 'ngram', 'contains' or 'regex'. A dictionary of at most `most` terms is broadcast; a
+    larger one is joined by shuffle.
     """
     own = terms(dictionary)
+    size = own.agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).first()
+    own = F.broadcast(own) if size.n <= most else own
     padded = F.concat(F.lit(" "), F.lower(col(text)), F.lit(" "))
     if mode == "ngram":
-        grams = df.select(key, F.explode(F.array_distinct(word_ngrams(F.split(F.lower(col(text)), " ", -1), longest))).alias("term"))
-        hits = grams.join(own.filter(F.col("n_tokens") <= longest), "term")
+        # The generator keeps the tokens a column: inlined, they would be split again for each use.
+        rows = df.select(key, F.explode(F.array(F.split(F.lower(col(text)), " ", -1))).alias("__tokens"))
+        grams = rows.select(key, F.explode(F.array_distinct(word_ngrams("__tokens", size.longest or 1))).alias("term"))
+        hits = grams.join(own, "term")
     elif mode == "contains":
         hits = df.select(key, padded.alias("__t")).join(own, F.expr("contains(__t, concat(' ', term, ' '))"))
     else:

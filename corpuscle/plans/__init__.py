@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents
+from . import documents, pages, tables, vectors
 from .catalog import QUERIES, SQL
 
-__all__ = ["all_queries", "all_sql", "documents"]
+__all__ = ["all_queries", "all_sql", "documents", "pages", "tables", "vectors"]
 
 
 def all_queries() -> dict:
