@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_NAME = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)$", 1)
-
 
 def whole_texts(spark: SparkSession, path: str, pattern: str = "*.txt", recursive: bool = False) -> DataFrame:
     """(file_name, text): one row a file, UTF-8."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    return reader.text(path).select(_NAME.alias("file_name"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
