@@ -36,7 +36,7 @@ def histogram(df: DataFrame, value: Column, edges: list[int]) -> DataFrame:
     """(bucket, n) of half-open ranges between the edges; from the last edge on is one bucket."""
     bucket = F.lit(0)
     for k, e in enumerate(edges[1:], 1):
-        bucket = F.when(value >= e, k).otherwise(bucket) if k == 1 else F.when(value >= e, k).otherwise(bucket)
+        bucket = F.when(value >= e, k).otherwise(bucket)
     return df.select(bucket.cast("long").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 

@@ -212,3 +212,32 @@ def scalar_text(spark, sf_dir):
     """Word counts, token estimates and file names of every document."""
     name = F.translate(F.substring("text", 1, 40), " /", "__")
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("tokens"), T.word_count("text").alias("words"), name.alias("name"))
+
+
+@query(f"SELECT 'book_' || lpad(CAST(doc_id % 15 AS VARCHAR), 2, '0') || '_ch_' || lpad(CAST(doc_id % 97 AS VARCHAR), 2, '0') || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), 3, '0') AS chunk_id, doc_id, text FROM ({PACK_SQL})")
+def chunk_ids(spark, sf_dir):
+    """Packed chunks with ids of a fixed format."""
+    rows = chunk_pack(spark, sf_dir)
+    return rows.select(T.chunk_id(F.col("doc_id") % 15, F.col("doc_id") % 97, F.col("chunk_index")).alias("chunk_id"), "doc_id", "text")
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (length(text) > 2048) AS over, round(avg(CASE WHEN length(text) // 4 > 512 THEN 1.0 ELSE 0.0 END), 6) AS share_over,
+CAST(sum(length(text)) // count(*) AS BIGINT) AS floor_avg, max(length(text)) > 7680 AS any_oversized FROM documents GROUP BY lang""")
+def size_by_type(spark, sf_dir):
+    """Conditional counts, floor averages and any() by type."""
+    n, docs = F.length("text"), table(spark, sf_dir, "documents")
+    over = F.avg((T.token_estimate("text") > 512).cast("double"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(n > 2048).alias("over"), F.round(over, 6).alias("share_over"), F.floor(F.sum(n) / F.count("*")).cast("long").alias("floor_avg"), F.bool_or(n > 7680).alias("any_oversized"))
+
+
+@query("""SELECT conv_id, count(*) AS n_turns, array_to_string(list(role ORDER BY turn), ',') AS roles, max(turn) - min(turn) + 1 <> count(*) AS gaps, count(*) FILTER (length(text) < 50) AS short FROM conversations GROUP BY conv_id""")
+def chapter_verification(spark, sf_dir):
+    """Structure checks by parent: order, gaps, short parts."""
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), roles.alias("roles"), (F.max("turn") - F.min("turn") + 1 != F.count("*")).alias("gaps"), F.count_if(F.length("text") < 50).alias("short"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def first_rows(spark, sf_dir):
+    """The first hundred rows by position, as a look at a table."""
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(100)
