@@ -57,17 +57,31 @@ def _folded() -> np.ndarray:
     return out
 
 
-def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points as compared, and the place of each in the text."""
+def _kept(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points as compared but for their number, and which of them stay."""
     a = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     table = _folded()
-    a = np.where(a < len(table), table[np.minimum(a, len(table) - 1)], 0x20).astype(np.uint32)
+    if len(a) and a.max() >= len(table):
+        a = np.where(a < len(table), table[np.minimum(a, len(table) - 1)], np.uint32(0x20))
+    else:
+        a = table[a]
     space = a == 0x20
-    keep = ~(space & np.concatenate([[True], space[:-1]]))
-    at = np.flatnonzero(keep)
-    if len(at) and a[at[-1]] == 0x20:
-        at = at[:-1]
-    return a[at], at
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # of spaces in a row the first stays, except at the start
+    if len(a) and (ends := len(a) - int(np.argmax(~space[::-1]))) < len(a):
+        keep[ends if not space.all() else 0 :] = False
+    return a, keep
+
+
+def fold(text: str) -> np.ndarray:
+    """Code points as compared."""
+    a, keep = _kept(text)
+    return a[keep]
+
+
+def places(text: str) -> np.ndarray:
+    """The place in the text of each code point of :func:`fold`."""
+    return np.flatnonzero(_kept(text)[1])
 
 
 def grams(a: np.ndarray, q: int) -> np.ndarray:
@@ -99,7 +113,7 @@ class Index:
         self.p, self.items, starts = p, [], []
         self.patterns: list[np.ndarray] = []
         for item, text in items:
-            a, _ = fold(text or "")
+            a = fold(text or "")
             if len(a) < p.q:
                 continue  # too short to tell from other text
             last = max(0, len(a) - p.pattern)
@@ -157,8 +171,11 @@ class Index:
             ok = b >= 0
             keys.append(((which[ok] << 34) + b[ok] << 7) + place[ok])
         # A q-gram of the pattern counts once in a band, however often the document repeats it.
-        own = np.unique(np.concatenate(keys)) >> 7
-        cell, n = np.unique(own, return_counts=True)
+        own = np.concatenate(keys)
+        own.sort()
+        own = own[np.append(True, own[1:] != own[:-1])] >> 7
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        cell, n = own[first], np.diff(np.append(first, len(own)))
         pattern = cell >> 34
         good = n >= self.bounds[pattern]
         return set(zip(pattern[good].tolist(), (cell[good] & ((1 << 34) - 1)).tolist(), strict=True))
@@ -204,10 +221,10 @@ class Index:
     def search(self, texts: list[str]) -> list[list[tuple]]:
         """For each text its (item_id, patterns found, least edits, begin, end); offsets in the text."""
         folded = [fold(t) for t in texts]
-        sizes = np.array([len(a) + 1 for a, _ in folded], np.int64)
+        sizes = np.array([len(a) + 1 for a in folded], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         stream = np.zeros(int(starts[-1]), np.uint32)  # texts end in a character that no pattern has
-        for (a, _), s in zip(folded, starts, strict=False):
+        for a, s in zip(folded, starts, strict=False):
             stream[s : s + len(a)] = a
         out: list[list[tuple]] = [[] for _ in texts]
         if not self.patterns or not len(stream):
@@ -221,7 +238,7 @@ class Index:
             doc = int(np.searchsorted(starts, begin, "right")) - 1
             by.setdefault((doc, self.items[pattern]), []).append((pattern, begin, end, edits))
         for (doc, item), own in sorted(by.items(), key=lambda x: (x[0][0], str(x[0][1]))):
-            at, s = folded[doc][1], int(starts[doc])
+            at, s = places(texts[doc]), int(starts[doc])
             first, last = max(0, min(o[1] for o in own) - s), min(max(o[2] for o in own) - s, len(at))
             out[doc].append((item, len({o[0] for o in own}), min(o[3] for o in own), int(at[first]), int(at[last - 1]) + 1))
         return out

@@ -38,7 +38,7 @@ def prose(r, n):
 def brute(docs, items):
     out = set()
     for i, text in docs:
-        own = "".join(map(chr, d.fold(text or "")[0]))
+        own = "".join(map(chr, d.fold(text or "")))
         for item, passage in items:
             index = d.Index([(item, passage)], P)
             if any(distance_in("".join(map(chr, x)), own) <= k for x, k in zip(index.patterns, index.edits, strict=True)):
@@ -46,6 +46,14 @@ def brute(docs, items):
     return out
 
 
+def test_folding():
+    for text in ("", " ", " !\n ", "  A  b-C!! ", "x", "É  ß ", " ٣", "\U00030001 a"):
+        want = " ".join("".join(c if c.isalnum() and ord(c) < 0x30000 else " " for c in text).split()).lower()
+        assert "".join(map(chr, d.fold(text))) == want
+        at = d.places(text)
+        assert len(at) == len(want) and all(text[k].lower() == w or w == " " for k, w in zip(at, want, strict=True))
+
+
 def test_lemma_bound_is_positive():
     for m in range(P.q, P.pattern + 1):
         assert P.edits(m) >= 0 and P.bound(m) >= 1
