@@ -34,7 +34,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Params:
-    sample: int = 6000  # labelled rows the machines are fitted on, shared out evenly over the languages
+    sample: int = 3000  # labelled rows the machines are fitted on, shared out evenly over the languages
     languages: int = 200  # at most so many, the most frequent
     bits: int = 12  # hashed features: 2**bits for trigrams, a quarter for bigrams
     ridge: float = 1e-4
