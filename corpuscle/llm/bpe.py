@@ -4,9 +4,10 @@ A byte pair that no vocabulary token contains can't be inside a token, so every
 one occurs is a certain cut. Text is cut at such pairs and the fragments are encoded
 independently and concatenated. Two levels of cuts are used:
 
-1. before ASCII white space that follows something else. That pair is in no token, and the
-   pre-tokenizer's pattern can't look across it, so a fragment (white space, then a word)
-   means the same wherever it stands. Texts with other white space skip this level.
+1. before ASCII white space that follows something else, and before a sign that follows a
+   Latin letter. Those pairs are in no token, and the pre-tokenizer's pattern can't look
+   across them, so a fragment (white space, then a word) means the same wherever it stands.
+   Texts with other white space skip this level.
 2. inside each piece of the pre-tokenizer, at every remaining pair that no token contains.
 
 A fragment's ids are remembered as packed bytes in a bounded table, so a text's ids are one
@@ -29,8 +30,9 @@ from pyspark.sql import DataFrame
 
 from .common import raw_text, slices
 
-#: Fragments that a worker remembers, at about 200 bytes each. More are encoded anew, none dropped.
-REMEMBERED = 400_000
+#: Fragments that a worker remembers in each of two generations, at about 200 bytes each.
+#: What is forgotten is encoded anew; nothing is dropped.
+REMEMBERED = 500_000
 #: White space of either Unicode or Python that isn't in ASCII's 9 to 13 and 32.
 OTHER_SPACE = re.compile(
     "["
@@ -39,7 +41,10 @@ OTHER_SPACE = re.compile(
     )
     + "]"
 )
-FRAGMENT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: A fragment: white space, then a Latin word up to white space or a sign, or else all up to white space.
+FRAGMENT = re.compile(
+    f"[ \\t-\\r]*[A-Za-z{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0xFF)}]+(?=[,.;:!?| \\t-\\r]|\\Z)|[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+"
+)
 #: The byte-level pre-tokenizer's pattern (a fixed value of the file format).
 _PIECE = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -53,6 +58,31 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_CUT = re.compile(r"\S[ \t-\r]")
+
+
+def parts(text: str, size: int = 1 << 19) -> Iterator[str]:
+    """The whole text in parts, cut only where ASCII white space follows something else."""
+    start, n = 0, len(text)
+    while start < n:
+        cut = _CUT.search(text, start + size) if start + size < n else None
+        end = cut.start() + 1 if cut else n
+        yield text[start:end]
+        start = end
+
+
+class Memory:
+    """Ids by fragment, in two generations: when the young one is full, it replaces the old one."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.young, self.old = most, {}, {}
+
+    def settle(self) -> None:
+        """After a batch: long fragments aren't kept, a full generation grows old."""
+        if len(self.young) >= self.most:
+            self.old, self.young = {f: x for f, x in self.young.items() if len(f) <= 64}, {}
+
+
 class Codec:
     """Encoder and decoder of one byte-level tokenizer file."""
 
@@ -79,10 +109,11 @@ class Codec:
         self._merge = tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         #: The byte pairs that some token contains; every other pair is a certain cut.
         self.inside = {t[k : k + 2] for t in ranks for k in range(len(t) - 1)}
-        space = set(b" \t\n\r\x0b\x0c")
+        space, signs = set(b" \t\n\r\x0b\x0c"), set(b",.;:!?|")
+        letter = lambda b: b < 0x80 and chr(b).isalpha()
         # From byte 0x80 on, only white-space runs that level 1 leaves out hold such a pair in one piece.
-        self.spaces_cut = not any(b in space and a not in space and a < 0x80 for a, b in self.inside)
-        self._words: dict[str, bytes] = {}
+        self.level_1 = not any(b in space and a not in space and a < 0x80 or b in signs and letter(a) for a, b in self.inside)
+        self._memory = Memory()
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def forced(self, piece: bytes) -> list[bytes]:
@@ -91,21 +122,26 @@ class Codec:
         cuts += [k for k in range(1, len(piece)) if piece[k - 1 : k + 1] not in inside]
         return [piece[a:b] for a, b in zip(cuts, [*cuts[1:], len(piece)], strict=True)] if len(cuts) > 1 else [piece]
 
-    def _encode(self, fragment: str) -> bytes:
+    def _ids(self, fragment: str) -> bytes:
         ranks: list[int] = []
         for piece in _PIECE.findall(fragment):
             for part in self.forced(piece.encode()):
                 ranks += self._merge.encode_single_piece(part)
-        ids = self.ids_of_rank[ranks].tobytes()
-        if len(fragment) <= 64 and len(self._words) < REMEMBERED:
-            self._words[fragment] = ids
+        return self.ids_of_rank[ranks].tobytes()
+
+    def _encode(self, fragment: str) -> bytes:
+        ids = self._memory.young[fragment] = self._ids(fragment)
         return ids
 
     def _plain(self, text: str) -> bytes:
-        if not self.spaces_cut or OTHER_SPACE.search(text):
-            return self._encode(text)
-        words = self._words
-        return b"".join([words.get(f) or self._encode(f) for f in FRAGMENT.findall(text)])
+        if not self.level_1 or OTHER_SPACE.search(text):
+            return self._ids(text)
+        m, encode, out = self._memory, self._encode, []
+        for part in parts(text):
+            m.settle()
+            young, old = m.young.get, m.old.get
+            out.append(b"".join([young(f) or old(f) or encode(f) for f in FRAGMENT.findall(part)]))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; special tokens' strings become their ids."""

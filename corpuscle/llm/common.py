@@ -57,22 +57,28 @@ def raw_text(column: str | Column = "text") -> Column:
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def word_runs(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Words between ASCII white space, A-Z lower-cased, in lists from about `size` bytes each.
-
-    Every text comes whole; only the lists are bounded, so one huge document doesn't
-    become one huge list of objects.
-    """
+def text_runs(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The whole text in parts of about `size` bytes, cut at ASCII white space only."""
     start, n = 0, len(text)
     while start < n:
         end = start + size
         if end < n:
             cut = _SPACE.search(text, end)
             end = cut.start() if cut else n
-        yield text[start:end].lower().split()
+        yield text[start:end]
         start = end
 
 
+def word_runs(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words between ASCII white space, A-Z lower-cased, in lists from about `size` bytes each.
+
+    Every text comes whole; only the lists are bounded, so one huge document doesn't
+    become one huge list of objects.
+    """
+    for part in text_runs(text, size):
+        yield part.lower().split()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that `column` holds about `most` bytes in each; one long value stays whole."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import raw_text, slices
+from .common import raw_text, slices, text_runs
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,7 @@ TEMPLATES = [
 
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 0x80 or b >= 0x80 else 0x20 for b in range(256))
 _NONE = np.uint32(0xFFFFFFFF)
+_LONG = 8 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -135,16 +136,41 @@ class Index:
 
     def scan(self, texts: list[bytes]) -> list[list[tuple]]:
         """For each text (license, template, containment, first_word, n_words) of every template it has."""
-        own = [words_of(t) for t in texts]
+        own, out = [], []
+        for t in texts:
+            if len(t) > _LONG:
+                own.append([])
+                out.append(self._scan_long(t))
+            else:
+                own.append(words_of(t))
+                out.append(None)
+        return [b if a is None else a for a, b in zip(out, self._scan_words(own), strict=True)]
+
+    def _scan_long(self, text: bytes) -> list[tuple]:
+        """A huge text in runs; each also has the words before it that a window may need."""
+        best: dict[int, tuple] = {}
+        over = 2 * self.p.block * 2 ** max(self.levels, default=0) + self.p.shingle
+        tail: list[bytes] = []
+        at = 0
+        for part in text_runs(text):
+            words = tail + words_of(part)
+            for name, t, share, first, n in self._scan_words([words])[0]:
+                hit = (share, -(at + first), n, name)
+                best[t] = max(best.get(t, hit), hit)
+            drop = max(0, len(words) - over)
+            tail, at = words[drop:], at + drop
+        return [(name, t, share, -at, n) for t, (share, at, n, name) in sorted(best.items())]
+
+    def _scan_words(self, own: list[list[bytes]]) -> list[list[tuple]]:
         starts = np.concatenate([[0], np.cumsum([len(w) for w in own])]).astype(np.int64)
         flat = [w for words in own for w in words]
         h = shingle_hashes(self._hashes(flat), self.p.shingle)
         room = np.repeat(starts[1:], np.diff(starts))[: len(h)] - np.arange(len(h))
-        found: list[dict[int, tuple]] = [{} for _ in texts]
+        found: list[dict[int, tuple]] = [{} for _ in own]
         for t, first, last in self.retrieve(h, room >= self.p.shingle):
             name, _, shingles, words = self.templates[t]
             doc = int(np.searchsorted(starts, first, "right")) - 1
-            while doc < len(texts) and starts[doc] < last:  # a window may reach into the next texts
+            while doc < len(own) and starts[doc] < last:  # a window may reach into the next texts
                 a, b = max(first, int(starts[doc])), min(last + self.p.shingle - 1, int(starts[doc + 1]))
                 has = [i for i in range(a, b - self.p.shingle + 1) if tuple(flat[i : i + self.p.shingle]) in shingles]
                 share = len({tuple(flat[i : i + self.p.shingle]) for i in has}) / len(shingles)

@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -315,7 +316,7 @@ def _score(shared, p: Params):
                 base = score = 0.0
                 x1 = x2 = p.end
                 rare: Counter = Counter()
-                for run_ in [*word_runs(text), None]:
+                for run_ in chain(word_runs(text), (None,)):
                     if run_ is None:
                         y, inner = np.array([p.end]), 0.0
                         logs, known = math.log10(end_count + 1), known + (end_count > 0)

@@ -77,3 +77,12 @@ def test_query_against_the_library(spark, sf, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_parts_join_to_the_whole():
+    r = random.Random(8)
+    text = "".join(r.choice(["a", "bc", " ", "\n", "  ", "."]) for _ in range(3000))
+    for size in (1, 7, 100, 10_000):
+        found = list(bpe.parts(text, size))
+        assert "".join(found) == text
+        assert bpe.codec(bpe.default_path()).encode(text) == b"".join(bpe.codec(bpe.default_path()).encode(p) for p in found)

@@ -71,3 +71,14 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id or -1) for r in got) == [-1, 3, 3, 4] and {r.license for r in got} == {"MIT"}
     assert [r.first_word for r in got if r.doc_id == 4] == [200_000]
     assert lic.scan(df.limit(0)).count() == 0 and lic.scan(df, []).count() == 0
+
+
+def test_huge_texts_go_in_runs(monkeypatch):
+    r = random.Random(9)
+    index = lic.Index(lic.TEMPLATES, P)
+    text = (prose(r, 3000) + "\n" + lic.TEMPLATES[0][1] + "\n" + prose(r, 3000) + "\nReleased under the MIT License. " + prose(r, 100)).encode()
+    want = index.scan([text])
+    monkeypatch.setattr(lic, "_LONG", 1000)
+    for size in (700, 5000):
+        monkeypatch.setattr(lic, "text_runs", lambda t, size=size: __import__("corpuscle.llm.common", fromlist=["x"]).text_runs(t, size))
+        assert index.scan([text]) == want and len(want[0]) == 2
