@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale. Sizes (shuffle partitions, memory) belong to the cluster.
@@ -24,3 +30,28 @@ def get_session(app: str = "corpuscle", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. The path may be a file or a folder, on any filesystem Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, wherever the driver found it.
+
+    Nothing to do when PYTHONPATH names its folder; else Spark deals out an archive, once a context.
+    """
+    root, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in on_path or getattr(sc, "_corpuscle_shipped", False):
+        return
+    base = os.path.join(os.path.realpath(tempfile.mkdtemp()), "corpuscle")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "corpuscle"))
+    sc._corpuscle_shipped = True
+
+
+def shipped(query):
+    """A query (spark, ...) that ships the package first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
