@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm import bpe, decontaminate, linededup, simhash, toxicity
 from corpuscle.llm.common import materialize
+from corpuscle.session import shipped
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +35,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("bpe", encode),
+    ("toxicity", shipped(drop_toxic)),
+    ("line_dedup", shipped(drop_repeated_lines)),
+    ("simhash_near_dedup", shipped(drop_near_duplicates)),
+    ("decontamination", shipped(drop_contaminated)),
+    ("bpe", shipped(encode)),
 ]
 
 #: A trained classifier, near-duplicate groups and BPE are beyond SQL; tests hold the stages to brute force.

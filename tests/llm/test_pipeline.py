@@ -39,7 +39,7 @@ def test_stages_against_brute_force(spark, sf):
 
 
 def test_run_is_registered_and_equals_its_stages(spark, sf):
-    assert entry.queries()["pipeline"] is pipe.run and pipe.ORACLE_SQL is None
+    assert entry.queries()["pipeline"].__wrapped__ is pipe.run and pipe.ORACLE_SQL is None
     df = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in pipe.STAGES:
         df = pipe.materialize(stage(spark, df, sf))
