@@ -77,18 +77,18 @@ def chapter_number(c: str | Column) -> Column:
     return F.regexp_extract(col(c), r"(?i)Chapter[_\s]+(\d+)", 1).try_cast("int")
 
 
-#: Steps from wiki markup to plain text, applied in this order.
+#: Steps from wiki markup to plain text, in the order in which they apply.
 MARKUP = [
-    (r"(?s)<ref[^>]*/>|<ref[^>]*>.*?</ref>", ""),
-    (r"\{\{[^{}]*\}\}", ""),
-    (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"),
-    (r"\[\[([^\[\]]*)\]\]", "$1"),
-    (r"\[https?://\S+\s+([^\]]*)\]", "$1"),
-    (r"'''?", ""),
-    (r"<[^>]+>", ""),
-    (r"&nbsp;", " "),
-    (r"&amp;", "&"),
-    (r"&[a-z]+;", ""),
+    (r"(?s)<!--.*?-->", ""),
+    (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"),
+    (r"\[\[([^\]]+)\]\]", "$1"),
+    (r"\[http[^\s]+ ([^\]]+)\]", "$1"),
+    (r"(?i)\[\[File:.*?\]\]", ""),
+    (r"(?i)\[\[Image:.*?\]\]", ""),
+    (r"'{2,}", ""),
+    (r"\{\{[^\}]*\}\}", ""),
+    (r"(?is)<ref[^>]*>.*?</ref>", ""),
+    (r"(?i)<ref[^>]*/?>", ""),
     (r"\s+", " "),
 ]
 
@@ -101,9 +101,9 @@ def clean_markup(c: str | Column) -> Column:
 
 
 def clean_citations(c: str | Column) -> Column:
-    """Without [1], [citation needed] and doubled white space; null when two characters or fewer remain."""
-    out = F.regexp_replace(col(c), r"\[\d+\]|\[citation needed\]|\[edit\]", "")
-    out = strip(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"\s+([.,;:!?])", "$1"))
+    """Without bracketed references and doubled white space; null when two characters or fewer remain."""
+    out = strip(F.regexp_replace(F.regexp_replace(col(c), r"\[\s*[^\]]+\s*\]", ""), r"\s{2,}", " "))
+    out = F.regexp_replace(out, r"\s+([.,!?;:])", "$1")
     return F.when(F.length(out) > 2, out)
 
 
@@ -136,8 +136,8 @@ def last_before(c: Column, pattern: str) -> Column:
     return F.when(at == 0, 0).otherwise(F.length(c) - at - len(pattern) + 2)
 
 
-#: Words that carry nothing in a question (fixed values).
-STOP_WORDS = ("what", "who", "how", "when", "where", "why", "the", "a", "is")
+#: Words that carry nothing in a question.
+STOP_WORDS = ("how", "does", "do", "what", "is", "are", "the", "a", "an")
 
 
 def query_terms(c: str | Column, least: int = 0) -> Column:
@@ -146,8 +146,8 @@ def query_terms(c: str | Column, least: int = 0) -> Column:
 
 
 def without_stop_words(c: str | Column) -> Column:
-    """The question without stop words; as it was when nothing would remain."""
-    kept = F.array_join(F.filter(F.split(strip(c), r"\s+"), lambda t: ~F.lower(t).isin(*STOP_WORDS)), " ")
+    """The question in lower case without stop words; as it was when nothing would remain."""
+    kept = F.array_join(F.filter(query_terms(c), lambda t: ~t.isin(*STOP_WORDS)), " ")
     return F.when(kept == "", col(c)).otherwise(kept)
 
 

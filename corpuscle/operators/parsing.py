@@ -6,6 +6,7 @@ Only the walk over an HTML tree is Python, in Arrow batches with the standard li
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -163,6 +164,8 @@ class _Tree(HTMLParser):
 
     def _close(self):
         text = " ".join("".join(self.text).split())
+        if self.block == "p":
+            text = re.sub(r"\s+([.,!?;:])", r"\1", " ".join(re.sub(r"\[\s*[^\]]+\s*\]", "", text).split()))
         block, self.block, self.text = self.block, "", []
         if not text or block in ("", "h1"):
             return
@@ -201,19 +204,31 @@ def paragraphs_of_html(html: str | Column) -> Column:
     return F.filter(F.transform(found, strip), lambda x: x != "")
 
 
-#: Groups of infobox labels: exact names first, then parts of names in this order (fixed values).
-INFOBOX = [
-    ("biographical", ("nationality", "birth", "died", "death", "born", "title", "rank", "affiliation", "occupation")),
-    ("physical", ("height", "weight", "hair", "eye", "build", "gender", "species")),
-    ("chronological", ("first", "last", "appear", "mention", "date", "book")),
-]
+#: Infobox labels that have a group by name.
+INFOBOX_NAMES = {
+    "biographical": ("nationality", "current status", "status", "title", "affiliation"),
+    "physical": ("gender", "height", "build"),
+    "chronological": ("first appeared", "last appeared", "first appearance", "last appearance"),
+}
+#: Parts of labels that give all other labels their group, groups in this order.
+INFOBOX_PARTS = {
+    "biographical": (
+        "nationality", "nation", "status", "current status", "title", "rank", "affiliation", "occupation", "family", "spouse",
+        "children", "parents", "siblings", "house", "clan", "organization", "allegiance",
+    ),
+    "physical": ("hair", "eyes", "eye", "height", "build", "complexion", "skin", "appearance", "physical", "gender", "sex", "race", "species"),
+    "chronological": (
+        "birth", "death", "died", "born", "first", "last", "appearance", "appeared", "mentioned", "pov", "book", "debut", "final",
+    ),
+}
 
 
 def infobox_group(label: str | Column) -> Column:
-    low, out = F.lower(col(label)), None
-    for name, parts in INFOBOX:
-        hit = F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(low, p))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+    low, out = F.lower(col(label)), F.when(F.lit(False), "")
+    for name, labels in INFOBOX_NAMES.items():
+        out = out.when(low.isin(*labels), name)
+    for name, parts in INFOBOX_PARTS.items():
+        out = out.when(F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(low, p)), name)
     return out.otherwise("other")
 
 

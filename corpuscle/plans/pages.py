@@ -38,7 +38,7 @@ def html_comment_meta(spark, sf_dir):
 
 def _markup_sql(c: str) -> str:
     for pattern, to in T.MARKUP:
-        c = f"regexp_replace({c}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+        c = f"regexp_replace({c}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
     return _STRIP.format(c)
 
 
@@ -78,7 +78,13 @@ def redirect_types(spark, sf_dir):
 
 
 _LABEL = "lower(regexp_extract(html, 'href=\"/([^\"]*)\"', 1))"
-_GROUP = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains({_LABEL}, '{p}')" for p in parts)} THEN '{name}'" for name, parts in parsing.INFOBOX) + " ELSE 'other' END"
+_GROUP = (
+    "CASE "
+    + " ".join(f"WHEN {_LABEL} IN ({', '.join(f"'{n}'" for n in names)}) THEN '{name}'" for name, names in parsing.INFOBOX_NAMES.items())
+    + " "
+    + " ".join(f"WHEN {' OR '.join(f"contains({_LABEL}, '{p}')" for p in parts)} THEN '{name}'" for name, parts in parsing.INFOBOX_PARTS.items())
+    + " ELSE 'other' END"
+)
 
 
 @query(f"SELECT page_id, {_LABEL} AS label, {_GROUP} AS label_group FROM pages")

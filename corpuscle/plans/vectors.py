@@ -90,8 +90,8 @@ def classify_query(spark, sf_dir):
 
 
 @query(
-    r"""SELECT item_id, CASE WHEN k = '' THEN text ELSE k END AS preprocessed FROM (SELECT item_id, text, array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'),
-lambda t: lower(t) NOT IN ('what', 'who', 'how', 'when', 'where', 'why', 'the', 'a', 'is')), ' ') AS k FROM benchmark)"""
+    r"""SELECT item_id, CASE WHEN k = '' THEN text ELSE k END AS preprocessed FROM (SELECT item_id, text, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+'),
+lambda t: t NOT IN ('how', 'does', 'do', 'what', 'is', 'are', 'the', 'a', 'an')), ' ') AS k FROM benchmark)"""
 )
 def preprocess_query(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.without_stop_words("text").alias("preprocessed"))

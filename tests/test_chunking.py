@@ -60,9 +60,9 @@ def test_numbering(spark):
         (T.straight_apostrophes, "a’b‘c`d", "a'b'c'd"), (T.safe_filename, 'a b/c<>:"|?*', "a_b_c"), (T.book_number, "07-Title.txt", 7),
         (T.book_title, "07-The txt.txt", "The txt"), (T.first_h1, "x\n## no\n# Yes \n", "Yes"), (T.first_h1, "none", None),
         (T.page_id, "<!-- Page ID: 42 -->", 42), (T.page_id, "no", None), (T.categories, "<!-- Categories: b, a,, b -->", ["a", "b"]),
-        (T.categories, "none", []), (T.chapter_number, "x_chapter_12.txt", 12), (T.clean_markup, "'''a''' [[b|c]] {{t}} <i>d</i> [[e]]", "a c d e"),
+        (T.categories, "none", []), (T.chapter_number, "x_chapter_12.txt", 12), (T.clean_markup, "'''a''' [[b|c]] {{t}} <i>d</i> [[e]]", "a c <i>d</i> e"),
         (T.clean_citations, "a[1] [citation needed] b .", "a b."), (T.clean_citations, "[1]a", None),
-        (T.without_stop_words, "what is the One Power", "One Power"), (T.without_stop_words, "what is", "what is"), (T.paragraphs, "a\n\n \nb", ["a", "b"]),
+        (T.without_stop_words, "What is the deep Water", "deep water"), (T.without_stop_words, "what is", "what is"), (T.paragraphs, "a\n\n \nb", ["a", "b"]),
         (T.sentences, "A b. C! D", ["A b.", "C!", "D"]),
     ],
 )
