@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, raw_text, slices
+from .common import OWN, raw_text, slices, text_runs
 from .linear import Sparse, fit, sigmoid
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -30,13 +30,13 @@ class Params:
     categories: tuple[str, ...] = ("quality", "toxic")  # 0/1 columns of the labels, in the chain's order
     decides: str = "toxic"
     sample: int = 10_000  # labelled rows the chain is fitted on
-    terms: int = 400  # that speak for a category, each
-    against: int = 100  # that speak against it
-    least_docs: int = 5  # a term has to be in so many sample rows
+    terms: int = 300  # that speak for a category, each
+    against: int = 0  # that speak against it
+    least_docs: int = 3  # a term has to be in so many sample rows
     starts: tuple[int, ...] = (4, 5, 6, 7)  # lengths of word beginnings
     folds: int = 4
-    ridge: float = 3e-5
-    steps: int = 200
+    ridge: float = 1e-5
+    steps: int = 300
     remembered: int = 300_000  # words whose terms a worker remembers
 
 
@@ -44,8 +44,10 @@ def terms_of(word: str, starts: tuple[int, ...]) -> list[str]:
     return [word, *(word[:k] + "*" for k in starts if len(word) > k)]
 
 
-def tokens(text: bytes) -> list[str]:
-    return _WORD.findall(text.decode("utf-8", "replace").lower())
+def tokens(text: bytes) -> Iterator[str]:
+    """Words of letters and digits, in lower case; a huge text never becomes one list."""
+    for part in text_runs(text):
+        yield from _WORD.findall(part.decode("utf-8", "replace").lower())
 
 
 class Terms(dict):
@@ -63,8 +65,12 @@ class Terms(dict):
 
     def counts(self, text: bytes) -> tuple[int, Counter]:
         """Words of the whole text, and how often each term occurs."""
-        words = tokens(text)
-        return len(words), Counter(t for w in words for t in self[w])
+        n, found = 0, Counter()
+        for part in text_runs(text):
+            words = _WORD.findall(part.decode("utf-8", "replace").lower())
+            n += len(words)
+            found.update([t for w in words for t in self[w]])
+        return n, found
 
 
 def rows_of(found: list[tuple[int, Counter]], n_terms: int) -> Sparse:
@@ -101,7 +107,7 @@ class Chain:
         return out
 
     def cut(self, category: str) -> float:
-        """The chance from which a row is in the category: best F1 on the out-of-fold chances."""
+        """The chance from which a row is in the category: near the best F1 on the out-of-fold chances."""
         at = self.p.categories.index(category)
         return self.cuts[at] if self.cuts else 2.0
 
@@ -115,9 +121,10 @@ class Chain:
 
 
 def best_cut(chance: np.ndarray, true: np.ndarray) -> float:
-    """Among 0.2, 0.25, ... 0.8, the cut with the best F1; of equals the highest."""
+    """Of the cuts 0.2, 0.25, ... 0.8 whose F1 is within 0.005 of the best, the lowest."""
     cuts = [c / 100 for c in range(20, 81, 5)]
-    return max(cuts, key=lambda c: (2 * ((chance >= c) & true).sum() / max(1, (chance >= c).sum() + true.sum()), c))
+    f1 = [2 * ((chance >= c) & true).sum() / max(1, (chance >= c).sum() + true.sum()) for c in cuts]
+    return next(c for c, f in zip(cuts, f1, strict=True) if f >= max(f1) - 0.005)
 
 
 def _term_counts(p: Params):
@@ -140,7 +147,7 @@ def _term_counts(p: Params):
                     else:
                         for c in range(k + 1):
                             v[c] += own[c]
-                if len(held) > 400_000:
+                if len(held) > 150_000:
                     yield out()
                     held.clear()
         if held:
@@ -187,7 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Chain:  #
             continue
         z = (F.col(f"n{c}") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
         for order, most in ((F.desc("z"), p.terms), (F.asc("z"), p.against)):
-            terms |= dict.fromkeys(r.term for r in counts.select("term", z.alias("z")).orderBy(order, "term").limit(most).collect())
+            if most:
+                terms |= dict.fromkeys(r.term for r in counts.select("term", z.alias("z")).orderBy(order, "term").limit(most).collect())
     own = sorted(terms)
     if not own:
         return Chain([], [], p)
