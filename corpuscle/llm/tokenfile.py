@@ -15,25 +15,27 @@ over ranges by a content key, so no range depends on how often a key repeats.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import FRAGMENT, OTHER_SPACE, REMEMBERED, default_path
+from .bpe import FRAGMENT, OTHER_SPACE, Memory, byte_alphabet, default_path, parts
 from .common import raw_text, shared_dir, slices, tie
 
 #: Ids that a shard is closed at (the document that reaches it stays whole).
 SHARD_IDS = 1 << 20
 END_ID = 2
 _SHARD = (
-    "part int, seq int, first long, last long, nulls int, n_rows int, n_ids long, width int, "
+    "part int, seq int, before long, first long, last long, nulls int, n_rows int, n_ids long, width int, "
     "payload binary, starts binary, keys binary, index binary"
 )
 
@@ -145,6 +147,14 @@ class Shard:
         return self.ids[int(self.starts[row]) : int(self.starts[row + 1])]
 
 
+#: Characters from which a text is encoded in parts, and plain words: one space at most, then no
+#: white space, so that a line feed before one is a token of its own.
+#: A word that the byte-level pattern always takes as one piece: Latin letters after one space at most.
+_LATIN = re.compile(f" ?[A-Za-z{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xF6)}{chr(0xF8)}-{chr(0xFF)}]+").fullmatch
+_LONG = 4 << 20
+_PLAIN = re.compile(r" ?[^\s]+").fullmatch
+
+
 class LibraryEncoder:
     """The tokenizers library, called once for each fragment it hasn't met.
 
@@ -157,6 +167,8 @@ class LibraryEncoder:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -168,24 +180,72 @@ class LibraryEncoder:
         self.split = self.split and not any(t.get("lstrip") or t.get("rstrip") or set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in spec.get("added_tokens", []))
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self._kind = np.dtype(f"<u{self.width}")
-        self._words: dict[str, bytes] = {}
+        self._memory = Memory()
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if self.split and len(feed) == 1 else None
+        model, self.merges = spec["model"], None
+        odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+        if self.feed is not None and model.get("type", "BPE") == "BPE" and not any(odd):
+            # The file's model without its pre-tokenizer: words come in the alphabet that stands for bytes.
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.merges = Tokenizer(BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+            self.merges.pre_tokenizer = WhitespaceSplit()
+            self.shown = {b: c for c, b in byte_alphabet().items()}
+            self.shown[10] = f" {self.shown[10]} "
+
+    def _packed(self, ids: np.ndarray, ends: np.ndarray, gap: int = 0) -> list[bytes]:
+        """The bytes up to each end; `gap` ids after an end belong to nobody."""
+        data, at = ids.astype(self._kind).tobytes(), (ends * self.width).tolist()
+        starts = [0, *(e + gap * self.width for e in at)]
+        return [data[a:b] for a, b in zip(starts, at, strict=False)]
+
+    def _joined(self, library, text: str, n: int) -> list[bytes]:
+        """Ids of n fragments that stand in one text with line feeds between, which no token spans."""
+        ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        found = self._packed(ids, np.append(np.flatnonzero(ids == self.feed), len(ids)), gap=1)
+        if len(found) != n:
+            raise RuntimeError("the tokenizer joins fragments over line feeds")
+        return found
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self._kind).tobytes() for x in found]
+        """Ids of each text. Latin words skip the pre-tokenizer, of which each is one piece; other
+        plain words go as one text too; what is left goes one by one."""
+        kinds = [0 if self.merges and _LATIN(t) else 1 if self.feed is not None and _PLAIN(t) else 2 for t in texts]
+        by = [[t for t, k in zip(texts, kinds, strict=True) if k == kind] for kind in range(3)]
+        out: list[list[bytes]] = [[], [], []]
+        if by[0]:
+            shown = "\n".join(by[0]).encode().decode("latin-1").translate(self.shown)
+            out[0] = self._joined(self.merges, shown, len(by[0]))
+        if by[1]:
+            out[1] = self._joined(self.library, "\n".join(by[1]), len(by[1]))
+        if by[2]:
+            found = [x.ids for x in self.library.encode_batch_fast(by[2], add_special_tokens=False)]
+            out[2] = self._packed(np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64))
+        each = [iter(x) for x in out]
+        return [next(each[k]) for k in kinds]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, `width` bytes an id."""
+        if len(texts) == 1 and len(texts[0]) > _LONG and self.split and not OTHER_SPACE.search(texts[0]):
+            return [b"".join(x for part in parts(texts[0]) for x in self._encode([part]))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [FRAGMENT.findall(t) if self.split and not OTHER_SPACE.search(t) else [t] for t in texts]
-        words = self._words
-        new = list({f for parts in cut for f in parts if f not in words})
-        fresh = dict(zip(new, self._library(new), strict=True)) if new else {}
-        out = [b"".join([words.get(f) or fresh.get(f, b"") for f in parts]) for parts in cut]
-        for f, ids in fresh.items():
-            if len(words) >= REMEMBERED:
-                break
-            if len(f) <= 64:
-                words[f] = ids
+        flat, m = list(chain.from_iterable(cut)), self._memory
+        young, old = m.young, m.old
+        found = list(map(young.get, flat))
+        unmet = [i for i, ids in enumerate(found) if ids is None]
+        names = {flat[i] for i in unmet}
+        young.update((f, old[f]) for f in names if f in old)
+        new = [f for f in names if f not in young]
+        if new:
+            young.update(zip(new, self._library(new), strict=True))
+        for i in unmet:
+            found[i] = young[flat[i]]
+        ends = np.cumsum([len(parts) for parts in cut]).tolist()
+        out = [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        m.settle()
         return out
 
 
@@ -198,6 +258,7 @@ def encoder(path: str) -> LibraryEncoder:
 def _shards(path: str | None, end_id: int | None, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part, seq = encoder(path or default_path()), TaskContext.get().partitionId(), 0
+        written = 0
         end = b"" if end_id is None else np.array([end_id], f"<u{e.width}").tobytes()
         keys: list[int | None] = []
         ids: list[bytes] = []
@@ -208,14 +269,14 @@ def _shards(path: str | None, end_id: int | None, shard_ids: int):
             nulls = len(keys) - len(own)
             starts = np.concatenate([[0], np.cumsum([len(x) // e.width for x in ids])]).astype("<u8")
             row = {
-                "part": part, "seq": seq, "first": int(own[0]) if len(own) else None, "last": int(own[-1]) if len(own) else None,
+                "part": part, "seq": seq, "before": written, "first": int(own[0]) if len(own) else None, "last": int(own[-1]) if len(own) else None,
                 "nulls": nulls, "n_rows": len(keys), "n_ids": int(starts[-1]), "width": e.width,
                 "payload": b"".join(ids), "starts": starts.tobytes(), "keys": own.tobytes(), "index": build_index(own, nulls),
             }
             types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([row[n]], types[t]) for n, t in (c.split() for c in _SHARD.split(", "))], names=list(row))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             texts = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             for key, packed in zip(batch.column("key").to_pylist(), e.encode(texts), strict=True):
                 keys.append(key)
@@ -223,7 +284,7 @@ def _shards(path: str | None, end_id: int | None, shard_ids: int):
                 held += len(packed) // e.width + bool(end)
                 if held >= shard_ids:
                     yield closed()
-                    keys, ids, held, seq = [], [], 0, seq + 1
+                    keys, ids, held, seq, written = [], [], 0, seq + 1, written + held
         if keys:
             yield closed()
 
@@ -246,45 +307,49 @@ def write(docs: DataFrame, to: str, path: str | None = None, end_id: int | None
 
 
 def open_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards of a dataset, with `base`: the ids of all shards before."""
+    """The shards of a dataset, with `base`: the ids of all shards before.
+
+    A shard knows the ids before it in its part file; one total a part reaches the driver and
+    goes out again, so payloads don't move.
+    """
     shards = spark.read.schema(_SHARD).parquet(path)
-    # One row for each part file reaches the driver, whatever the documents.
     totals = sorted(map(tuple, shards.groupBy("part").agg(F.sum("n_ids")).collect()))
-    base, at = [], 0
+    starts, at = [(-1, 0)], 0
     for part, n in totals:
-        base.append((part, at))
+        starts.append((part, at))
         at += n
-    starts = spark.createDataFrame(base or [(-1, 0)], "part int, before long")
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    heads = shards.select("part", "seq", "n_ids").withColumn("in_part", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-    heads = heads.join(F.broadcast(starts), "part").select("part", "seq", (F.col("before") + F.col("in_part")).alias("base"))
-    return shards.join(heads, ["part", "seq"])
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            s = Shard(row)
-            first = s.find(s.keys)
-            if (first < 0).any():
-                raise ValueError(f"shard {row['part']}/{row['seq']} has keys that its index doesn't find")
-            # Rows of one key follow its first row.
-            repeat = np.arange(s.nulls, s.n_rows) - first if len(first) else first
-            rows = [*range(s.nulls), *(first + repeat).tolist()]
-            ids = [s.of_row(r) for r in rows]
-            yield pa.RecordBatch.from_pydict(
-                {
+    starts = F.broadcast(spark.createDataFrame(starts, "part int, parts_before long"))
+    return shards.join(starts, "part").withColumn("base", F.col("parts_before") + F.col("before")).drop("parts_before")
+
+
+def _read(crc: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                s = Shard(row)
+                first = s.find(s.keys)
+                if (first < 0).any():
+                    raise ValueError(f"shard {row['part']}/{row['seq']} has keys that its index doesn't find")
+                # Rows of one key follow its first row.
+                repeat = np.arange(s.nulls, s.n_rows) - first
+                rows = [*range(s.nulls), *(first + repeat).tolist()]
+                ids = [s.of_row(r).astype("<u4").tobytes() for r in rows]
+                columns = {
                     "doc_id": pa.array([None] * s.nulls + s.keys.tolist(), pa.int64()),
                     "start": pa.array([row["base"] + int(s.starts[r]) for r in rows], pa.int64()),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                 }
-            )
+                columns |= {"ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())} if crc else {"ids": pa.array(ids, pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a dataset through its index: doc_id, start, n_tokens, ids (packed 32-bit)."""
-    return open_shards(spark, path).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+def read(spark: SparkSession, path: str, crc: bool = False) -> DataFrame:
+    """Every document of a dataset through its index: doc_id, start, n_tokens and ids (packed 32-bit), or their crc32."""
+    own = "ids_crc32 long" if crc else "ids binary"
+    return open_shards(spark, path).mapInArrow(_read(crc), f"doc_id long, start long, n_tokens long, {own}")
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
@@ -309,14 +374,8 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, ids binary")
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def op2(spark, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, start, n_tokens, ids_crc32, read back from the files."""
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), to)
-    return read(spark, to).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, to, crc=True)
