@@ -43,31 +43,56 @@ def syndrome(y: np.ndarray) -> np.ndarray:
 
 
 @cache
-def cosets() -> list[list[np.ndarray]]:
-    """[extra flips][syndrome]: the patterns of weight <= 3, 4 and 5 that lead from a value to a codeword."""
+def cosets() -> list[tuple[np.ndarray, np.ndarray]]:
+    """By extra flips: (patterns of weight <= 3, 4 and 5 sorted by coset, where each coset begins).
+
+    A pattern of a value's coset leads from the value to a codeword. Perfect: of weight <= 3 there is one.
+    """
     out = []
     for weights in (range(RADIUS + 1), (RADIUS + 1,), (RADIUS + 2,)):
         patterns = np.array([sum(1 << b for b in bits) for w in weights for bits in combinations(range(LENGTH), w)])
         key = syndrome(patterns)
         order = np.argsort(key, kind="stable")
-        out.append(np.split(patterns[order], np.searchsorted(key[order], np.arange(1, 2048))))
+        out.append((patterns[order], np.searchsorted(key[order], np.arange(2049))))
+    return out
+
+
+def _block(prints: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The b-th 23 bits of each fingerprint, and their coset."""
+    y = ((prints >> np.uint64(LENGTH * b)) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
+    return y, syndrome(y)
+
+
+def homes(prints: np.ndarray, blocks: int) -> np.ndarray:
+    """The anchor nearest to each unsigned fingerprint."""
+    leader, begin = cosets()[0]
+    out = np.zeros(len(prints), np.int64)
+    for b in range(blocks):
+        y, coset = _block(prints, b)
+        out |= (y ^ leader[begin[coset]]) << (LENGTH * b)
     return out
 
 
-def anchors(fingerprint: int, blocks: int) -> tuple[int, np.ndarray]:
-    """The home anchor and all anchors in reach, home included, of an unsigned fingerprint."""
-    mask, near = (1 << LENGTH) - 1, cosets()
-    parts = [(fingerprint >> (LENGTH * b)) & mask for b in range(blocks)]
-    reach = [[p ^ near[f][int(syndrome(p))] for f in range(THRESHOLD + 1)] for p in parts]
-    if blocks == 1:
-        return int(reach[0][0][0]), np.concatenate(reach[0])
-    one, two = reach
-    pairs = [
-        (one[f][:, None] | (two[g] << LENGTH)[None, :]).ravel()
-        for f in range(THRESHOLD + 1)
-        for g in range(THRESHOLD + 1 - f)
-    ]
-    return int(one[0][0] | (two[0][0] << LENGTH)), np.concatenate(pairs)
+def replicas(prints: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) of every anchor that may be the home of a fingerprint within the threshold of a row's."""
+    near = cosets()
+    one, coset = _block(prints, 0)
+    two, other = _block(prints, 1) if blocks == 2 else (np.zeros_like(one), np.zeros_like(coset))
+    rows, found = [], []
+    for f in range(THRESHOLD + 1):
+        first, begin = near[f]
+        n = begin[coset + 1] - begin[coset]
+        for g in range(THRESHOLD + 1 - f) if blocks == 2 else (0,):
+            second, start = near[g] if blocks == 2 else (np.zeros(1, np.int64), np.array([0, 1]))
+            m = start[other + 1] - start[other]
+            total = n * m
+            row = np.repeat(np.arange(len(prints)), total)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
+            low = one[row] ^ first[begin[coset[row]] + k // m[row]]
+            high = two[row] ^ second[start[other[row]] + k % m[row]]
+            rows.append(row)
+            found.append(low | (high << LENGTH))
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -111,19 +136,15 @@ def _fingerprints(shingle: int):
     return run
 
 
-def _replicas(blocks: int, homes: bool):
+def _anchored(blocks: int, home: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            for start in range(0, len(prints), 2000):
-                part = prints[start : start + 2000]
-                found = [anchors(int(x) & (2**64 - 1), blocks) for x in part]
-                each = [np.array([h]) for h, _ in found] if homes else [a for _, a in found]
-                if each:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(each)), pa.array(np.repeat(part, [len(a) for a in each]))],
-                        names=["anchor", "fp"],
-                    )
+            for start in range(0, len(prints), 4096):
+                part = prints[start : start + 4096]
+                unsigned = part.view(np.uint64)
+                row, anchor = (np.arange(len(part)), homes(unsigned, blocks)) if home else replicas(unsigned, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row])], names=["anchor", "fp"])
 
     return run
 
@@ -137,8 +158,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def links(prints: DataFrame, blocks: int = 2) -> DataFrame:
     """(a, b) of all linked distinct fingerprints, a < b, each once. `prints`: one column fp, distinct."""
-    home = prints.mapInArrow(_replicas(blocks, homes=True), "anchor long, fp long")
-    near = prints.mapInArrow(_replicas(blocks, homes=False), "anchor long, fp long").withColumnRenamed("fp", "fp2")
+    home = prints.mapInArrow(_anchored(blocks, home=True), "anchor long, fp long")
+    near = prints.mapInArrow(_anchored(blocks, home=False), "anchor long, fp long").withColumnRenamed("fp", "fp2")
     return home.join(
         near, (home.anchor == near.anchor) & (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= THRESHOLD)
     ).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))

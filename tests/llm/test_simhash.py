@@ -31,13 +31,28 @@ def classes(ids, pairs):
 
 def test_every_pair_within_two_bits_meets_at_a_home():
     r = random.Random(1)
+    xs, ys = [], []
+    for _ in range(400):
+        x = y = r.getrandbits(64)
+        for b in r.sample(range(64), r.randint(0, 2)):
+            y ^= 1 << b
+        xs.append(x)
+        ys.append(y)
     for blocks in (1, 2):
-        for _ in range(150):
-            x = r.getrandbits(64)
-            y = x
-            for b in r.sample(range(64), r.randint(0, 2)):
-                y ^= 1 << b
-            assert simhash.anchors(x, blocks)[0] in simhash.anchors(y, blocks)[1]
+        home = simhash.homes(np.array(xs, np.uint64), blocks)
+        row, anchor = simhash.replicas(np.array(ys, np.uint64), blocks)
+        reach = set(zip(row.tolist(), anchor.tolist(), strict=True))
+        assert len(reach) == len(row) and all((k, h) in reach for k, h in enumerate(home.tolist()))
+
+
+def test_codewords_are_a_perfect_code():
+    patterns, begin = simhash.cosets()[0]
+    assert len(patterns) == 2048 and (np.diff(begin) == 1).all()
+    y = np.random.default_rng(0).integers(0, 2**63, 300, dtype=np.uint64)
+    home = simhash.homes(y, 2)
+    for b in range(2):
+        word, own = (home >> (23 * b)) & (2**23 - 1), (y.astype(np.int64) >> (23 * b)) & (2**23 - 1)
+        assert (simhash.syndrome(word) == 0).all() and np.bitwise_count(word ^ own).max() <= 3
 
 
 def test_long_and_short_bit_counts_agree():
