@@ -7,6 +7,9 @@ every pair and is kept as a check and for tiny dictionaries; `regex` has word bo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +24,51 @@ def terms(dictionary: DataFrame) -> DataFrame:
     return last.withColumn("n_tokens", F.size(F.split("term", " ", -1)))
 
 
-def tag(df: DataFrame, key: str, text: str, dictionary: DataFrame, mode: str = "ngram", most: int = 100_000) -> DataFrame:
+def _automaton(key: str, found: list[tuple[str, str, str]]):
+    """found: (dict_name, term, canonical), sent once with the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine, by = ahocorasick.Automaton(), {}
+        for name, term, canonical in found:
+            by.setdefault(f" {term} ", []).append((name, canonical))
+        for pattern, values in by.items():
+            machine.add_word(pattern, values)
+        if by:
+            machine.make_automaton()
+        for batch in batches:
+            at, names, mentions = [], [], []
+            for k, t in enumerate(batch.column("__t").to_pylist() if by else ()):
+                own: dict[str, set[str]] = {}
+                for _, values in machine.iter(t):
+                    for name, canonical in values:
+                        own.setdefault(name, set()).add(canonical)
+                for name, tags in own.items():
+                    at.append(k)
+                    names.append(name)
+                    mentions.append(sorted(tags))
+            columns = [batch.column(key).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(mentions, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "dict_name", "mentions"])
+
+    return run
+
+
+def tag(df: DataFrame, key: str, text: str, dictionary: DataFrame, mode: str = "auto", most: int = 100_000) -> DataFrame:
     """(key, dict_name, mentions): sorted distinct canonical names; rows without a mention are left out.
 
-    mode: 'ngram', 'contains' or 'regex'. A dictionary of at most `most` terms is broadcast; a
-    larger one is joined by shuffle.
+    mode: 'auto' (the automaton up to `most` terms, else n-grams), 'ngram', 'contains' or 'regex'.
+    In all but the first, a dictionary of at most `most` terms is broadcast.
     """
     own = terms(dictionary)
     size = own.agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).first()
-    own = F.broadcast(own) if size.n <= most else own
     padded = F.concat(F.lit(" "), F.lower(col(text)), F.lit(" "))
+    if mode == "auto" and size.n <= most:
+        rows = df.select(key, F.coalesce(padded, F.lit("")).alias("__t"))
+        found = rows.mapInArrow(_automaton(key, [tuple(r) for r in own.select("dict_name", "term", "canonical").collect()]), f"{key} {df.schema[key].dataType.simpleString()}, dict_name string, mentions array<string>")
+        return found.groupBy(key, "dict_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("mentions")))).alias("mentions"))
+    mode = "ngram" if mode == "auto" else mode
+    own = F.broadcast(own) if size.n <= most else own
     if mode == "ngram":
         # The generator keeps the tokens a column: inlined, they would be split again for each use.
         rows = df.select(key, F.explode(F.array(F.split(F.lower(col(text)), " ", -1))).alias("__tokens"))

@@ -125,6 +125,12 @@ def _tag(spark, sf_dir, mode):
 
 @query(_TAGGED)
 def mention_tag(spark, sf_dir):
+    return _tag(spark, sf_dir, "auto")
+
+
+@query(_TAGGED)
+def mention_tag_ngram(spark, sf_dir):
+    """The plan for dictionaries beyond the automaton's bound."""
     return _tag(spark, sf_dir, "ngram")
 
 

@@ -66,7 +66,7 @@ def test_mentions(spark):
     texts = [(1, "sam, Sam"), (2, "the sam neil is"), (3, "O'X a  b"), (4, None), (5, "\nsam\n"), (6, "")]
     df = spark.createDataFrame(texts, "k long, t string")
     want = {(1, "c", ("Other",)), (2, "c", ("Other", "Sam Neil")), (3, "m", ("a  b", "o'x"))}
-    for options in ({}, {"mode": "contains"}, {"most": 0}):
+    for options in ({}, {"mode": "ngram"}, {"mode": "contains"}, {"most": 0}):
         assert {(r.k, r.dict_name, tuple(r.mentions)) for r in mentions.tag(df, "k", "t", d, **options).collect()} == want
     words = mentions.tag(df, "k", "t", d, mode="regex").collect()
     assert {(r.k, tuple(r.mentions)) for r in words if r.dict_name == "c"} == {(1, ("Other",)), (2, ("Other", "Sam Neil")), (5, ("Other",))}
