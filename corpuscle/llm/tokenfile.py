@@ -14,6 +14,7 @@ over ranges by a content key, so no range depends on how often a key repeats.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -34,6 +35,8 @@ from .common import raw_text, shared_dir, slices, tie
 #: Ids that a shard is closed at (the document that reaches it stays whole).
 SHARD_IDS = 1 << 20
 END_ID = 2
+#: Fragments of each generation; more than the codec's, since the library's calls cost more.
+REMEMBERED = 500_000
 _SHARD = (
     "part int, seq int, before long, first long, last long, nulls int, n_rows int, n_ids long, width int, "
     "payload binary, starts binary, keys binary, index binary"
@@ -180,7 +183,7 @@ class LibraryEncoder:
         self.split = self.split and not any(t.get("lstrip") or t.get("rstrip") or set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in spec.get("added_tokens", []))
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self._kind = np.dtype(f"<u{self.width}")
-        self._memory = Memory()
+        self._memory = Memory(REMEMBERED)
         feed = self.library.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if self.split and len(feed) == 1 else None
         model, self.merges = spec["model"], None
@@ -276,17 +279,21 @@ def _shards(path: str | None, end_id: int | None, shard_ids: int):
             types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([row[n]], types[t]) for n, t in (c.split() for c in _SHARD.split(", "))], names=list(row))
 
-        for batch in slices(batches, "text", 2 << 20):
-            texts = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-            for key, packed in zip(batch.column("key").to_pylist(), e.encode(texts), strict=True):
-                keys.append(key)
-                ids.append(packed + end)
-                held += len(packed) // e.width + bool(end)
-                if held >= shard_ids:
-                    yield closed()
-                    keys, ids, held, seq, written = [], [], 0, seq + 1, written + held
-        if keys:
-            yield closed()
+        gc.disable()  # nothing here is cyclic, and the collector would walk the fragments again and again
+        try:
+            for batch in slices(batches, "text", 2 << 20):
+                texts = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+                for key, packed in zip(batch.column("key").to_pylist(), e.encode(texts), strict=True):
+                    keys.append(key)
+                    ids.append(packed + end)
+                    held += len(packed) // e.width + bool(end)
+                    if held >= shard_ids:
+                        yield closed()
+                        keys, ids, held, seq, written = [], [], 0, seq + 1, written + held
+            if keys:
+                yield closed()
+        finally:
+            gc.enable()
 
     return run
 
