@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 
 from .common import raw_text, slices
 
-#: Fragments that a worker remembers in each of two generations, at about 200 bytes each.
-#: What is forgotten is encoded anew; nothing is dropped.
-REMEMBERED = 500_000
+#: Fragments that a worker remembers in each of two generations, at about 200 bytes each. They
+#: stay with an idle worker while a job's other stages run. What is forgotten is encoded anew.
+REMEMBERED = 120_000
 #: White space of either Unicode or Python that isn't in ASCII's 9 to 13 and 32.
 OTHER_SPACE = re.compile(
     "["
