@@ -20,8 +20,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the first document stays. Shingles of five words."""
-    return simhash.keep_one(docs, shingle=5)
+    """Of each group of near-duplicates the first document stays. Near: a Jaccard of 0.8 on shingles of five words, or two bits."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

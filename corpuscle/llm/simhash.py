@@ -10,11 +10,15 @@ Two blocks give 2**24 anchors and 61 replicas a fingerprint on average, whatever
 
 Copies collapse first: one row per distinct fingerprint takes part, and a fingerprint has at
 most 2,080 others within two bits, so links stay proportional to distinct fingerprints.
+
+Where a similarity is asked for, texts whose shingle sets have that Jaccard link as well: MinHash
+bands find candidates, the texts decide. Members of a bucket are first held to a few common
+partners; only pairs that are then still in different groups are compared one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, materialize, raw_text, slices, tie, word_runs
+from .common import OWN, discard, materialize, raw_text, slices, tie, word_runs
 from .components import components
 
 #: Generator polynomial of the binary Golay code, its length and covering radius (fixed values).
@@ -32,6 +36,13 @@ GOLAY, LENGTH, RADIUS = 0xC75, 23, 3
 THRESHOLD = 2
 SHINGLE = 3
 SEED = 42
+#: MinHash bands and rows: at a Jaccard of 0.8 a pair shares a bucket with chance 0.9996.
+BANDS, ROWS = 20, 5
+#: Of 100 one-bit sketches so many may differ; at a Jaccard of 0.8 ten do, with a deviation of three.
+SKETCH = 24
+#: Rounds in which the members of a bucket are held to common partners, at most.
+STARS = 4
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def syndrome(y: np.ndarray) -> np.ndarray:
@@ -109,21 +120,62 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the word shingles' XXH64; no words: zero; fewer words than a shingle: all of them."""
-    counts, n, held = np.zeros(64, dtype=np.int64), 0, []
+def hashed(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles, by runs; fewer words than a shingle: of all of them."""
+    some, held = False, []
     digest = xxhash.xxh64_intdigest
     for run in word_runs(text):
         held += run
         if len(held) >= shingle:
             grams = zip(*(held[i:] for i in range(shingle)), strict=False)
-            h = np.array([digest(b" ".join(g), SEED) for g in grams], dtype=np.uint64)
-            counts, n, held = counts + bit_counts(h), n + len(h), held[1 - shingle :]
-    if not n:
-        return digest(b" ".join(held), SEED) if held else 0
+            yield np.array([digest(b" ".join(g), SEED) for g in grams], dtype=np.uint64)
+            some, held = True, held[1 - shingle :]
+    if held and not some:
+        yield np.array([digest(b" ".join(held), SEED)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the word shingles' XXH64; no words: zero; fewer words than a shingle: all of them."""
+    return _print(hashed(text, shingle))
+
+
+def _print(parts: Iterable[np.ndarray]) -> int:
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in parts:
+        counts, n = counts + bit_counts(h), n + len(h)
     return int(sum(1 << int(b) for b in np.flatnonzero(counts * 2 > n)))
 
 
+def minima(parts: Iterable[np.ndarray]) -> np.ndarray | None:
+    """The least value of all hashes under each of 100 permutations; None if there are no hashes."""
+    least = None
+    for h in parts:
+        for start in range(0, len(h), 4096):
+            own = np.array([(h[start : start + 4096] * f).min() for f in _FACTORS])
+            least = own if least is None else np.minimum(least, own)
+    return least
+
+
+def _buckets(least: np.ndarray) -> tuple[list[int], int, int]:
+    """The bucket of each band, and the sketch in two parts."""
+    rows = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(rows[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+    bits = (least >> np.uint64(20)) & np.uint64(1)  # of least values the first bits are all zero
+    one, two = (int(sum(1 << k for k in np.flatnonzero(x).tolist())) for x in (bits[:50], bits[50:]))
+    return keys, one, two
+
+
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    """Of the two texts' shingle sets, by the hashes; without words 0."""
+    one, two = _set(a, shingle), _set(b, shingle)
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both / max(1, len(one) + len(two) - both)
+
+
+def _set(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(np.concatenate([*hashed(text, shingle), np.zeros(0, np.uint64)]))
+
+
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -136,6 +188,35 @@ def _fingerprints(shingle: int):
     return run
 
 
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            prints, found = [], []
+            for t in batch.column("text").to_pylist():
+                parts = list(hashed(t, shingle))
+                prints.append(_print(parts))
+                found.append((None, 0, 0) if (least := minima(parts)) is None else _buckets(least))
+            kept, one, two = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("tie"), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    pa.array(kept, pa.list_(pa.int64())), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                ],
+                names=["doc_id", "tie", "fp", "buckets", "one", "two"],
+            )
+
+    return run
+
+
+def _similar(shingle: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
 def _anchored(blocks: int, home: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,10 +230,15 @@ def _anchored(blocks: int, home: bool):
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, tie, fp) for every row; tie tells rows of one doc_id apart by their text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketches: bool = False) -> DataFrame:
+    """(doc_id, tie, fp) for every row; tie tells rows of one doc_id apart by their text.
+
+    With sketches also the MinHash buckets (null without words) and the sketch's parts.
+    """
     rows = docs.select("doc_id", tie("text").alias("tie"), raw_text().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    if sketches:
+        return rows.mapInArrow(_sketches(shingle), f"doc_id {kind}, tie long, fp long, buckets array<long>, one long, two long")
     return rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, tie long, fp long")
 
 
@@ -165,27 +251,102 @@ def links(prints: DataFrame, blocks: int = 2) -> DataFrame:
     ).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, blocks: int = 2) -> DataFrame:
+def _relabel(rows: DataFrame, old: DataFrame) -> DataFrame:
+    """`rows` with the new name of each component that has one in `old` (old, new)."""
+    out = rows.join(old, rows.component == old.old, "left")
+    return out.withColumn("component", F.coalesce("new", "component")).drop("old", "new")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b) of the pairs of ties (a, b) whose texts have at least the similarity. Tables of distinct pairs."""
+    both = materialize(pairs)
+    nodes = both.select("a").union(both.select("b")).distinct()
+    texts = docs.select(tie("text").alias("t"), raw_text().alias("text"))
+    texts = materialize(texts.join(nodes, texts.t == nodes.a, "left_semi").dropDuplicates(["t"]))
+    x = texts.select(F.col("t").alias("tx"), F.col("text").alias("x"))
+    y = texts.select(F.col("t").alias("ty"), F.col("text").alias("y"))
+    rows = both.join(y, both.b == y.ty).join(x, F.col("a") == x.tx).select("a", "b", "x", "y")
+    out = materialize(rows.mapInArrow(_similar(shingle, least), "a long, b long"))
+    discard(texts)
+    discard(both)
+    return out
+
+
+def _joined(docs: DataFrame, found: DataFrame, label: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(component, joined) where texts of the least similarity put components of `label` (fp, component) together."""
+    rows = found.filter("buckets is not null").dropDuplicates(["tie"]).join(label.select("fp", "component"), "fp")
+    rows = rows.select(F.col("tie").alias("node"), "component", "one", "two", F.explode("buckets").alias("bucket"))
+    apart = F.bit_count(F.col("one").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("two").bitwiseXOR(F.col("p2"))) <= SKETCH
+    joined = None
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """The buckets that hold more than one component."""
+        mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        return materialize(rows.join(mixed.filter("low <> high").select("bucket"), "bucket"))
+
+    def merge(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+        nonlocal joined
+        edges = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, shingle, least)
+        names = rows.select("node", "component").distinct()
+        at = names.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        to = names.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        links = materialize(edges.join(at, "a").join(to, "b").select("ca", "cb").filter("ca <> cb").distinct())
+        if n := links.count():
+            old = materialize(components(links).select(F.col("node").alias("old"), F.col("component").alias("new")))
+            rows = _relabel(rows, old)
+            if joined is None:
+                joined = materialize(old)
+            else:
+                moved = joined.join(old.select(F.col("old").alias("k"), F.col("new").alias("v")), F.col("new") == F.col("k"), "left")
+                moved = moved.select("old", F.coalesce("v", "new").alias("new"))
+                joined = materialize(moved.union(old.join(moved.select("old"), "old", "left_anti")))
+        return rows, n
+
+    rows = still_open(rows)
+    for k in range(STARS):
+        order = F.xxhash64("node", F.lit(k))
+        key = F.struct(order.alias("o"), "node", "component", "one", "two")
+        star = rows.groupBy("bucket").agg(F.min(key).alias("p"))
+        star = star.select("bucket", F.col("p.node").alias("partner"), F.col("p.component").alias("pc"), F.col("p.one").alias("p1"), F.col("p.two").alias("p2"))
+        pairs = rows.join(star, "bucket").filter((F.col("component") != F.col("pc")) & apart)
+        rows, n = merge(rows, pairs.select(F.col("partner").alias("a"), F.col("node").alias("b")))
+        if not n:
+            break
+        rows = still_open(rows)
+    other = rows.select("bucket", F.col("node").alias("partner"), F.col("component").alias("pc"), F.col("one").alias("p1"), F.col("two").alias("p2"))
+    rest = rows.join(other, "bucket").filter((F.col("node") < F.col("partner")) & (F.col("component") != F.col("pc")) & apart)
+    merge(rows, rest.select(F.col("node").alias("a"), F.col("partner").alias("b")))
+    return joined
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, blocks: int = 2, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, tie, fp, component_id (smallest doc_id reachable by links).
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat a
     doc_id each return. A null doc_id is no smallest id; a group of only such has a null component.
-    An empty table returns no rows. Extra columns are not read.
+    An empty table returns no rows. Extra columns are not read. With a similarity (0.8 is what
+    the bands are made for) texts whose shingle sets have that Jaccard or more link as well.
     """
-    found = materialize(fingerprints(docs, shingle))
+    found = materialize(fingerprints(docs, shingle, similarity is not None))
     distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(distinct.select("fp"), blocks))
     label = distinct.join(groups, distinct.fp == groups.node, "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
+    if similarity is not None:
+        label = materialize(label)
+        if (joined := _joined(docs, found, label, shingle, similarity)) is not None:
+            label = label.join(joined, label.component == joined.old, "left").select(
+                "fp", "least", F.coalesce("new", "component").alias("component")
+            )
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
     named = label.join(least, "component").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "tie", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, blocks: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, blocks: int = 2, similarity: float | None = None) -> DataFrame:
     """The documents, with all their columns, of which each group's first (doc_id, then content) stays."""
-    found = materialize(near_duplicates(docs, shingle, blocks).drop("fp"))
+    found = materialize(near_duplicates(docs, shingle, blocks, similarity).drop("fp"))
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("k"))
     first = first.select(F.col("k.doc_id").alias(f"{OWN}id"), F.col("k.tie").alias(f"{OWN}tie"))
     rows = docs.withColumn(f"{OWN}t", tie("text"))

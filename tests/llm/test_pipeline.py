@@ -62,3 +62,18 @@ def test_edge_tables(spark, sf, tmp_path):
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+
+
+def test_near_copies_go_by_similarity(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    words = {i: t.encode().lower().split() for i, t in text.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in text.items()}
+    ids = sorted(text)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]]
+    bits = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 2]
+    close = [(a, b) for a, b in pairs if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    groups = classes(ids, bits + close)
+    kept = {r.doc_id: r.text for r in pipe.drop_near_duplicates(spark, docs, sf).collect()}
+    assert kept == {i: text[i] for i in ids if groups[i] == i} and len(kept) < len(set(classes(ids, bits).values()))

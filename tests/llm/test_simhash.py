@@ -96,3 +96,26 @@ def test_components_of_long_chains_and_stars(spark):
     rows = got.collect()
     assert {(x.node, x.component) for x in rows} == {(i, c) for i, c in want.items() if any(i in p and p[0] != p[1] for p in pairs)}
     assert len(rows) == len({x.node for x in rows})
+
+
+def test_similar_texts_link_by_their_shingle_sets(spark):
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randint(60, 400))]
+        rows.append((len(rows), " ".join(words)))
+        for changes in (1, 3, 8):
+            other = list(words)
+            for i in r.sample(range(len(words)), changes):
+                other[i] = r.choice(vocabulary)
+            rows.append((len(rows), " ".join(other)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    close = [(a, b) for a, _ in rows for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    bits = [(a, b) for a, _ in rows for b in range(a + 1, len(rows)) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    want = classes(sets, close + bits)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, 5, similarity=0.8).collect()}
+    assert got == want and len(close) > 60 and want != classes(sets, bits)
+    assert {x.doc_id for x in simhash.keep_one(df, 5, similarity=0.8).collect()} == set(want.values())
