@@ -1,14 +1,15 @@
 """Benchmark decontamination: q-gram lemma filtering in diagonal bands, then banded alignment.
 
-Texts are compared as letters and digits in lower case with single spaces between. Items are
-cut into overlapping patterns of `pattern` characters (short items are one pattern); a pattern
-occurs in a document if some stretch of it is within k edits, k a tenth of the pattern's length.
+Texts are compared as letters and digits in lower case with single spaces between. The patterns
+of an item are its `pattern` consecutive characters from every place (short items are one pattern);
+a pattern occurs in a document if some stretch of it is within k edits, k a tenth of the pattern's length.
 
 A pattern of m characters and a stretch within k edits share at least ``m + 1 - q * (k + 1)``
 q-grams, whose diagonals (place in the document less place in the pattern) span at most k.
-Shared q-grams are counted by pattern and diagonal band; bands are ``2 * (k + 1)`` diagonals
-wide and overlap by half, so some band holds all of them. Bands that meet the bound are
-retained, and an alignment restricted to their diagonals decides.
+Patterns that start at neighbouring places are counted together, as a group of up to 127
+characters, by group and diagonal band; bands are ``2 * (k + 1)`` diagonals wide and overlap by
+half, so some band holds all of a pattern's q-grams. Where a pattern's own part of a band meets
+the bound, an alignment restricted to its diagonals decides.
 
 The index of a block of items is broadcast; a block has at most `block_chars` characters of
 items, and a larger benchmark takes more passes over the documents.
@@ -17,7 +18,7 @@ items, and a larger benchmark takes more passes over the documents.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import OWN, raw_text, slices
 
 
+#: Characters of a group of patterns; their places take seven bits.
+GROUP = 127
+
+
 @dataclass(frozen=True)
 class Params:
     q: int = 8
@@ -105,28 +110,50 @@ def grams(a: np.ndarray, q: int) -> np.ndarray:
         return whole * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _merge(cells: dict, cell: tuple[int, int], own: dict[int, int]) -> None:
+    old = cells.setdefault(cell, own)
+    if old is not own:
+        old |= {s: max(n, old.get(s, 0)) for s, n in own.items()}
+
+
+class Patterns(Sequence):
+    """The patterns of all groups, cut when asked for."""
+
+    def __init__(self, groups: list[np.ndarray], length: int):
+        self.groups, self.length = groups, length
+
+    def __len__(self) -> int:
+        return sum(max(1, len(g) - self.length + 1) for g in self.groups)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (g[s : s + self.length] for g in self.groups for s in range(max(1, len(g) - self.length + 1)))
+
+    def __getitem__(self, i):
+        return list(self)[i]
+
+
 class Index:
-    """The patterns of some items and the places of their q-grams."""
+    """The patterns of some items, in groups, and the places of the groups' q-grams."""
 
     def __init__(self, items: list[tuple], p: Params):
         """items: (item_id, text)."""
-        self.p, self.items, starts = p, [], []
-        self.patterns: list[np.ndarray] = []
+        self.p, self.items = p, []
+        self.groups: list[np.ndarray] = []
+        step = GROUP + 1 - p.pattern
         for item, text in items:
             a = fold(text or "")
             if len(a) < p.q:
                 continue  # too short to tell from other text
-            last = max(0, len(a) - p.pattern)
-            for s in sorted({*range(0, last + 1, p.pattern // 2), last}):
+            for s in range(0, max(1, len(a) - p.pattern + 1), step):
                 self.items.append(item)
-                starts.append(s)
-                self.patterns.append(a[s : s + p.pattern])
-        self.edits = np.array([p.edits(len(x)) for x in self.patterns], np.int64)
-        self.bounds = np.array([p.bound(len(x)) for x in self.patterns], np.int64)
-        own = [grams(x, p.q) for x in self.patterns]
+                self.groups.append(a[s : s + GROUP])
+        sizes = [min(len(x), p.pattern) for x in self.groups]
+        self.own_edits = np.array([p.edits(m) for m in sizes], np.int16)
+        self.bounds = np.array([p.bound(m) for m in sizes], np.int16)
+        own = [grams(x, p.q) for x in self.groups]
         flat = np.concatenate([*own, np.zeros(0, np.uint64)])
-        which = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        place = np.concatenate([*(np.arange(len(x)) for x in own), np.zeros(0, np.int64)]).astype(np.int64)
+        which = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+        place = np.concatenate([*(np.arange(len(x), dtype=np.uint8) for x in own), np.zeros(0, np.uint8)])
         order = np.argsort(flat, kind="stable")
         self.hashes, first = np.unique(flat[order], return_index=True)
         self.first = np.concatenate([first, [len(flat)]]).astype(np.int64)
@@ -134,6 +161,15 @@ class Index:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
+    @property
+    def patterns(self) -> Patterns:
+        return Patterns(self.groups, self.p.pattern)
+
+    @property
+    def edits(self) -> np.ndarray:
+        """Of each pattern."""
+        return np.repeat(self.own_edits, [max(1, len(g) - self.p.pattern + 1) for g in self.groups])
+
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of `h` that are q-grams of some pattern, and their positions in `hashes`."""
         at = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
@@ -143,29 +179,31 @@ class Index:
         same = self.hashes[found] == h[at]
         return at[same], found[same]
 
-    def candidates(self, h: np.ndarray, shift: int) -> set[tuple[int, int]]:
-        """(pattern, band) that meet the bound among these q-grams; `shift`: their place in the stream."""
+    def candidates(self, h: np.ndarray, shift: int) -> dict[tuple[int, int], dict[int, int]]:
+        """By (group, band) the patterns that meet the bound among these q-grams, by their place in the group, with
+        their counts; `shift`: the q-grams' place in the stream."""
         places, found = self.hits(h)
         times = self.first[found + 1] - self.first[found]
-        ends, out, i = np.cumsum(times), set(), 0
+        ends, out, i = np.cumsum(times), {}, 0
         while i < len(places):  # parts of bounded hits, each with the places before that a band may need
             room = (ends[i - 1] if i else 0) + self.p.hits
             j = max(i + 1, int(np.searchsorted(ends, room, "right")))
-            out |= self._count(places[i:j] + shift, found[i:j], times[i:j])
+            for cell, own in self._count(places[i:j] + shift, found[i:j], times[i:j]).items():
+                _merge(out, cell, own)
             if j >= len(places):
                 break
             back = int(np.searchsorted(places, places[j] - 4 * self.p.pattern))
             i = back if back > i else j
         return out
 
-    def _count(self, places: np.ndarray, found: np.ndarray, times: np.ndarray) -> set[tuple[int, int]]:
+    def _count(self, places: np.ndarray, found: np.ndarray, times: np.ndarray) -> dict[tuple[int, int], dict[int, int]]:
         if not len(places):
-            return set()
+            return {}
         inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         row = np.repeat(self.first[found], times) + inside
-        which, place = self.which[row], self.place[row]
-        width = self.edits[which] + 1
-        band = (np.repeat(places, times) - place + 128) // width  # from 0: places in a pattern are under 128
+        which, place = self.which[row].astype(np.int64), self.place[row].astype(np.int64)
+        width = self.own_edits[which].astype(np.int64) + 1
+        band = (np.repeat(places, times) - place + 128) // width  # from 0: places in a group are under 128
         keys = []
         for b in (band, band - 1):
             ok = b >= 0
@@ -173,28 +211,53 @@ class Index:
         # A q-gram of the pattern counts once in a band, however often the document repeats it.
         own = np.concatenate(keys)
         own.sort()
-        own = own[np.append(True, own[1:] != own[:-1])] >> 7
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        cell, n = own[first], np.diff(np.append(first, len(own)))
-        pattern = cell >> 34
-        good = n >= self.bounds[pattern]
-        return set(zip(pattern[good].tolist(), (cell[good] & ((1 << 34) - 1)).tolist(), strict=True))
-
-    def align(self, text: np.ndarray, cells: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        """(pattern, start, end, edits) of the cells whose band has an alignment within the budget."""
-        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for pattern, band in cells:
-            by.setdefault((len(self.patterns[pattern]), int(self.edits[pattern])), []).append((pattern, band))
-        out = []
-        for (m, k), own in by.items():
-            for s in range(0, len(own), 2048):
-                out += self._align(text, own[s : s + 2048], m, k)
+        own = own[np.append(True, own[1:] != own[:-1])]
+        cells = own >> 7
+        first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+        cell, n = cells[first], np.diff(np.append(first, len(own)))
+        good = n >= self.bounds[cell >> 34]
+        out = {}
+        for c, f, k in zip(cell[good].tolist(), first[good].tolist(), n[good].tolist(), strict=True):
+            g = c >> 34
+            m = min(len(self.groups[g]), self.p.pattern)
+            before = np.zeros(GROUP + 1, np.int64)
+            before[(own[f : f + k] & 127) + 1] = 1
+            before = before.cumsum()
+            starts = np.arange(len(self.groups[g]) - m + 1)
+            counts = before[starts + m - self.p.q + 1] - before[starts]
+            if len(met := np.flatnonzero(counts >= self.bounds[g])):
+                out[g, c & ((1 << 34) - 1)] = dict(zip(met.tolist(), counts[met].tolist(), strict=True))
+        return out
+
+    def align(self, text: np.ndarray, cells: dict[tuple[int, int], dict[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(group, start, end, edits) of patterns of the cells whose band has an alignment within the budget.
+
+        First the outermost patterns of a cell and the one of most q-grams. Where all of these occur, those
+        between add nothing to what they span; elsewhere every pattern that meets the bound is aligned.
+        """
+        first = [(g, b, s) for (g, b), own in cells.items() for s in sorted({min(own), max(own), max(own, key=own.get)})]
+        done = self._aligned(text, first)
+        lost = {(g, b) for (g, b, s), x in zip(first, done, strict=True) if x is None}
+        tried = set(first)
+        rest = [(g, b, s) for g, b in sorted(lost) for s in sorted(cells[g, b]) if (g, b, s) not in tried]
+        return [x for x in done + self._aligned(text, rest) if x is not None]
+
+    def _aligned(self, text: np.ndarray, own: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int] | None]:
+        by: dict[tuple[int, int], list[int]] = {}
+        for at, (g, _, _) in enumerate(own):
+            by.setdefault((min(len(self.groups[g]), self.p.pattern), int(self.own_edits[g])), []).append(at)
+        out: list = [None] * len(own)
+        for (m, k), rows in by.items():
+            for s in range(0, len(rows), 2048):
+                part = rows[s : s + 2048]
+                for r, x in self._align(text, [own[r] for r in part], m, k):
+                    out[part[r]] = x
         return out
 
-    def _align(self, text: np.ndarray, own: list[tuple[int, int]], m: int, k: int) -> list[tuple[int, int, int, int]]:
-        low = np.array([band * (k + 1) - 128 - k for _, band in own])  # the first diagonal
+    def _align(self, text: np.ndarray, own: list[tuple[int, int, int]], m: int, k: int) -> list[tuple[int, tuple]]:
+        low = np.array([band * (k + 1) - 128 - k + s for _, band, s in own])  # the first diagonal
         wide = 2 * (k + 1) + 2 * k
-        pattern = np.array([self.patterns[w] for w, _ in own])
+        pattern = np.array([self.groups[g][s : s + m] for g, _, s in own])
         steps = np.arange(wide)
         cost = np.zeros((len(own), wide), np.int32)  # a stretch may start at any diagonal
         begin = low[:, None] + steps  # where the alignment in each cell starts
@@ -216,10 +279,10 @@ class Index:
         edits = cost[np.arange(len(own)), end]
         good = edits <= k
         rows = np.flatnonzero(good)
-        return [(own[r][0], int(begin[r, end[r]]), int(low[r] + end[r] + m), int(edits[r])) for r in rows]
+        return [(int(r), (own[r][0], int(begin[r, end[r]]), int(low[r] + end[r] + m), int(edits[r]))) for r in rows]
 
     def search(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text its (item_id, patterns found, least edits, begin, end); offsets in the text."""
+        """For each text its (item_id, groups found, least edits, begin, end); offsets in the text."""
         folded = [fold(t) for t in texts]
         sizes = np.array([len(a) + 1 for a in folded], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -227,14 +290,15 @@ class Index:
         for a, s in zip(folded, starts, strict=False):
             stream[s : s + len(a)] = a
         out: list[list[tuple]] = [[] for _ in texts]
-        if not self.patterns or not len(stream):
+        if not self.groups or not len(stream):
             return out
-        cells: set[tuple[int, int]] = set()
+        cells: dict[tuple[int, int], dict[int, int]] = {}
         size, over = self.p.segment, 4 * self.p.pattern
         for s in range(0, len(stream), size):
-            cells |= self.candidates(grams(stream[s : s + size + over], self.p.q), s)
+            for cell, own in self.candidates(grams(stream[s : s + size + over], self.p.q), s).items():
+                _merge(cells, cell, own)
         by: dict[tuple[int, object], list[tuple[int, int, int, int]]] = {}
-        for pattern, begin, end, edits in self.align(stream, sorted(cells)):
+        for pattern, begin, end, edits in self.align(stream, cells):
             doc = int(np.searchsorted(starts, begin, "right")) - 1
             by.setdefault((doc, self.items[pattern]), []).append((pattern, begin, end, edits))
         for (doc, item), own in sorted(by.items(), key=lambda x: (x[0][0], str(x[0][1]))):
@@ -270,8 +334,8 @@ def _find(shared):
 def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """(doc_id, item_id, patterns, edits, begin, end): each item that occurs in each document.
 
-    patterns: how many of the item's patterns were found; edits: of the best; begin and end:
-    offsets in the text that span all its places. Null and empty texts and items, and items
+    patterns: in how many groups of the item's patterns one was found; edits: the fewest of those aligned;
+    begin and end: offsets in the text that span all its places. Null and empty texts and items, and items
     with fewer than q letters, digits and spaces, match nothing. Rows that repeat each return
     their own matches. item_id is an integer. Extra columns are not read.
     """

@@ -112,3 +112,18 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
     assert d.keep_clean(df, bench, d.Params(block_chars=100)).count() == 3
     assert d.matches(df.limit(0), bench).count() == 0 and d.matches(df, bench.limit(0)).count() == 0
+
+
+def test_excerpts_of_a_pattern_from_every_place():
+    r = random.Random(7)
+    item = prose(r, 60)
+    own = "".join(map(chr, d.fold(item)))
+    index = d.Index([(1, item)], P)
+    for s in range(0, len(own) - P.pattern + 1):
+        exact = own[s : s + P.pattern].strip()
+        if len(exact) == P.pattern:
+            assert index.search([f"zq {exact} xv"])[0], s
+    texts = [f"zq {edited(own[s : s + 110], 9, r)} xv" for s in range(0, len(own) - 110, 3)]
+    for text, found in zip(texts, index.search(texts), strict=True):
+        want = any(distance_in(own[s : s + P.pattern], text) <= 9 for s in range(len(own) - P.pattern + 1))
+        assert bool(found) == want
