@@ -35,7 +35,8 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Params:
     sample: int = 3000  # labelled rows the machines are fitted on, shared out evenly over the languages
-    languages: int = 200  # at most so many, the most frequent
+    least: int = 30  # rows of each language however many there are; all rows of one that has fewer
+    versus: int = 200  # classes that have a machine for each pair; more have one each, against all others
     bits: int = 12  # hashed features: 2**bits for trigrams, a quarter for bigrams
     ridge: float = 1e-4
     slope: float = 3.0  # of the sigmoid that turns a margin into a score
@@ -100,17 +101,38 @@ class OneVersusOne:
         return best, chance[np.arange(n), best]
 
 
+class OneVersusRest(OneVersusOne):
+    """A machine for each class against all others, where pairs would be too many; the largest margin decides."""
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: list[str], p: Params) -> OneVersusRest:
+        classes, label, weights = sorted(set(y)), np.array(y), []
+        for c in classes:
+            sign = np.where(label == c, 1.0, -1.0)
+            weights.append(fit(x, sign, "hinge", p.ridge, weight=np.where(sign > 0, 1 / (sign > 0).sum(), 1 / (sign < 0).sum())))
+        return cls(classes, [], np.array(weights), p.slope)
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        margins = x @ self.weights[:, :-1].T.astype(np.float32) + self.weights[:, -1]
+        best = margins.argmax(1)
+        return best, sigmoid(self.slope * margins[np.arange(len(x)), best])
+
+
+def machines_for(x: np.ndarray, y: list[str], p: Params) -> OneVersusOne:
+    return (OneVersusOne if len(set(y)) <= p.versus else OneVersusRest).fit(x, y, p)
+
+
 class Model:
     """The family's machines and each family's own."""
 
     def __init__(self, x: np.ndarray, langs: list[str], p: Params):
         self.p = p
         family = [family_of(lang) for lang in langs]
-        self.top = OneVersusOne.fit(x, family, p) if langs else None
+        self.top = machines_for(x, family, p) if langs else None
         self.within = {}
         for f in set(family):
             own = [i for i, g in enumerate(family) if g == f]
-            self.within[f] = OneVersusOne.fit(x[own], [langs[i] for i in own], p)
+            self.within[f] = machines_for(x[own], [langs[i] for i in own], p)
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """(language, score) of each row; the score is the family's times the language's in it."""
@@ -140,13 +162,16 @@ def _featurize(p: Params):
 
 
 def learn(labelled: DataFrame, p: Params = Params()) -> Model:  # noqa: B008
-    """Fit on a bounded sample of `labelled` (doc_id, text, lang): about `sample` rows, by a hash of the id."""
+    """Fit on a bounded sample of `labelled` (doc_id, text, lang): about `sample` rows, by a hash of the id.
+
+    Every language gives the same number of rows, or all that it has.
+    """
     rows = labelled.filter("lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages)
-    shares = [(r["lang"], min(1.0, p.sample / r["count"])) for r in sizes.collect()]
-    if not shares:
+    sizes = rows.groupBy("lang").count().collect()
+    if not sizes:
         return Model(np.zeros((0, 1)), [], p)
-    shares = [(lang, min(1.0, s / len(shares))) for lang, s in shares]
+    each = max(p.least, p.sample / len(sizes))
+    shares = [(r["lang"], min(1.0, each / r["count"])) for r in sizes]
     share = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share double"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.join(share, "lang").filter(unit < F.col("share"))

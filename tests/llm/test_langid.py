@@ -52,3 +52,20 @@ def test_edge_rows(spark):
     assert langid.identify(df.limit(0)).count() == 0
     none = df.withColumn("lang", df.lang.substr(1, 0)).filter("false").union(df.select("doc_id", "text", df.score.substr(9, 1).alias("lang"), "score").replace("", None))
     assert {r.score for r in langid.identify(none).collect() if r.lang_pred == "und"} == {0.0}
+
+
+def test_every_language_gives_its_even_share(spark):
+    r = random.Random(8)
+    small = {f"x{k}": [f"{chr(97 + k)}{chr(98 + k)}{c}{chr(97 + k)}" for c in "aeiou"] for k in range(20)}
+    rows = [(i, " ".join(r.choice(w) for _ in range(20)), lang) for i, (lang, w) in enumerate((lang, w) for lang, w in small.items() for _ in range(400 if lang == "x0" else 15))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for p in (langid.Params(), langid.Params(versus=5)):
+        seen = {}
+        first, langid.Model.__init__ = langid.Model.__init__, lambda self, x, langs, p, seen=seen: (seen.update({g: langs.count(g) for g in langs}), first(self, x, langs, p))[1]
+        try:
+            model = langid.learn(df, p)
+        finally:
+            langid.Model.__init__ = first
+        assert all(seen[g] == 15 for g in small if g != "x0") and 110 <= seen["x0"] <= 190
+        x = np.array([langid.features(" ".join(w), p.bits) for w in small.values()])
+        assert [g for g, _ in model.predict(x)] == list(small)
