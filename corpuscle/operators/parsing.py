@@ -198,10 +198,39 @@ def parse_html(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, html).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, title string, content string")
 
 
+#: Character references of paragraphs, the ampersand's last.
+REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&"))
+
+
 def paragraphs_of_html(html: str | Column) -> Column:
-    """Texts of the <p> elements, tags and character references cleaned, in order; no Python."""
-    found = F.regexp_extract_all(col(html), F.lit(r"<p>([^<]*)"), F.lit(1))
-    return F.filter(F.transform(found, strip), lambda x: x != "")
+    """Texts of the <p> elements in order, inner tags stripped and character references resolved; no Python.
+
+    A paragraph ends at </p>, or where the next begins. References are the numeric ones below 65,536 and REFERENCES.
+    """
+    bare = F.regexp_replace(col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    found = F.regexp_extract_all(bare, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p\s*>|<p[\s>]|\z)"), F.lit(1))
+
+    def number(x: Column, pattern: str, base: int) -> Column:
+        """The text with its numeric references resolved, part by part."""
+        parts = F.split(x, f"(?i)(?=&#{pattern};)")
+
+        def own(t: Column) -> Column:
+            digits = F.regexp_extract(t, f"(?i)^&#{pattern};", 1)
+            code = F.conv(digits, base, 10).cast("int")
+            utf16 = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+            fits = (digits != "") & (F.length(digits) <= 5) & code.between(1, 0xFFFF) & ~code.between(0xD800, 0xDFFF)
+            return F.when(fits, F.concat(utf16, F.regexp_replace(t, "^&#[^;]*;", ""))).otherwise(t)
+
+        return F.array_join(F.transform(parts, own), "")
+
+    def clean(x: Column) -> Column:
+        x = F.regexp_replace(x, "<[^>]*>", "")
+        x = number(number(x, "([0-9]+)", 10), "x([0-9a-f]+)", 16)
+        for name, sign in REFERENCES:
+            x = F.replace(x, F.lit(f"&{name};"), F.lit(sign))
+        return strip(x)
+
+    return F.filter(F.transform(found, clean), lambda x: x != "")
 
 
 #: Infobox labels that have a group by name.

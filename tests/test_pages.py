@@ -47,3 +47,9 @@ def test_attributes(spark):
     text = spark.createDataFrame([("## In The Eye\nx\n## Out\n## In Hunt ",)], "t string").select(pages.temporal_titles("t").alias("x")).first().x
     assert text == ["The Eye", "Hunt"]
     assert [pages.format_metric(*a) for a in ((12.34, "percent"), (3661, "seconds"), (61, "seconds"), (2048, "bytes"), (1234, "n"))] == ["12.3%", "1h 1m 1s", "1m 1.0s", "2.0 KB", "1,234"]
+
+
+def test_paragraphs_are_whole(spark):
+    html = '<p>One <b>two</b> three</p><p class="x"><i>four</i> &amp; &#39;five&#39; &#x41;&lt;b&gt;</p><pre>no</pre><P>six<p> </p><p>seven<!-- <p>no --> &amp;lt;'
+    (row,) = spark.createDataFrame([(html,)], "h string").select(parsing.paragraphs_of_html("h").alias("p")).collect()
+    assert row.p == ["One two three", "four & 'five' A<b>", "six", "seven &lt;"]
