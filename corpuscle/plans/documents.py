@@ -97,8 +97,17 @@ fold AS (SELECT conv_id, rn, title AS titles, text AS cur, 1 AS chunk_index FROM
     f.chunk_index + CASE WHEN length(f.cur) + 2 + length(s.text) <= 1200 THEN 0 ELSE 1 END FROM fold f JOIN s ON s.conv_id = f.conv_id AND s.rn = f.rn + 1)
 SELECT conv_id, CAST(chunk_index AS BIGINT) AS chunk_index, arg_max(titles, rn) AS titles, arg_max(cur, rn) AS text FROM fold GROUP BY conv_id, chunk_index""")
 def section_pack(spark, sf_dir):
-    """Turns as sections, packed by conversation; turns over the limit are another query's matter."""
-    turns = table(spark, sf_dir, "conversations").filter(F.length("text") <= 1200)
+    """Turns as sections, packed by conversation; by its SQL without turns over the limit, which section_pack_whole has."""
+    return _packed(table(spark, sf_dir, "conversations").filter(F.length("text") <= 1200))
+
+
+@query()
+def section_pack_whole(spark, sf_dir):
+    """All turns as sections, packed by conversation; a turn over the limit is packed by itself."""
+    return _packed(table(spark, sf_dir, "conversations"))
+
+
+def _packed(turns):
     order = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), "text")))
     rows = turns.groupBy("conv_id").agg(F.transform(order, lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"))).alias("sections"))
     packed = rows.select("conv_id", F.posexplode(chunking.pack_sections(F.col("sections"), 1200)).alias("pos", "c"))
