@@ -260,15 +260,21 @@ def _relabel(rows: DataFrame, old: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """(a, b) of the pairs of ties (a, b) whose texts have at least the similarity. Tables of distinct pairs."""
     both = materialize(pairs)
-    nodes = both.select("a").union(both.select("b")).distinct()
+    nodes = materialize(both.select("a").union(both.select("b")).distinct())  # a small table is broadcast, and the texts stay
     texts = docs.select(tie("text").alias("t"), raw_text().alias("text"))
     texts = materialize(texts.join(nodes, texts.t == nodes.a, "left_semi").dropDuplicates(["t"]))
     x = texts.select(F.col("t").alias("tx"), F.col("text").alias("x"))
     y = texts.select(F.col("t").alias("ty"), F.col("text").alias("y"))
     rows = both.join(y, both.b == y.ty).join(x, F.col("a") == x.tx).select("a", "b", "x", "y")
-    out = materialize(rows.mapInArrow(_similar(shingle, least), "a long, b long"))
-    discard(texts)
-    discard(both)
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "256")  # two texts a row
+    try:
+        out = materialize(rows.mapInArrow(_similar(shingle, least), "a long, b long"))
+    finally:
+        conf.set(name, before)
+    for t in (texts, nodes, both):
+        discard(t)
     return out
 
 
