@@ -10,6 +10,17 @@ from .test_linededup import brute as brute_lines
 from .test_simhash import classes
 
 
+def near_groups(text, least=0.8):
+    """Groups by two bits of the fingerprint or by the Jaccard of five-word shingle sets, every pair compared."""
+    words = {i: (t or "").encode().lower().split() for i, t in text.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    prints = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in text.items()}
+    ids = sorted(text)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]]
+    near = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 2 or sets[a] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    return classes(ids, near)
+
+
 def test_stages_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     frames = [docs]
@@ -23,10 +34,7 @@ def test_stages_against_brute_force(spark, sf):
     assert gone and sum(not labels.get(i, 1) for i in gone) <= 2
     lines = brute_lines(list(text[1].items()), 50)
     assert text[2] == {i: t for i, t in lines.items() if t == text[1][i] or t.strip()}
-    prints = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in text[2].items()}
-    ids = sorted(prints)
-    groups = classes(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2])
-    assert text[3] == {i: text[2][i] for i in ids if groups[i] == i}
+    assert text[3] == {i: text[2][i] for i, g in near_groups(text[2]).items() if g == i}
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaks = {i for i, t in text[3].items() if any(x in t for x in items)}
     assert leaks and not leaks & set(text[4])
@@ -67,13 +75,6 @@ def test_every_operator_has_a_query():
 def test_near_copies_go_by_similarity(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r.doc_id: r.text or "" for r in docs.collect()}
-    words = {i: t.encode().lower().split() for i, t in text.items()}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
-    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in text.items()}
-    ids = sorted(text)
-    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]]
-    bits = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 2]
-    close = [(a, b) for a, b in pairs if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    groups = classes(ids, bits + close)
+    groups, by_bits = near_groups(text), near_groups(text, 2.0)
     kept = {r.doc_id: r.text for r in pipe.drop_near_duplicates(spark, docs, sf).collect()}
-    assert kept == {i: text[i] for i in ids if groups[i] == i} and len(kept) < len(set(classes(ids, bits).values()))
+    assert kept == {i: text[i] for i, g in groups.items() if g == i} and len(kept) < len(set(by_bits.values()))

@@ -38,21 +38,30 @@ def test_every_pair_within_two_bits_meets_at_a_home():
             y ^= 1 << b
         xs.append(x)
         ys.append(y)
-    for blocks in (1, 2):
+    for blocks in (1, 2, 3):
         home = simhash.homes(np.array(xs, np.uint64), blocks)
         row, anchor = simhash.replicas(np.array(ys, np.uint64), blocks)
         reach = set(zip(row.tolist(), anchor.tolist(), strict=True))
         assert len(reach) == len(row) and all((k, h) in reach for k, h in enumerate(home.tolist()))
 
 
-def test_codewords_are_a_perfect_code():
-    patterns, begin = simhash.cosets()[0]
-    assert len(patterns) == 2048 and (np.diff(begin) == 1).all()
+def test_codewords_are_perfect_codes():
     y = np.random.default_rng(0).integers(0, 2**63, 300, dtype=np.uint64)
-    home = simhash.homes(y, 2)
-    for b in range(2):
-        word, own = (home >> (23 * b)) & (2**23 - 1), (y.astype(np.int64) >> (23 * b)) & (2**23 - 1)
-        assert (simhash.syndrome(word) == 0).all() and np.bitwise_count(word ^ own).max() <= 3
+    home, at = simhash.homes(y, 3), 0
+    for b, (poly, length, radius) in enumerate(simhash.CODES):
+        patterns, begin = simhash.cosets(b)[0]
+        assert len(patterns) == 1 << poly.bit_length() - 1 and (np.diff(begin) == 1).all()
+        word, own = (home >> at) & (2**length - 1), (y.astype(np.int64) >> at) & (2**length - 1)
+        assert (simhash.syndrome(word, b) == 0).all() and np.bitwise_count(word ^ own).max() <= radius
+        at += length
+
+
+def test_comparisons_stay_bounded_as_fingerprints_grow():
+    for blocks, n, most in ((2, 4096, 80), (3, 4096, 200)):
+        row, _ = simhash.replicas(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64), blocks)
+        assert len(row) <= most * n  # replicas a fingerprint
+    # Of 16 times the fingerprints at which the third block sets in, each meets few at the anchors.
+    assert simhash.MANY * 80 / 2**24 <= 80 and 16 * simhash.MANY * 200 / 2**35 <= 2
 
 
 def test_long_and_short_bit_counts_agree():
@@ -119,3 +128,10 @@ def test_similar_texts_link_by_their_shingle_sets(spark):
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, 5, similarity=0.8).collect()}
     assert got == want and len(close) > 60 and want != classes(sets, bits)
     assert {x.doc_id for x in simhash.keep_one(df, 5, similarity=0.8).collect()} == set(want.values())
+
+
+def test_rows_alike_leave_one_by_a_fixed_rule(spark):
+    rows = [(1, "same words here", x, i) for i, x in enumerate("cabd")] + [(2, "same words here", "z", 9), (None, None, "q", 1), (None, None, "q", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string, tie int")
+    got = [sorted(map(str, simhash.keep_one(df.repartition(k)).collect())) for k in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2
