@@ -47,6 +47,12 @@ class Sparse:
         out.rows, out.columns, out.values, out.n = place[self.rows[own]], self.columns[own], self.values[own], int(keep.sum())
         return out
 
+    def only(self, allowed: np.ndarray) -> Sparse:
+        """With the sparse columns that are allowed; the others hold nothing."""
+        out, own = Sparse([], [], self.width, self.dense), allowed[self.columns]
+        out.rows, out.columns, out.values, out.n = self.rows[own], self.columns[own], self.values[own], self.n
+        return out
+
     def beside(self, column: np.ndarray) -> Sparse:
         """With one more dense column."""
         out = Sparse([], [], self.width, np.hstack([self.dense, column[:, None]]))

@@ -4,25 +4,29 @@ chances of the categories before it.
 Terms are words and word beginnings. Their document counts by category over the labelled sample
 choose a fixed number of terms; each gives two features, that it occurs and how often. Each
 link of the chain is a logistic regression. A later link sees, when it is fitted, what the
-earlier ones say of rows they were not fitted on (out-of-fold), as it will when it predicts.
+earlier ones say of rows they were not fitted on (out-of-fold), as it will when it predicts;
+each fold chooses its terms without its own rows too. The folds of a link are fitted as tasks.
+
+The labelled sample is written once, so documents are read twice: for the sample, to predict.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, raw_text, slices, text_runs
+from .common import OWN, discard, materialize, raw_text, slices, text_runs
 from .linear import Sparse, fit, sigmoid
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: Words of letters and digits; a zero byte stands between texts.
+_WORD = re.compile(r"[^\W_]+")
+_WORD_OR_END = re.compile(r"[^\W_]+|\0")
 
 
 @dataclass(frozen=True)
@@ -30,14 +34,14 @@ class Params:
     categories: tuple[str, ...] = ("quality", "toxic")  # 0/1 columns of the labels, in the chain's order
     decides: str = "toxic"
     sample: int = 10_000  # labelled rows the chain is fitted on
-    terms: int = 300  # that speak for a category, each
-    against: int = 0  # that speak against it
+    terms: int = 400  # that speak for a category, each
+    against: int = 100  # that speak against it
     least_docs: int = 3  # a term has to be in so many sample rows
     starts: tuple[int, ...] = (4, 5, 6, 7)  # lengths of word beginnings
     folds: int = 4
     ridge: float = 1e-5
     steps: int = 300
-    remembered: int = 300_000  # words whose terms a worker remembers
+    remembered: int = 200_000  # words whose terms a worker remembers
 
 
 def terms_of(word: str, starts: tuple[int, ...]) -> list[str]:
@@ -50,34 +54,91 @@ def tokens(text: bytes) -> Iterator[str]:
         yield from _WORD.findall(part.decode("utf-8", "replace").lower())
 
 
-class Terms(dict):
-    """word -> positions of the terms it counts for, remembered up to a bound."""
+class Terms:
+    """Counts terms in texts. Words are looked up by number, the different ones of many texts at once."""
 
     def __init__(self, terms: list[str], p: Params):
-        super().__init__()
         self.at, self.p = {t: i for i, t in enumerate(terms)}, p
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.at[t] for t in terms_of(word, self.p.starts) if t in self.at)
-        if len(self) < self.p.remembered:
-            self[word] = found
+    def _of(self, word: str) -> tuple[int, ...]:
+        found = self.known[word] = tuple(self.at[t] for t in terms_of(word, self.p.starts) if t in self.at)
         return found
 
-    def counts(self, text: bytes) -> tuple[int, Counter]:
-        """Words of the whole text, and how often each term occurs."""
-        n, found = 0, Counter()
-        for part in text_runs(text):
-            words = _WORD.findall(part.decode("utf-8", "replace").lower())
-            n += len(words)
-            found.update([t for w in words for t in self[w]])
-        return n, found
+    def _part(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; and (text, term, times)."""
+        # A zero byte in a text is no word; it must not pass for an end.
+        joined = "\0".join([t.decode("utf-8", "replace").lower().replace("\0", " ") for t in texts])
+        coded = pa.array(_WORD_OR_END.findall(joined), pa.string()).dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.known
+        found = [() if w == "\0" else known.get(w) or (known[w] if w in known else self._of(w)) for w in words]
+        if len(known) > self.p.remembered:
+            known.clear()
+        end = words.index("\0") if "\0" in words else -1
+        text = np.cumsum(at == end)
+        n = np.bincount(text[at != end], minlength=len(texts))
+        size = np.array([len(x) for x in found], np.int64)
+        starts, flat = np.cumsum(size) - size, np.array([t for x in found for t in x], np.int64)
+        own = np.flatnonzero(size[at] > 0) if len(at) else at
+        at, text = at[own], text[own]
+        each = size[at]
+        term = flat[np.arange(each.sum()) + np.repeat(starts[at] - (np.cumsum(each) - each), each)]
+        key, times = np.unique(np.repeat(text, each) * len(self.at) + term, return_counts=True)
+        return n, key // max(1, len(self.at)), key % max(1, len(self.at)), times
+
+    def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each whole text; and (text, term, times), by text, then term. Texts go in runs of bounded size."""
+        total, found = np.zeros(len(texts), np.int64), []
+        which: list[int] = []
+        parts: list[bytes] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            if parts:
+                n, text, term, times = self._part(parts)
+                own = np.array(which)
+                np.add.at(total, own, n)
+                found.append((own[text], term, times))
+                which.clear()
+                parts.clear()
+                held = 0
+
+        for i, text in enumerate(texts):
+            for part in text_runs(text):
+                which.append(i)
+                parts.append(part)
+                held += len(part)
+                if held > 1 << 20:
+                    flush()
+        flush()
+        text, term, times = (np.concatenate([*(f[k] for f in found), np.zeros(0, np.int64)]) for k in range(3))
+        key, back = np.unique(text * max(1, len(self.at)) + term, return_inverse=True)
+        return total, key // max(1, len(self.at)), key % max(1, len(self.at)), np.bincount(back, times, len(key)).astype(np.int64)
+
+
+def rows_of(words: np.ndarray, text: np.ndarray, term: np.ndarray, times: np.ndarray, n_terms: int) -> Sparse:
+    """Features: whether a term occurs, and its share of the words on a log scale."""
+    out = Sparse([], [], 2 * n_terms, np.zeros((len(words), 0)))
+    share = np.log1p(1000.0 * times / np.maximum(1, words[text])) / 4
+    out.rows, out.columns = np.concatenate([text, text]), np.concatenate([term, n_terms + term])
+    out.values, out.n = np.concatenate([np.ones(len(text)), share]), len(words)
+    return out
 
 
-def rows_of(found: list[tuple[int, Counter]], n_terms: int) -> Sparse:
-    """Features: whether a term occurs, and its share of the words on a log scale."""
-    columns = [[*c, *(n_terms + t for t in c)] for _, c in found]
-    values = [[1.0] * len(c) + [float(np.log1p(1000.0 * k / n)) / 4 for k in c.values()] for n, c in found]
-    return Sparse(columns, values, 2 * n_terms)
+def _fits(shared, p: Params):
+    """One row a fold in: the weights fitted without the fold (of the last number: with all rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, sign, fold, allowed = shared.value
+        for batch in batches:
+            for f in batch.column("id").to_pylist():
+                own = fold != f
+                w = fit(x.take(own).only(allowed[f]), sign[own], "logistic", p.ridge, p.steps) if own.any() else np.zeros(x.shape[1] + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["fold", "w"])
+
+    return run
 
 
 class Chain:
@@ -88,24 +149,33 @@ class Chain:
         self.cuts: list[float] = []
 
     @classmethod
-    def fit(cls, terms: list[str], x: Sparse, y: np.ndarray, fold: np.ndarray, p: Params) -> Chain:
-        """x: text features; y: 0/1 by row and category."""
+    def fit(cls, spark, terms: list[str], x: Sparse, y: np.ndarray, fold: np.ndarray, allowed: list[np.ndarray], p: Params) -> Chain:
+        """x: text features; y: 0/1 by row and category; allowed: by fold, and last for all rows, the features it may use."""
         weights, cuts = [], []
         for c in range(y.shape[1]):
             sign = np.where(y[:, c] > 0, 1.0, -1.0)
-            weights.append(fit(x, sign, "logistic", p.ridge, p.steps))
+            shared = spark.sparkContext.broadcast((x, sign, fold, allowed))
+            fitted = spark.range(0, p.folds + 1, 1, p.folds + 1).mapInArrow(_fits(shared, p), "fold long, w binary").collect()
+            by = {r.fold: np.frombuffer(bytes(r.w)) for r in fitted}
+            weights.append(by[p.folds])
             apart = np.zeros(x.n)
             for f in range(p.folds):
                 own = fold == f
-                if own.any() and (~own).any():
-                    w = fit(x.take(~own), sign[~own], "logistic", p.ridge, p.steps)
-                    apart[own] = sigmoid(x.take(own) @ w[:-1] + w[-1])
+                apart[own] = sigmoid(x.take(own) @ by[f][:-1] + by[f][-1])
             cuts.append(best_cut(apart, sign > 0))
             x = x.beside(apart)
+            shared.unpersist()
         out = cls(terms, weights, p)
         out.out_of_fold, out.cuts = x.dense, cuts
         return out
 
+    def trimmed(self, n: int) -> Chain:
+        """Without the terms from the n-th on, which only folds used."""
+        m = len(self.terms)
+        self.weights = [np.concatenate([w[:n], w[m : m + n], w[2 * m :]]) for w in self.weights]
+        self.terms = self.terms[:n]
+        return self
+
     def cut(self, category: str) -> float:
         """The chance from which a row is in the category: near the best F1 on the out-of-fold chances."""
         at = self.p.categories.index(category)
@@ -128,26 +198,26 @@ def best_cut(chance: np.ndarray, true: np.ndarray) -> float:
 
 
 def _term_counts(p: Params):
-    k = len(p.categories)
+    """(term, then by fold the rows that have it and those of each category)."""
+    k = len(p.categories) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array(list(held), pa.string()), *(pa.array([v[c] for v in held.values()], pa.int64()) for c in range(k + 1))]
-            return pa.RecordBatch.from_arrays(columns, names=["term", "n", *(f"n{c}" for c in range(k))])
+            columns = [pa.array(list(held), pa.string()), *(pa.array([v[c] for v in held.values()], pa.int64()) for c in range(k * p.folds))]
+            return pa.RecordBatch.from_arrays(columns, names=["term", *(f"n{f}_{c}" for f in range(p.folds) for c in range(k))])
 
         for batch in slices(batches, "text"):
-            labels = [batch.column(f"y{c}").to_pylist() for c in range(k)]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                own = [1, *(int(label[i]) for label in labels)]
+            labels = [batch.column(f"y{c}").to_pylist() for c in range(k - 1)]
+            for i, (text, f) in enumerate(zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)):
+                own = [k * f, *(k * f + 1 + c for c in range(k - 1) if labels[c][i])]
                 for t in {t for w in set(tokens(text)) for t in terms_of(w, p.starts)}:
                     if (v := held.get(t)) is None:
-                        held[t] = own.copy()
-                    else:
-                        for c in range(k + 1):
-                            v[c] += own[c]
-                if len(held) > 150_000:
+                        v = held[t] = [0] * (k * p.folds)
+                    for c in own:
+                        v[c] += 1
+                if len(held) > 100_000:
                     yield out()
                     held.clear()
         if held:
@@ -160,51 +230,89 @@ def _sample_rows(shared, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(shared.value, p)
         for batch in slices(batches, "text"):
-            found = [terms.counts(t) for t in batch.column("text").to_pylist()]
+            words, text, term, times = terms.count(batch.column("text").to_pylist())
+            cuts = np.searchsorted(text, np.arange(len(words) + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (term, times)]
             columns = {c: batch.column(c) for c in batch.schema.names if c != "text"}
-            columns |= {"words": pa.array([n for n, _ in found], pa.int64()), "at": pa.array([list(c) for _, c in found], pa.list_(pa.int32())), "times": pa.array([list(c.values()) for _, c in found], pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict(columns | {"words": pa.array(words), "at": lists[0], "times": lists[1]})
 
     return run
 
 
+def _unit(*columns: str | Column) -> Column:
+    """A number from 0 to 1 by the hash."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) / float(1 << 20)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
+    """At most about `sample` rows (key, text, y0, y1, ..., fold) of labelled documents, written once.
+
+    Labels of one id count together, as 1 if any says so; rows alike in id and text count once.
+    """
+    cats = [F.max(F.col(c).cast("int")).alias(f"y{i}") for i, c in enumerate(p.categories)]
+    usable = labels.select("doc_id", *p.categories).dropna().groupBy("doc_id").agg(*cats)
+    share = min(1.0, p.sample / max(usable.count(), 1))
+    # Distinct ids: bounded by p.sample, whatever the tables, so the text side doesn't move.
+    chosen = F.broadcast(usable.filter(_unit("doc_id", F.lit("sample")) < share))
+    rows = docs.select("doc_id", raw_text().alias("text")).join(chosen, "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
+    ys = [F.first(f"y{c}").alias(f"y{c}") for c in range(len(p.categories))]
+    rows = materialize(rows.groupBy("key").agg(F.first("text").alias("text"), *ys))
+    share = min(1.0, p.sample / max(rows.count(), 1))  # an id may be that of many documents
+    return rows.filter(_unit("key", F.lit("row")) < share).withColumn("fold", F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(p.folds)).cast("int"))
+
+
+def choose_terms(counts: DataFrame, totals: np.ndarray, p: Params) -> list[list[str]]:
+    """By fold, without its rows, and last of all rows: the terms that speak most for or against a category.
+
+    totals: rows by fold, of which by category.
+    """
+    out = []
+    for f in range(p.folds + 1):
+        others = [g for g in range(p.folds) if g != f]
+        total, terms = totals[others].sum(0), {}
+        n = sum((F.col(f"n{g}_0") for g in others), F.lit(0))
+        for c in range(1, totals.shape[1]):
+            if not 0 < total[c] < total[0]:
+                continue
+            rate = float(total[c] / total[0])
+            z = (sum((F.col(f"n{g}_{c}") for g in others), F.lit(0)) - n * rate) / F.sqrt(n * rate * (1 - rate))
+            own = counts.filter(n >= p.least_docs).select("term", z.alias("z"))
+            for order, most in ((F.desc("z"), p.terms), (F.asc("z"), p.against)):
+                terms |= dict.fromkeys(r.term for r in own.orderBy(order, "term").limit(most).collect()) if most else {}
+        out.append(sorted(terms))
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Chain:  # noqa: B008
-    """Fit the chain on at most about `sample` labelled rows, chosen by a hash of the id.
+    """Fit the chain on :func:`labelled_sample`.
 
     Labels with a null id or category are not used. Without any usable row nothing is learned.
     """
-    cats = [F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(p.categories)]
-    usable = labels.select("doc_id", *cats).dropna()
-    n = usable.count()
-    share = min(1.0, p.sample / max(n, 1))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    # Bounded by p.sample, whatever the table: the text side doesn't move.
-    chosen = F.broadcast(usable.filter(unit < share))
-    rows = docs.select("doc_id", raw_text().alias("text")).join(chosen, "doc_id")
+    spark, rows = docs.sparkSession, labelled_sample(docs, labels, p)
     k = range(len(p.categories))
-    kinds = "".join(f", y{c} int" for c in k)
-    sums = "".join(f", n{c} long" for c in k)
-    counts = rows.mapInArrow(_term_counts(p), f"term string, n long{sums}").groupBy("term").agg(*(F.sum(c).alias(c) for c in ["n", *(f"n{c}" for c in k)]))
-    counts = counts.filter(F.col("n") >= p.least_docs)
-    base = rows.select(*(F.avg(f"y{c}").alias(f"y{c}") for c in k)).first()
-    terms: dict[str, None] = {}
-    for c in k:
-        rate = base[c]
-        if rate is None or not 0 < rate < 1:
-            continue
-        z = (F.col(f"n{c}") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-        for order, most in ((F.desc("z"), p.terms), (F.asc("z"), p.against)):
-            if most:
-                terms |= dict.fromkeys(r.term for r in counts.select("term", z.alias("z")).orderBy(order, "term").limit(most).collect())
-    own = sorted(terms)
-    if not own:
+    names = [f"n{f}_{c}" for f in range(p.folds) for c in range(len(k) + 1)]
+    sums = "".join(f", {c} long" for c in names)
+    counts = rows.mapInArrow(_term_counts(p), f"term string{sums}").groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
+    counts = materialize(counts.filter(sum((F.col(f"n{f}_0") for f in range(p.folds)), F.lit(0)) >= p.least_docs))
+    totals = np.zeros((p.folds, len(k) + 1), np.int64)
+    for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(f"y{c}").alias(f"y{c}") for c in k)).collect():
+        totals[r.fold] = [r.n, *(r[f"y{c}"] for c in k)]
+    chosen = choose_terms(counts, totals, p)
+    discard(counts)
+    if not chosen[-1]:
         return Chain([], [], p)
-    shared = docs.sparkSession.sparkContext.broadcast(own)
-    found = rows.mapInArrow(_sample_rows(shared, p), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{kinds}, words long, at array<int>, times array<int>").collect()
-    found.sort(key=lambda r: (str(r.doc_id), r.words, r.at, r.times))
-    x = rows_of([(r.words, Counter(dict(zip(r.at, r.times, strict=True)))) for r in found], len(own))
+    own = [*chosen[-1], *sorted({t for terms in chosen for t in terms} - set(chosen[-1]))]
+    shared = spark.sparkContext.broadcast(own)
+    kinds = "".join(f", y{c} int" for c in k)
+    found = rows.mapInArrow(_sample_rows(shared, p), f"key long{kinds}, fold int, words long, at array<int>, times array<int>").collect()
+    found.sort(key=lambda r: r.key)
+    text = np.repeat(np.arange(len(found)), [len(r["at"]) for r in found])
+    term, times = (np.array([v for r in found for v in r[c]], np.int64) for c in ("at", "times"))
+    x = rows_of(np.array([r.words for r in found]), text, term, times, len(own))
     y = np.array([[r[f"y{c}"] for c in k] for r in found])
-    return Chain.fit(own, x, y, np.arange(len(found)) % p.folds, p)
+    allowed = [np.isin(own, terms) for terms in chosen]
+    chain = Chain.fit(spark, own, x, y, np.array([r.fold for r in found]), [np.append(a, a) for a in allowed], p)
+    return chain.trimmed(len(chosen[-1]))
 
 
 def _predict(shared):
@@ -213,10 +321,7 @@ def _predict(shared):
         terms = Terms(chain.terms, chain.p)
         names = [f"{OWN}{c}" for c in chain.p.categories]
         for batch in slices(batches, f"{OWN}text", 2 << 20):
-            texts, out = batch.column(f"{OWN}text").to_pylist(), []
-            for s in range(0, len(texts), 512):
-                out.append(chain.predict(rows_of([terms.counts(t) for t in texts[s : s + 512]], len(chain.terms))))
-            chances = np.concatenate(out)
+            chances = chain.predict(rows_of(*terms.count(batch.column(f"{OWN}text").to_pylist()), len(chain.terms)))
             columns = {c: batch.column(c) for c in batch.schema.names if c != f"{OWN}text"}
             columns |= {c: pa.array(chances[:, i]) for i, c in enumerate(names)}
             yield pa.RecordBatch.from_pydict(columns)
@@ -228,7 +333,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     """All rows and columns, and ``__cc_<category>``: the chance of each category.
 
     Null and empty texts have no term, so they get what the chain says of no evidence.
-    Repeated rows each return; an empty table returns no rows.
+    Very long texts are read whole, in runs. Repeated rows each return; an empty table returns no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     rows = docs.withColumn(f"{OWN}text", raw_text())
@@ -237,7 +342,12 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """The documents, with all their columns, that the deciding category doesn't reject."""
+    """The documents, with all their columns, that the deciding category doesn't reject.
+
+    Null and empty texts have no term: they stay unless the chain rejects what has no evidence. Each of
+    rows alike gets the same decision. Very long texts are read whole, in runs. Without usable labels
+    everything stays; an empty table returns no rows. Extra columns stay, whatever their names.
+    """
     chain = learn(docs, labels, p)
     return predict(docs, chain).filter(F.col(f"{OWN}{p.decides}") < chain.cut(p.decides)).select(*docs.columns)
 
