@@ -15,6 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ class Params:
     slope: float = 3.0  # of the sigmoid that turns a margin into a score
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BREAK = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -162,20 +163,22 @@ def _featurize(p: Params):
 
 
 def learn(labelled: DataFrame, p: Params = Params()) -> Model:  # noqa: B008
-    """Fit on a bounded sample of `labelled` (doc_id, text, lang): about `sample` rows, by a hash of the id.
+    """Fit on a bounded sample of `labelled` (text, lang): about `sample` rows, by a hash of both.
 
-    Every language gives the same number of rows, or all that it has.
+    Every language gives the same number of different texts, or all that it has: rows that repeat
+    count once, so neither a repeated id nor a repeated text makes the sample larger.
     """
-    rows = labelled.filter("lang is not null")
-    sizes = rows.groupBy("lang").count().collect()
+    rows = labelled.filter("lang is not null").select("lang", raw_text().alias("text"))
+    key = F.xxhash64("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()
     if not sizes:
         return Model(np.zeros((0, 1)), [], p)
     each = max(p.least, p.sample / len(sizes))
-    shares = [(r["lang"], min(1.0, each / r["count"])) for r in sizes]
+    shares = [(r["lang"], min(1.0, each / max(1, r["n"]))) for r in sizes]
     share = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share double"))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(share, "lang").filter(unit < F.col("share"))
-    found = sample.select("lang", raw_text().alias("text")).mapInArrow(_featurize(p), "lang string, x binary").collect()
+    unit = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.join(share, "lang").filter(unit < F.col("share")).groupBy(key.alias("key")).agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    found = sample.select("lang", "text").mapInArrow(_featurize(p), "lang string, x binary").collect()
     found.sort(key=lambda r: (r["lang"], r["x"]))
     x = np.array([np.frombuffer(r["x"], "<f2") for r in found], np.float32)
     return Model(x, [r["lang"] for r in found], p)
@@ -204,7 +207,7 @@ def identify(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     Learns from the rows that are not held out (crc32 of the id as text, mod 4, is 2) and have
     a lang; predicts from the text alone. Texts that are null or have no letter are `und` with
     score 0, and so is every text when there is nothing to learn from. Repeated rows each
-    return; an empty table returns no rows; extra columns are not read.
+    return; very long texts count whole; an empty table returns no rows; extra columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(modulus=4).alias("held_out"), "text", F.col("lang").cast("string").alias("lang"))

@@ -43,11 +43,11 @@ def test_features_of_long_texts_are_whole():
 
 
 def test_edge_rows(spark):
-    rows = [*corpus(60), (1000, None, "en"), (1001, "", None), (1002, "123 !?", "de"), (1003, "the and of", None), (1003, "the and of", None), (None, "der die das und", "de"), (1004, "le la les " * 100_000, "fr")]
+    rows = [*corpus(60), (1000, None, "en"), (1001, "", None), (1002, "123 !?", "de"), (1005, "\u00b2 \u00bd 1\u00b2 \u2167", "de"), (1003, "the and of", None), (1003, "the and of", None), (None, "der die das und", "de"), (1004, "le la les " * 100_000, "fr")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
     got = langid.identify(df).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(rows) and [by[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3
+    assert len(got) == len(rows) and [by[i].lang_pred for i in (1000, 1001, 1002, 1005)] == ["und"] * 4
     assert by[1003].lang_pred == "en" and by[None].lang_pred == "de" and by[1004].lang_pred == "fr"
     assert langid.identify(df.limit(0)).count() == 0
     none = df.withColumn("lang", df.lang.substr(1, 0)).filter("false").union(df.select("doc_id", "text", df.score.substr(9, 1).alias("lang"), "score").replace("", None))
@@ -69,3 +69,22 @@ def test_every_language_gives_its_even_share(spark):
         assert all(seen[g] == 15 for g in small if g != "x0") and 110 <= seen["x0"] <= 190
         x = np.array([langid.features(" ".join(w), p.bits) for w in small.values()])
         assert [g for g, _ in model.predict(x)] == list(small)
+
+
+def test_repeats_leave_the_sample_bounded(spark):
+    rows = [*corpus(200), *((7, "der die das und ist", "de") for _ in range(3000)), *((None, f"the of and {i}", "en") for i in range(3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    first, langid.Model.__init__ = langid.Model.__init__, lambda self, x, langs, p: (seen.extend(langs), first(self, x, langs, p))[1]
+    try:
+        langid.learn(df, langid.Params(sample=400))
+    finally:
+        langid.Model.__init__ = first
+    assert len(seen) <= 400 * 1.3 and seen.count("de") <= 60 and seen.count("fr") == seen.count("es") == 50
+
+
+def test_accuracy_at_scale(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in langid.identify(docs).collect() if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held) > 200
