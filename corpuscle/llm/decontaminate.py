@@ -18,7 +18,7 @@ items, and a larger benchmark takes more passes over the documents.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -32,6 +32,8 @@ from .common import OWN, raw_text, slices
 
 #: Characters of a group of patterns; their places take seven bits.
 GROUP = 127
+#: Characters of a long text that are compared at once.
+RUN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -116,37 +118,28 @@ def _merge(cells: dict, cell: tuple[int, int], own: dict[int, int]) -> None:
         old |= {s: max(n, old.get(s, 0)) for s, n in own.items()}
 
 
-class Patterns(Sequence):
-    """The patterns of all groups, cut when asked for."""
-
-    def __init__(self, groups: list[np.ndarray], length: int):
-        self.groups, self.length = groups, length
-
-    def __len__(self) -> int:
-        return sum(max(1, len(g) - self.length + 1) for g in self.groups)
-
-    def __iter__(self) -> Iterator[np.ndarray]:
-        return (g[s : s + self.length] for g in self.groups for s in range(max(1, len(g) - self.length + 1)))
-
-    def __getitem__(self, i):
-        return list(self)[i]
-
-
 class Index:
     """The patterns of some items, in groups, and the places of the groups' q-grams."""
 
     def __init__(self, items: list[tuple], p: Params):
         """items: (item_id, text)."""
-        self.p, self.items = p, []
+        self.p = p
         self.groups: list[np.ndarray] = []
+        self.items: list[list] = []  # that have each group: passages that items share are one group
+        known: dict[bytes, int] = {}
         step = GROUP + 1 - p.pattern
         for item, text in items:
             a = fold(text or "")
             if len(a) < p.q:
                 continue  # too short to tell from other text
             for s in range(0, max(1, len(a) - p.pattern + 1), step):
-                self.items.append(item)
-                self.groups.append(a[s : s + GROUP])
+                group = a[s : s + GROUP]
+                g = known.setdefault(group.tobytes(), len(self.groups))
+                if g == len(self.groups):
+                    self.groups.append(group)
+                    self.items.append([])
+                if item not in self.items[g][-1:]:
+                    self.items[g].append(item)
         sizes = [min(len(x), p.pattern) for x in self.groups]
         self.own_edits = np.array([p.edits(m) for m in sizes], np.int16)
         self.bounds = np.array([p.bound(m) for m in sizes], np.int16)
@@ -158,18 +151,11 @@ class Index:
         self.hashes, first = np.unique(flat[order], return_index=True)
         self.first = np.concatenate([first, [len(flat)]]).astype(np.int64)
         self.which, self.place = which[order], place[order]
+        #: Hash and group of each entry, as one ascending number.
+        self.entry = (np.repeat(np.arange(len(self.hashes), dtype=np.int64), np.diff(self.first)) << 32) + self.which
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    @property
-    def patterns(self) -> Patterns:
-        return Patterns(self.groups, self.p.pattern)
-
-    @property
-    def edits(self) -> np.ndarray:
-        """Of each pattern."""
-        return np.repeat(self.own_edits, [max(1, len(g) - self.p.pattern + 1) for g in self.groups])
-
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of `h` that are q-grams of some pattern, and their positions in `hashes`."""
         at = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
@@ -183,24 +169,38 @@ class Index:
         """By (group, band) the patterns that meet the bound among these q-grams, by their place in the group, with
         their counts; `shift`: the q-grams' place in the stream."""
         places, found = self.hits(h)
-        times = self.first[found + 1] - self.first[found]
-        ends, out, i = np.cumsum(times), {}, 0
-        while i < len(places):  # parts of bounded hits, each with the places before that a band may need
-            room = (ends[i - 1] if i else 0) + self.p.hits
-            j = max(i + 1, int(np.searchsorted(ends, room, "right")))
-            for cell, own in self._count(places[i:j] + shift, found[i:j], times[i:j]).items():
+        return self._within(places + shift, found, 0, len(self.groups))
+
+    def _within(self, places: np.ndarray, found: np.ndarray, low: int, high: int) -> dict[tuple[int, int], dict[int, int]]:
+        """What the groups from low to high have. Where hits are too many to hold, the groups are halved, so no band's count is split."""
+        if high - low == len(self.groups):
+            first, end = self.first[found], self.first[found + 1]
+        else:  # entries of a hash are in the groups' order
+            first, end = (np.searchsorted(self.entry, (found.astype(np.int64) << 32) + g) for g in (low, high))
+            some = end > first
+            places, found, first, end = places[some], found[some], first[some], end[some]
+        times = end - first
+        if times.sum() <= self.p.hits:
+            return self._count(places, first, times)
+        if high - low > 1:
+            middle = (low + high) // 2
+            return self._within(places, found, low, middle) | self._within(places, found, middle, high)
+        # One group: parts by place, each far longer than the places that a band may span and that go into the next part too.
+        ends, out, i, room = np.cumsum(times), {}, 0, max(self.p.hits, 8 * self.p.pattern * GROUP)
+        while i < len(places):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + room, "right")))
+            for cell, own in self._count(places[i:j], first[i:j], times[i:j]).items():
                 _merge(out, cell, own)
             if j >= len(places):
                 break
-            back = int(np.searchsorted(places, places[j] - 4 * self.p.pattern))
-            i = back if back > i else j
+            i = int(np.searchsorted(places, places[j] - 4 * self.p.pattern))
         return out
 
-    def _count(self, places: np.ndarray, found: np.ndarray, times: np.ndarray) -> dict[tuple[int, int], dict[int, int]]:
+    def _count(self, places: np.ndarray, first: np.ndarray, times: np.ndarray) -> dict[tuple[int, int], dict[int, int]]:
         if not len(places):
             return {}
         inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        row = np.repeat(self.first[found], times) + inside
+        row = np.repeat(first, times) + inside
         which, place = self.which[row].astype(np.int64), self.place[row].astype(np.int64)
         width = self.own_edits[which].astype(np.int64) + 1
         band = (np.repeat(places, times) - place + 128) // width  # from 0: places in a group are under 128
@@ -282,30 +282,66 @@ class Index:
         return [(int(r), (own[r][0], int(begin[r, end[r]]), int(low[r] + end[r] + m), int(edits[r]))) for r in rows]
 
     def search(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text its (item_id, groups found, least edits, begin, end); offsets in the text."""
-        folded = [fold(t) for t in texts]
-        sizes = np.array([len(a) + 1 for a in folded], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        stream = np.zeros(int(starts[-1]), np.uint32)  # texts end in a character that no pattern has
+        """For each text its (item_id, groups found, least edits, begin, end); offsets in the text. Huge texts go in runs."""
+        by: dict[tuple[int, object], tuple[set[int], int, int, int]] = {}
+        held, size = [], 0
+
+        def flush() -> None:
+            for doc, item, group, edits, begin, end in self._found(held):
+                groups, least, first, last = by.get((doc, item), (set(), edits, begin, end))
+                by[doc, item] = groups | {group}, min(least, edits), min(first, begin), max(last, end)
+            held.clear()
+
+        for doc, text in enumerate(texts):
+            for run in self._runs(text):
+                held.append((doc, *run))
+                size += len(run[1])
+                if size >= 2 * RUN:
+                    flush()
+                    size = 0
+        flush()
+        out: list[list[tuple]] = [[] for _ in texts]
+        for (doc, item), (groups, *rest) in sorted(by.items(), key=lambda x: (x[0][0], str(x[0][1]))):
+            out[doc].append((item, len(groups), *rest))
+        return out
+
+    def _runs(self, text: str) -> Iterator[tuple[int, str]]:
+        """The text in parts, with the place of each; the next one begins so far back that any pattern is whole in one."""
+        start, back, wide = 0, 4 * self.p.pattern, RUN
+        while start + wide < len(text):
+            part = text[start : start + wide]
+            if len(at := places(part)) <= 2 * back:
+                wide *= 2  # hardly a letter: take more
+                continue
+            yield start, part
+            start, wide = start + int(at[-back]), RUN
+        yield start, text[start:]
+
+    def _found(self, parts: list[tuple[int, int, str]]) -> Iterator[tuple]:
+        """(doc, item, group, edits, begin, end) in the parts (doc, place, text)."""
+        folded = [fold(t) for _, _, t in parts]
+        gap = int(self.own_edits.max(initial=0)) + 1
+        sizes = np.array([len(a) + gap for a in folded], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        stream = np.zeros(int(starts[-1]), np.uint32)  # more foreign characters between texts than a pattern may have edits
         for a, s in zip(folded, starts, strict=False):
             stream[s : s + len(a)] = a
-        out: list[list[tuple]] = [[] for _ in texts]
         if not self.groups or not len(stream):
-            return out
+            return
         cells: dict[tuple[int, int], dict[int, int]] = {}
         size, over = self.p.segment, 4 * self.p.pattern
         for s in range(0, len(stream), size):
             for cell, own in self.candidates(grams(stream[s : s + size + over], self.p.q), s).items():
                 _merge(cells, cell, own)
-        by: dict[tuple[int, object], list[tuple[int, int, int, int]]] = {}
-        for pattern, begin, end, edits in self.align(stream, cells):
-            doc = int(np.searchsorted(starts, begin, "right")) - 1
-            by.setdefault((doc, self.items[pattern]), []).append((pattern, begin, end, edits))
-        for (doc, item), own in sorted(by.items(), key=lambda x: (x[0][0], str(x[0][1]))):
-            at, s = places(texts[doc]), int(starts[doc])
-            first, last = max(0, min(o[1] for o in own) - s), min(max(o[2] for o in own) - s, len(at))
-            out[doc].append((item, len({o[0] for o in own}), min(o[3] for o in own), int(at[first]), int(at[last - 1]) + 1))
-        return out
+        now, at = -1, None
+        for group, begin, end, edits in sorted(self.align(stream, cells), key=lambda x: x[1]):
+            k = int(np.searchsorted(starts, (begin + end) // 2, "right")) - 1  # the ends may be edits
+            doc, place, text = parts[k]
+            if k != now:
+                now, at = k, places(text)
+            first, last = max(0, begin - int(starts[k])), min(end - int(starts[k]), len(at))
+            for item in self.items[group]:
+                yield doc, item, group, edits, place + int(at[first]), place + int(at[last - 1]) + 1
 
 
 def blocks(benchmark: DataFrame, p: Params) -> Iterator[Index]:
@@ -360,7 +396,12 @@ def _keep(shared):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """The documents, with all their columns, in which no item occurs. Rows don't move."""
+    """The documents, with all their columns, in which no item occurs. Rows don't move.
+
+    Null and empty texts stay, and so does everything if the benchmark has no item of q characters
+    or more. Rows alike all stay or all go. Very long texts are compared whole, in runs. An empty
+    table returns no rows. Extra columns stay, whatever their names.
+    """
     for index in blocks(benchmark, p):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         docs = docs.withColumn(f"{OWN}text", raw_text()).mapInArrow(_keep(shared), docs.schema)
