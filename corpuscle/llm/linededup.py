@@ -143,6 +143,10 @@ def _runs(level: int):
     return run
 
 
+#: Deleted runs, of two ids and two numbers each, that are broadcast at most; more go by a join.
+SENT = 200_000
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tie, pos, n): every run of n lines from line pos (lines with words, from 0) that came before."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie("text").alias("tie"), raw_text().alias("text"))
@@ -196,8 +200,11 @@ def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeat whole (id and text) are one document, and each returns with the same deletions; ids
     that repeat with other texts are documents of their own. An empty table returns no rows.
     """
-    runs = repeats(docs, min_words).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "n")).alias(f"{OWN}runs"))
+    gone = materialize(repeats(docs, min_words).distinct())
+    runs = gone.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("pos", "n")).alias(f"{OWN}runs"))
     runs = runs.select(F.col("doc_id").alias(f"{OWN}id"), F.col("tie").alias(f"{OWN}of"), f"{OWN}runs")
+    if gone.count() <= SENT:  # counted rows of four numbers: these go out, and the texts stay
+        runs = F.broadcast(runs)
     rows = docs.withColumn("text", F.col("text").cast("string")).withColumn(f"{OWN}tie", tie("text"))
     same = rows["doc_id"].eqNullSafe(runs[f"{OWN}id"]) & (rows[f"{OWN}tie"] == runs[f"{OWN}of"])
     joined = rows.join(runs, same, "left").select(*docs.columns, f"{OWN}runs")
@@ -206,7 +213,12 @@ def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def keep_remaining(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with their repeated runs deleted; those of which no line is left go."""
+    """The documents, with all their columns, with their repeated runs deleted; those of which no line is left go.
+
+    Null and empty texts have no lines and stay as they are. Rows alike in id and text get the same
+    deletions; ties go by :func:`delete_repeats`. Very long texts are compared whole. An empty table
+    returns no rows. Extra columns stay, whatever their names.
+    """
     found = delete_repeats(docs, min_words)
     left = (F.col(f"{OWN}deleted") == 0) | (F.col(f"{OWN}deleted") < F.col(f"{OWN}lines"))
     return found.filter(left).select(*docs.columns)
