@@ -83,12 +83,37 @@ class Memory:
             self.old, self.young = {f: x for f, x in self.young.items() if len(f) <= 64}, {}
 
 
+def _refused(spec: dict) -> str | None:
+    """Why fragments would not encode as the library encodes whole texts, if so."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return "it isn't byte-level BPE with the usual pattern and without a prefix space"
+    if (spec.get("decoder") or {}).get("type", "ByteLevel") != "ByteLevel" or spec.get("normalizer"):
+        return "it has a normalizer or another decoder"
+    if odd := [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]:
+        return f"its model has {odd[0]}"
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
+        return "its added tokens take in what stands beside them"
+    # Adjacent parts that spell a token are merged here by the token's rank, there by listed pairs only. That is the
+    # same if listed pairs lead to every token: what else spells one would have merged across its middle before.
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [a + b for a, b in merges]
+    plain = Tokenizer(BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+    lost = [t for t, e in zip(made, plain.encode_batch(made, add_special_tokens=False), strict=True) if len(e.ids) != 1]
+    return f"its merges don't lead to {lost[0]!r}" if lost or len(set(made)) < len(made) else None
+
+
 class Codec:
-    """Encoder and decoder of one byte-level tokenizer file."""
+    """Encoder and decoder of one byte-level tokenizer file. Files of another kind are refused, not encoded wrongly."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if why := _refused(spec):
+            raise ValueError(f"{path} can't be cut at byte pairs: {why}")
         stand_in = byte_alphabet()
         as_bytes = lambda s: bytes(stand_in[c] for c in s)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -195,7 +220,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = True) -
     ids holds little-endian unsigned 32-bit integers. Null and empty texts have no ids and the
     digests of nothing. No row moves: it is one pass without a shuffle. `path`: the tokenizer
     file, at the same place on every worker; by default the installed byte-level one, found there.
-    Repeated rows each return; an empty table returns no rows; extra columns are not read.
+    Repeated rows each return; an empty table returns no rows; extra columns are not read. Very long
+    texts encode whole, part by part at certain cuts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep

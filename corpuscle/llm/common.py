@@ -16,12 +16,17 @@ OWN = "__cc_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder. A local session (tests) gets a temporary one where none is set; a cluster must set it."""
     sc = spark.sparkContext
     if not (path := sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuscle"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not path:
+            import tempfile
+
+            path = tempfile.mkdtemp(prefix="corpuscle")
+        sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
     return path
 

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import struct
 
@@ -86,3 +87,20 @@ def test_parts_join_to_the_whole():
         found = list(bpe.parts(text, size))
         assert "".join(found) == text
         assert bpe.codec(bpe.default_path()).encode(text) == b"".join(bpe.codec(bpe.default_path()).encode(p) for p in found)
+
+
+def test_other_files_are_refused(tmp_path):
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    byte = {c: i for i, c in enumerate(bpe.byte_alphabet())}
+    wrong = {"type": "BPE", "vocab": byte | {"bc": 256, "ab": 257, "abc": 258}, "merges": ["b c", "a b", "ab c"]}
+    right = {"type": "BPE", "vocab": byte | {"ab": 256, "bc": 257, "abc": 258}, "merges": ["a b", "b c", "ab c"]}
+    added = {"id": 300, "content": "<x>", "lstrip": True, "rstrip": False, "single_word": False}
+    for change, fine in (({}, True), ({"model": right}, True), ({"model": wrong}, False), ({"normalizer": {"type": "NFC"}}, False), ({"added_tokens": [added]}, False), ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, False)):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(spec | change))
+        if fine:
+            bpe.Codec(str(path))
+        else:
+            with pytest.raises(ValueError, match="can't be cut"):
+                bpe.Codec(str(path))
