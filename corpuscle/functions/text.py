@@ -67,9 +67,13 @@ def page_id(c: str | Column) -> Column:
     return F.regexp_extract(col(c), r"(?i)<!--\s*Page ID:\s*(\d+)\s*-->", 1).try_cast("bigint")
 
 
-def categories(c: str | Column) -> Column:
-    """The items of '<!-- Categories: a, b -->', stripped, distinct and sorted; empty without one."""
+def categories(c: str | Column, override: Column | None = None) -> Column:
+    """The items of '<!-- Categories: a, b -->', stripped, distinct and sorted; empty without one.
+
+    override: an array that takes their place where it is not null.
+    """
     items = F.split(F.regexp_extract(col(c), r"(?i)<!--\s*Categories:\s*(.*?)\s*-->", 1), ",")
+    items = items if override is None else F.coalesce(override, items)
     return F.array_sort(F.array_distinct(F.filter(F.transform(items, strip), lambda x: x != "")))
 
 
@@ -151,6 +155,17 @@ def without_stop_words(c: str | Column) -> Column:
     return F.when(kept == "", col(c)).otherwise(kept)
 
 
+def normalized(c: str | Column) -> Column:
+    """Lower case with a space for each ASCII sign."""
+    return F.regexp_replace(F.lower(col(c)), r"\p{Punct}", " ")
+
+
+def terms_in(c: str | Column, terms: list[str]) -> Column:
+    """The terms that the lower-cased text contains, in their order; a repeated term comes again."""
+    low = F.lower(col(c))
+    return F.filter(F.array(*map(F.lit, terms)).cast("array<string>"), lambda t: F.contains(low, F.lower(t)))
+
+
 def word_ngrams(tokens: str, most: int) -> Column:
     """All runs of 1 to `most` of a column of tokens, joined by single spaces; needs no shuffle."""
     c, grams = F.col(tokens), [F.col(tokens)]

@@ -14,21 +14,27 @@ from pyspark.sql import functions as F
 from corpuscle.config import Config
 from corpuscle.functions.text import col, paragraphs, pieces, sentences, strip
 
-_ATOM = "array<struct<grp:long,text:string>>"
+#: A group is (part, sentence, cut): sentence and cut are null but where a cut stands alone.
+_ATOM = "array<struct<grp:struct<part:int,sentence:int,cut:int>,text:string>>"
+_GROUP = "struct<part:int,sentence:int,cut:int>"
 
 
 def _atoms(parts: Column, limit: int) -> Column:
-    """Parts that fit are of group 0. A longer part is its sentences, a group of its own; a sentence
-    that is itself too long is cut, and each cut stands alone (negative groups)."""
+    """Parts that fit are of one group, part 0. A longer part is its sentences, a group of its own; a sentence
+    that is itself too long is cut, and each cut is a group."""
+
+    def group_of(part: Column, sentence: Column | None = None, cut: Column | None = None) -> Column:
+        null = F.lit(None).cast("int")
+        return F.struct(part.cast("int").alias("part"), (null if sentence is None else sentence.cast("int")).alias("sentence"), (null if cut is None else cut.cast("int")).alias("cut"))
 
     def of_sentence(s: Column, group: Column, at: Column) -> Column:
-        cut = F.transform(pieces(s, limit), lambda t, k: F.struct((-(group * 1_000_000 + at * 1_000 + k) - 1).cast("long").alias("grp"), t.alias("text")))
-        return F.when(F.length(s) <= limit, F.array(F.struct(group.cast("long").alias("grp"), s.alias("text")))).otherwise(cut)
+        cut = F.transform(pieces(s, limit), lambda t, k: F.struct(group_of(group, at, k).alias("grp"), t.alias("text")))
+        return F.when(F.length(s) <= limit, F.array(F.struct(group_of(group).alias("grp"), s.alias("text")))).otherwise(cut)
 
     def of_part(p: Column, i: Column) -> Column:
-        group = (i + 1).cast("long")
+        group = i + 1
         many = F.flatten(F.transform(sentences(p), lambda s, k: of_sentence(s, group, k)))
-        return F.when(F.length(p) <= limit, F.array(F.struct(F.lit(0).cast("long").alias("grp"), p.alias("text")))).otherwise(many)
+        return F.when(F.length(p) <= limit, F.array(F.struct(group_of(F.lit(0)).alias("grp"), p.alias("text")))).otherwise(many)
 
     return F.flatten(F.transform(parts, of_part)).cast(_ATOM)
 
@@ -37,13 +43,13 @@ def pack(parts: Column, limit: int, separator: str = "\n\n") -> Column:
     """Greedy packing of parts into chunks of at most `limit` characters, in order."""
 
     def add(acc: Column, atom: Column) -> Column:
-        sep = F.when(atom["grp"] == 0, F.lit(separator)).otherwise(F.lit(" "))
-        fits = acc["cur"].isNotNull() & (acc["grp"] == atom["grp"]) & (F.length(acc["cur"]) + F.length(sep) + F.length(atom["text"]) <= limit)
+        sep = F.when(atom["grp"]["part"] == 0, F.lit(separator)).otherwise(F.lit(" "))
+        fits = acc["cur"].isNotNull() & acc["grp"].eqNullSafe(atom["grp"]) & (F.length(acc["cur"]) + F.length(sep) + F.length(atom["text"]) <= limit)
         done = F.when(fits | acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
         cur = F.when(fits, F.concat(acc["cur"], sep, atom["text"])).otherwise(atom["text"])
         return F.struct(done.alias("done"), cur.alias("cur"), atom["grp"].alias("grp"))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(None).cast("long").alias("grp"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(None).cast(_GROUP).alias("grp"))
     end = lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
     return F.aggregate(_atoms(parts, limit), start, add, end)
 
@@ -99,6 +105,22 @@ def overlap_chunks(df: DataFrame, key: str, text: str, cfg: Config = Config()) -
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, chunk_index long, text string")
 
 
+def number_split(df: DataFrame, chunks: Column, *keep: str, cfg: Config = Config()) -> DataFrame:  # noqa: B008
+    """As :func:`number_chunks`, with chunks over the target split further into overlapping ones, in order."""
+    rows = df.select(*keep, chunks.alias("__chunks")).filter(F.size("__chunks") > 0)
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[p for t in own for p in split_overlapping(t, cfg.chunk_target, cfg.chunk_max, cfg.chunk_overlap)] for own in batch.column("__chunks").to_pylist()]
+            each = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            columns = {c: batch.column(c).take(each) for c in keep}
+            columns |= {"chunk_index": pa.array([k + 1 for f in found for k in range(len(f))], pa.int64()), "total_chunks": pa.array([len(f) for f in found for _ in f], pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns | {"text": pa.array([t for f in found for t in f], pa.string())})
+
+    return rows.mapInArrow(run, f"{kinds}chunk_index long, total_chunks long, text string")
+
+
 def pack_sections(sections: Column, limit: int, separator: str = "\n\n") -> Column:
     """Chunks of sections (array of struct title, text): each has its titles, joined, and its text.
 
@@ -122,9 +144,12 @@ def pack_sections(sections: Column, limit: int, separator: str = "\n\n") -> Colu
     return F.aggregate(sections, F.struct(empty.alias("done"), blank.alias("cur")), add, closed)
 
 
-def chunk_statistics(df: DataFrame, text: str = "text", limit: int = Config.chunk_max) -> DataFrame:
-    """One row: n, total, average, least and most characters, and how many rows are over the limit."""
+def chunk_statistics(df: DataFrame, text: str = "text", limit: int = Config.chunk_max, strict: bool = False) -> DataFrame:
+    """One row: n, total, average, least and most characters, and how many rows are over the limit; strict: any such row is an error."""
     n = F.length(text)
+    if strict:
+        message = F.concat(F.lit("a chunk has "), n.cast("string"), F.lit(f" characters, over {limit}"))
+        n = F.when(n > limit, F.raise_error(message).cast("int")).otherwise(n)
     return df.agg(
         F.count(text).alias("n"), F.sum(n).alias("total_chars"), F.round(F.avg(n), 6).alias("avg_chars"), F.min(n).cast("long").alias("min_chars"),
         F.max(n).cast("long").alias("max_chars"), F.count_if(n > limit).alias("oversized"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def hash_embedder(texts: list[str], dim: int = 64) -> np.ndarray:
@@ -38,3 +40,22 @@ def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np
 def embed_missing(df: DataFrame, done: DataFrame, key: str, text: str, **options) -> DataFrame:
     """Resume: embed only the keys that have no vector yet."""
     return embed(df.join(done.select(key), key, "left_anti"), key, text, **options)
+
+
+def probe(embedder: Callable[[list[str]], np.ndarray], seconds: float = 10.0) -> tuple[bool, str]:
+    """Whether the embedder answers a test text within the time with one vector; and what it said instead."""
+    start = time.monotonic()
+    try:
+        found = embedder(["test"])
+    except Exception as e:  # a probe reports whatever is wrong
+        return False, f"{type(e).__name__}: {e}"
+    took = time.monotonic() - start
+    if len(found) != 1 or not len(found[0]):
+        return False, "no vector came back"
+    return took <= seconds, f"{took:.1f} s"
+
+
+def batch_metrics(df: DataFrame, key: str, text: str, batch: int = 100) -> DataFrame:
+    """(batch, n, avg_tokens) of the batches that ids fall into: what a run over them records."""
+    rows = df.select(F.floor(F.col(key) / batch).alias("batch"), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).alias("t"))
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.avg("t").alias("avg_tokens"))

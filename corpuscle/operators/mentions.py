@@ -93,3 +93,12 @@ def counters(tagged: DataFrame, n_rows: DataFrame) -> DataFrame:
     """By dictionary: rows with a mention, mentions, and the share of all rows (one row, column n)."""
     by = tagged.groupBy("dict_name").agg(F.count("*").alias("rows_with"), F.sum(F.size("mentions")).alias("mentions"))
     return by.crossJoin(F.broadcast(n_rows)).select("dict_name", "rows_with", "mentions", F.round(100.0 * F.col("rows_with") / F.col("n"), 6).alias("pct"))
+
+
+def enrich(df: DataFrame, key: str, text: str, dictionary: DataFrame, names: list[str], mode: str = "auto") -> DataFrame:
+    """All rows and columns with one array `<name>_mentions` a dictionary, empty without a mention. Keys are unique."""
+    found = tag(df, key, text, dictionary, mode).groupBy(key).pivot("dict_name", names).agg(F.first("mentions"))
+    empty = F.array().cast("array<string>")
+    found = found.select(F.col(key).alias("__key"), *(F.col(n).alias(f"{n}_mentions") for n in names))
+    out = df.join(found, F.col(key) == F.col("__key"), "left").drop("__key")
+    return out.withColumns({f"{n}_mentions": F.coalesce(f"{n}_mentions", empty) for n in names})

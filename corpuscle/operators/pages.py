@@ -60,18 +60,26 @@ def chunk_summaries(pages: DataFrame, key: str, limit: int = Config.chunk_max) -
     """All sections of a page as one text, chunked like a chapter; pages without text give none."""
     text = F.array_join(F.transform(F.filter("sections", lambda s: strip(s["content"]) != ""), summary_section), "\n\n")
     rows = pages.select(key, text.alias("__text")).filter("__text <> ''")
-    return chunking.number_chunks(rows, chunking.pack_text("__text", limit), key)
+    return chunking.number_split(rows, chunking.pack_text("__text", limit), key)
+
+
+def chronology_text(kind: Column, content: Column, subsections: Column) -> Column:
+    """In time the content alone; else, with subsections, the content and each one's under its bold title."""
+    content = F.coalesce(content, F.lit(""))
+    subs = F.filter(F.transform(subsections, lambda x: F.when(F.coalesce(x["content"], F.lit("")) != "", F.concat(F.lit("**"), x["title"], F.lit("**\n"), x["content"]))), lambda t: t.isNotNull())
+    whole = F.array_join(F.concat(F.when(strip(content) != "", F.array(content)).otherwise(F.array().cast("array<string>")), subs), "\n\n")
+    return F.when((kind == "temporal") | (whole == ""), content).otherwise(whole)
 
 
 def chunk_chronology(sections: DataFrame, key: str, limit: int = Config.chunk_max) -> DataFrame:
     """Chunks of each section (rows of ``parsing.split_temporal``) with its temporal_order."""
-    rows = sections.filter(strip("content") != "").withColumn("__c", chunking.pack_text(F.concat(F.lit("## "), F.col("title"), F.lit("\n"), F.col("content")), limit))
-    return chunking.number_chunks(rows, F.col("__c"), key, "h2", "title", "type", "temporal_order")
+    rows = sections.withColumn("__x", chronology_text(F.col("type"), F.col("content"), F.col("subsections"))).filter(strip("__x") != "")
+    return chunking.number_chunks(rows, chunking.pack_text("__x", limit), key, "h2", "title", "type", "temporal_order")
 
 
 def chunk_chapters(chapters: DataFrame, limit: int = Config.chunk_max) -> DataFrame:
-    """Chunks of (book_number, chapter_number, content), each with its id."""
-    rows = chunking.number_chunks(chapters, chunking.pack_text("content", limit), "book_number", "chapter_number")
+    """Chunks of (book_number, chapter_number, content), each with its id; packs over the target overlap."""
+    rows = chunking.number_split(chapters, chunking.pack_text("content", limit), "book_number", "chapter_number")
     return rows.withColumn("chunk_id", chunk_id(F.col("book_number"), F.col("chapter_number"), F.col("chunk_index")))
 
 

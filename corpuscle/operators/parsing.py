@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import col, strip
+from corpuscle.functions.text import categories, chapter_number, col, first_h1, page_id, page_name, strip
 
 #: Whole lines that open a part of a book (fixed values).
 MARKERS = ("PROLOGUE", "CHAPTER", "EPILOGUE", "GLOSSARY")
@@ -127,34 +127,98 @@ def section_tree(sections: DataFrame, key: str) -> DataFrame:
     return by.groupBy(key).agg(tree.alias("sections"))
 
 
+#: A list of books up to this size goes to every task.
+FEW_BOOKS = 10_000
+
+
+def _books(books: DataFrame) -> DataFrame:
+    """(__t, temporal_order) by stripped title; broadcast if counted to be few."""
+    named = books.select(strip("book_title").alias("__t"), F.col("book_number").alias("temporal_order"))
+    return F.broadcast(named) if named.count() <= FEW_BOOKS else named
+
+
 def split_temporal(sections: DataFrame, books: DataFrame) -> DataFrame:
-    """Sections (h2 level) whose stripped title is a book's get its number; others stay without."""
-    named = F.broadcast(books.select(strip("book_title").alias("__t"), F.col("book_number").alias("temporal_order")))
-    out = sections.filter("h3 = 0").join(named, strip("title") == F.col("__t"), "left").drop("__t")
+    """Sections (h2 level, with their subsections) whose stripped title is a book's get its number; others stay without.
+
+    Adds temporal_order, type and subsections (array of struct h3, title, content, in order).
+    """
+    keys = [c for c in sections.columns if c not in ("h3", "title", "content")]
+    subs = F.array_sort(F.collect_list(F.when(F.col("h3") > 0, F.struct("h3", "title", "content"))))
+    own = sections.groupBy(*keys).agg(*(F.max(F.when(F.col("h3") == 0, F.col(c))).alias(c) for c in ("title", "content")), subs.alias("subsections"))
+    out = own.join(_books(books), strip("title") == F.col("__t"), "left").drop("__t")
     return out.withColumn("type", F.when(F.col("temporal_order").isNull(), "non_temporal").otherwise("temporal"))
 
 
+def character_sections(sections: DataFrame, key: str, books: DataFrame) -> DataFrame:
+    """(key, h2, h3, type, book_number, title, content) of character pages, from the rows of :func:`parse_markdown`.
+
+    Under the first section called activities each subsection is in time: 'temporal' if its title is a
+    book's, else an 'event'; the section's own content is dropped. Other sections and their subsections
+    are 'non_temporal'.
+    """
+    title = F.lower("title") == "activities"
+    acts = sections.filter((F.col("h3") == 0) & title).groupBy(key).agg(F.min("h2").alias("__first"))
+    named = sections.filter((F.col("h3") == 0) & title).select(key, F.col("h2"), F.lit(True).alias("__act"))
+    rows = sections.join(acts, key, "left").join(named, [key, "h2"], "left")
+    rows = rows.join(_books(books), (strip("title") == F.col("__t")) & (F.col("h2") == F.col("__first")) & (F.col("h3") > 0), "left")
+    first = F.coalesce(F.col("h2") == F.col("__first"), F.lit(False))
+    kind = F.when(first & (F.col("h3") > 0), F.when(F.col("temporal_order").isNotNull(), "temporal").otherwise("event")).when(F.col("__act").isNull(), "non_temporal")
+    return rows.withColumn("type", kind).filter("type is not null").select(key, "h2", "h3", "type", F.col("temporal_order").alias("book_number"), "title", "content")
+
+
+def parse_typed(files: DataFrame, key: str, text: str, page_type: Column, wanted: str) -> DataFrame:
+    """Sections of the files of one type, with their page name, id and categories; the type is decided before content is parsed."""
+    own = files.withColumn("page_type", page_type).filter(F.col("page_type") == wanted)
+    head = own.select(key, "page_type", page_name(text, key).alias("page_name"), page_id(text).alias("page_id"), categories(text).alias("categories"))
+    return parse_markdown(own, key, text).join(head, key)
+
+
+def summary_pages(files: DataFrame, key: str, text: str, books: DataFrame) -> DataFrame:
+    """(key, book_number, chapter_number, chapter_title) of chapter-summary pages: by category, file name and first heading."""
+    from corpuscle.operators.pages import book_by_category
+
+    rows = files.select(key, chapter_number(key).alias("chapter_number"), first_h1(text).alias("chapter_title"), categories(text).alias("categories"))
+    return rows.join(book_by_category(rows, key, "categories", books), key).select(key, "book_number", "chapter_number", "chapter_title")
+
+
+#: Elements that have no end tag (fixed values of the format).
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+
+
 class _Tree(HTMLParser):
-    """Sections of a page: h2 opens one, h3, paragraphs, list items and definitions are its text."""
+    """Sections of a page: h2 opens one, h3, paragraphs, list items and definitions are its text.
+
+    What stands in an element of SKIP or of class infobox is hidden, up to that element's own end tag.
+    """
 
     SKIP = {"script", "style", "nav", "footer", "table"}
+    BOXES = {"infobox", "portable-infobox"}
     BLOCK = {"h1", "h2", "h3", "p", "li", "dt", "dd"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.sections: dict[str, list[str]] = {}
-        self.title, self.block, self.text, self.hidden = "Overview", "", [], []
+        self.title, self.block, self.text = "Overview", "", []
+        self.hidden, self.depth = "", 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP or "infobox" in (dict(attrs).get("class") or ""):
-            self.hidden.append(tag)
-        elif not self.hidden and tag in self.BLOCK:
+        if tag in VOID:
+            return
+        if self.hidden:
+            self.depth += tag == self.hidden
+        elif tag in self.SKIP or self.BOXES & set((dict(attrs).get("class") or "").split()):
+            self.hidden, self.depth = tag, 1
+        elif tag in self.BLOCK:
             self._close()
             self.block = tag
 
+    def handle_startendtag(self, tag, attrs):
+        """An element that ends at once holds nothing."""
+
     def handle_endtag(self, tag):
-        if self.hidden and tag == self.hidden[-1]:
-            self.hidden.pop()
+        if self.hidden:
+            self.depth -= tag == self.hidden
+            self.hidden = self.hidden if self.depth else ""
         elif tag == self.block:
             self._close()
 
@@ -261,8 +325,121 @@ def infobox_group(label: str | Column) -> Column:
     return out.otherwise("other")
 
 
-def page_markdown(name: Column, page_id: Column, cats: Column, sections: Column) -> Column:
-    """A page as markdown: H1, metadata comments (at most 20 categories), then its sections."""
+class _Infobox(HTMLParser):
+    """Labels and values of the first element that is an infobox, by group.
+
+    A field's group follows from its label; inside a headed section it also stands in the group of the heading.
+    """
+
+    GROUPS = (("biographical", ("biographical",)), ("physical", ("physical",)), ("chronological", ("chronological", "political")))
+
+    def __init__(self, tag: str, name: str):
+        super().__init__(convert_charrefs=True)
+        self.root, self.open, self.done = (tag, name), [], False
+        self.texts: dict[int, list[str]] = {}  # of open elements by depth
+        self.fields: list[tuple[str, str, str | None]] = []
+        self.section: tuple[int, list[str]] | None = None
+        self.item: tuple[int, dict[str, str]] | None = None
+        self.held: list[tuple[str, str]] = []
+
+    def handle_starttag(self, tag, attrs):
+        classes = set((dict(attrs).get("class") or "").split())
+        if tag in VOID or self.done or not (self.open or tag == self.root[0] and self.root[1] in classes):
+            return
+        self.open.append((tag, classes))
+        at = len(self.open)
+        if tag == "section" and "pi-item" in classes and self.section is None:
+            self.section, self.held = (at, []), []
+        if tag == "div" and "pi-data" in classes and self.item is None:
+            self.item = (at, {})
+        if (tag == "h2" and "pi-header" in classes) or self.item and ((tag == "h3" and "pi-data-label" in classes) or (tag == "div" and "pi-data-value" in classes)):
+            self.texts[at] = []
+
+    def handle_startendtag(self, tag, attrs):
+        """An element that ends at once holds nothing."""
+
+    def handle_data(self, data):
+        if self.open and data.strip():
+            for own in self.texts.values():
+                own.append(data.strip())
+
+    def handle_endtag(self, tag):
+        if not any(t == tag for t, _ in self.open):
+            return
+        while True:
+            at, (name, classes) = len(self.open), self.open.pop()
+            text = " ".join(self.texts.pop(at, []))
+            if name == "h2" and "pi-header" in classes and self.section:
+                self.section[1].append(text)
+            if self.item and at > self.item[0]:
+                kind = "label" if "pi-data-label" in classes and name == "h3" else "value" if "pi-data-value" in classes and name == "div" else ""
+                if kind:
+                    self.item[1].setdefault(kind, text)
+            if self.item and at == self.item[0]:
+                own, self.item = self.item[1], None
+                if "label" in own and own.get("value"):
+                    self.fields.append((own["label"], own["value"], None))
+                    self.held.append((own["label"], own["value"]))
+            if self.section and at == self.section[0]:
+                heads, self.section = self.section[1], None
+                low = heads[0].lower() if heads else ""
+                group = next((g for g, parts in self.GROUPS if any(p in low for p in parts)), "other")
+                self.fields += [(k, v, group) for k, v in self.held]
+            if not self.open:
+                self.done = True
+            if name == tag:
+                return
+
+
+def infobox_fields(page: str) -> list[tuple[str, str, str | None]]:
+    """(label, value, group of the section or None) of the page's infobox, in the order in which they are found."""
+    for tag, name in (("aside", "portable-infobox"), ("table", "infobox")):
+        box = _Infobox(tag, name)
+        box.feed(page)
+        box.close()
+        if box.open or box.done:
+            return box.fields
+    return []
+
+
+def infobox(df: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, label_group, label, value): the fields of each page's infobox, a label once a group, the last value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, i, *f) for k, page in enumerate(batch.column(html).to_pylist()) for i, f in enumerate(infobox_fields(page or ""))]
+            columns = [batch.column(key).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.string()) for c in (2, 3, 4))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "pos", "label", "value", "section"])
+
+    found = df.select(key, html).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, pos int, label string, value string, section string")
+    # What a section says comes after what the labels say.
+    found = found.withColumn("label_group", F.coalesce("section", infobox_group("label")))
+    order = F.struct(F.col("section").isNotNull(), "pos")
+    return found.groupBy(key, "label_group", "label").agg(F.max_by("value", order).alias("value"))
+
+
+def _of_group(group: str):
+    return lambda x: x["label_group"] == group
+
+
+def page_markdown(name: Column, page_id: Column, cats: Column, sections: Column, box: Column | None = None, nested: bool = False) -> Column:
+    """A page as markdown: H1, metadata comments (at most 20 categories), the infobox, then its sections.
+
+    box: array of struct(label_group, label, value). nested: sections have subsections (array of struct title, content).
+    """
     head = F.concat(F.lit("# "), name, F.lit("\n\n<!-- Page ID: "), page_id.cast("string"), F.lit(" -->\n<!-- Categories: "), F.array_join(F.slice(cats, 1, 20), ", "), F.lit(" -->"))
-    body = F.transform(sections, lambda s: F.concat(F.lit("## "), s["title"], F.lit("\n\n"), s["content"]))
-    return F.concat_ws("\n\n", head, F.array_join(body, "\n\n"))
+    parts = [head]
+    if box is not None:
+        for group in ("biographical", "physical", "chronological", "other"):
+            own = F.filter(box, _of_group(group))
+            lines_ = F.transform(own, lambda x: F.concat(F.lit("**"), x["label"], F.lit(":** "), x["value"]))
+            parts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"## {group.capitalize()} information\n\n"), F.array_join(lines_, "\n"))))
+
+    def shown(s: Column) -> Column:
+        return F.concat(F.lit("## "), s["title"], F.lit("\n\n"), s["content"])
+
+    def under(s: Column) -> Column:
+        return F.array_join(F.transform(s["subsections"], lambda x: F.concat(F.lit("### "), x["title"], F.lit("\n\n"), x["content"])), "\n\n")
+
+    whole = F.transform(sections, lambda s: F.concat_ws("\n\n", shown(s), F.nullif(under(s), F.lit(""))) if nested else shown(s))
+    return F.concat_ws("\n\n", *parts, F.array_join(whole, "\n\n"))

@@ -25,11 +25,9 @@ def profile(df: DataFrame, *by: str, text: str = "text", levels: str = "group")
 
 
 def upper_median(df: DataFrame, value: Column) -> DataFrame:
-    """One row, median: of n sorted values the one at n div 2. Counts by value, so it never sorts all rows on one task."""
-    counts = df.select(value.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    total = counts.agg((F.floor(F.sum("n") / 2) + 1).alias("rank"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return upto.crossJoin(F.broadcast(total)).filter("upto >= rank").agg(F.min("v").alias("median"))
+    """One row, median: of n sorted values the one at n div 2."""
+    # A counted map of the distinct values, merged before the shuffle; of descending values the middle of n is the upper one.
+    return df.select(value.alias("v")).agg(F.expr("percentile_disc(0.5) within group (order by v desc)").cast("long").alias("median"))
 
 
 def histogram(df: DataFrame, value: Column, edges: list[int]) -> DataFrame:
@@ -44,6 +42,11 @@ def most_common(df: DataFrame, value: str, n: int) -> DataFrame:
     return df.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(n)
 
 
+def sample(df: DataFrame, n: int, order: Column, key: str) -> DataFrame:
+    """n rows without replacement, by a fixed pseudo-random order: a heap of n a task."""
+    return df.orderBy(order, key).limit(n)
+
+
 def stratified(df: DataFrame, stratum: str, key: str, n: int, order: Column) -> DataFrame:
     """n rows of each stratum, by a fixed pseudo-random order; groups are cut before they are sorted."""
     w = Window.partitionBy(stratum).orderBy(order, key)

@@ -14,7 +14,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> Da
     both = left.select(key, at, value, F.lit(0).alias("__side")).unionByName(right.select(key, at, value, F.lit(1).alias("__side")))
     w = Window.partitionBy(key).orderBy(at, "__side", value).rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("__side") == 1, F.col(value)), ignorenulls=True).over(w)
-    return both.withColumn("before_id", last).filter("__side = 0").drop("__side")
+    return both.withColumn(f"before_{value}", last).filter("__side = 0").drop("__side")
 
 
 def range_join(df: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:

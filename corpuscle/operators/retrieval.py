@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import vector
-from corpuscle.functions.text import query_terms
+from corpuscle.functions.text import STOP_WORDS, query_terms
 
 
 def knn(collection: DataFrame, query: list[float], k: int, key: str, embedding: str = "embedding") -> DataFrame:
@@ -62,3 +66,66 @@ def classify(text: Column, types: list[tuple[str, tuple[str, ...]]], default: st
     )
     best = F.array_max(scores)
     return F.when(best["score"] > 0, best["name"]).otherwise(default)
+
+
+def auto(collections: dict[str, DataFrame], rules: list[tuple[str, tuple[str, ...]]], default: str, query: str, embedder: Callable, k: int, key: str, **options) -> DataFrame:
+    """The question's route, then hybrid search there: the question without stop words is embedded, its own terms boost."""
+    low = query.lower()
+    name = next((n for n, words in rules if any(w.lower() in low for w in words)), default)
+    kept = " ".join(t for t in low.split() if t not in STOP_WORDS) or query
+    question = [float(x) for x in embedder([kept])[0]]
+    return hybrid(collections[name], query, question, k, key, **options).withColumn("collection", F.lit(name))
+
+
+def ivf_fit(collection: DataFrame, embedding: str = "embedding", cells: int = 64, sample: int = 20_000, rounds: int = 12) -> np.ndarray:
+    """Centroids of an inverted file: k-means in numpy on at most about `sample` rows, chosen by a hash of the vector.
+
+    Vectors that are null or hold a null are not used; all have one length. No usable row: no centroid.
+    """
+    usable = collection.filter(F.forall(embedding, lambda x: x.isNotNull())).select(F.col(embedding).cast("array<double>").alias("v"))
+    n = usable.count()
+    unit = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) / float(1 << 20)
+    rows = usable.filter(unit < min(1.0, sample / max(n, 1))).distinct().limit(2 * sample).collect()
+    x = np.array(sorted(r.v for r in rows))
+    if not len(x):
+        return np.zeros((0, 0))
+    cells = min(cells, len(x))
+    centres = x[np.random.default_rng(3).permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        near = (-2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
+        for c in range(cells):
+            if (near == c).any():
+                centres[c] = x[near == c].mean(0)
+    return centres
+
+
+def ivf_assign(df: DataFrame, centres: np.ndarray, key: str, embedding: str = "embedding", probes: int = 1) -> DataFrame:
+    """(key, embedding, cell): each row in its nearest cells; rows without a vector are left out. Write it partitioned by cell."""
+    kind = df.schema[embedding].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            if batch.num_rows and len(own):
+                x = np.array(batch.column(embedding).to_pylist(), np.float64)
+                near = np.argsort(-2 * x @ own.T + (own**2).sum(1), axis=1, kind="stable")[:, :probes]
+                each = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(each), batch.column(embedding).take(each), pa.array(near.ravel().astype(np.int32))], names=[key, embedding, "cell"])
+
+    rows = df.filter(F.forall(embedding, lambda x: x.isNotNull())).select(key, embedding)
+    return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {embedding} {kind}, cell int")
+
+
+def ivf_search(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, key: str, embedding: str = "embedding", probes: int = 16) -> DataFrame:
+    """(query, key, distance): the k nearest rows of each query among those of its nearest cells, ties by key.
+
+    index: rows of :func:`ivf_assign`; queries: rows like the collection's. A cell's rows meet a query's in a plain
+    join, which Spark may split; groups are cut to k before they are sorted.
+    """
+    asked = ivf_assign(queries, centres, key, embedding, probes).select(F.col(key).alias("query"), F.col(embedding).alias("__q"), "cell")
+    squares = F.zip_with(embedding, "__q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
+    d = F.round(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x), 6)
+    rows = index.join(asked, "cell").select("query", key, d.alias("distance"))
+    w = Window.partitionBy("query").orderBy("distance", key)
+    return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")

@@ -63,9 +63,10 @@ def chunk_pack(spark, sf_dir):
 SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)"""
 )
 def chunk_sentence_split(spark, sf_dir):
-    s = T.sentences("text")
-    total = F.when(F.size(s) > 0, F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), total.alias("chars"))
+    # The generator keeps the sentences a column: inlined, they would be split again for each use.
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(T.sentences("text"))).alias("s"))
+    total = F.when(F.size("s") > 0, F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), total.alias("chars"))
 
 
 @query()
@@ -90,19 +91,33 @@ def chunk_histogram(spark, sf_dir):
     return rows.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(quality.upper_median(docs, tok))).select("bucket", "n", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("pct"), "median")
 
 
-@query("""WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, role AS title, text FROM conversations WHERE length(text) <= 1200),
-fold AS (SELECT conv_id, rn, title AS titles, text AS cur, 1 AS chunk_index FROM s WHERE rn = 1
-  UNION ALL SELECT s.conv_id, s.rn, CASE WHEN length(f.cur) + 2 + length(s.text) <= 1200 THEN f.titles || ', ' || s.title ELSE s.title END,
-    CASE WHEN length(f.cur) + 2 + length(s.text) <= 1200 THEN f.cur || chr(10) || chr(10) || s.text ELSE s.text END,
-    f.chunk_index + CASE WHEN length(f.cur) + 2 + length(s.text) <= 1200 THEN 0 ELSE 1 END FROM fold f JOIN s ON s.conv_id = f.conv_id AND s.rn = f.rn + 1)
-SELECT conv_id, CAST(chunk_index AS BIGINT) AS chunk_index, arg_max(titles, rn) AS titles, arg_max(cur, rn) AS text FROM fold GROUP BY conv_id, chunk_index""")
-def section_pack(spark, sf_dir):
-    """Turns as sections, packed by conversation; by its SQL without turns over the limit, which section_pack_whole has."""
-    return _packed(table(spark, sf_dir, "conversations").filter(F.length("text") <= 1200))
+_TURN = 1200
+_GAP = "CASE WHEN a.g = f.g AND length(f.cur) + length(a.sep) + length(a.part) <= 1200"
 
 
-@query()
-def section_pack_whole(spark, sf_dir):
+@query(f"""WITH RECURSIVE kept AS (
+  SELECT conv_id, turn, role, i, {_STRIP.format("p[i]")} AS line FROM (SELECT conv_id, turn, role, regexp_split_to_array(text, '\\n\\s*\\n+') AS p FROM conversations WHERE length(text) > {_TURN}), unnest(range(1, len(p) + 1)) AS r(i)
+),
+sents AS (
+  SELECT conv_id, turn, role, i, k, {_STRIP.format("s[k]")} AS sent
+  FROM (SELECT *, string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM kept WHERE length(line) > {_TURN}), unnest(range(1, len(s) + 1)) AS r(k)
+),
+cuts AS (SELECT conv_id, turn, role, i, k, j, substr(sent, j * {_TURN} + 1, {_TURN}) AS part, length(sent) AS n FROM sents, unnest(range(0, (length(sent) - 1) // {_TURN} + 1)) AS r(j) WHERE sent <> ''),
+atoms AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i, k, j) AS rn, role, g, sep, part FROM (
+    SELECT conv_id, turn, role, 0 AS i, 0 AS k, 0 AS j, 'turn' AS g, chr(10) || chr(10) AS sep, text AS part FROM conversations WHERE length(text) <= {_TURN}
+    UNION ALL SELECT conv_id, turn, role, i, 0, 0, turn || '', chr(10) || chr(10), line FROM kept WHERE line <> '' AND length(line) <= {_TURN}
+    UNION ALL SELECT conv_id, turn, role, i, k, j, turn || ':' || i || CASE WHEN n <= {_TURN} THEN '' ELSE ':' || k || ':' || j END, ' ', part FROM cuts
+  )
+),
+fold AS (
+  SELECT conv_id, rn, g, role AS titles, part AS cur, 1 AS chunk_index FROM atoms WHERE rn = 1
+  UNION ALL
+  SELECT a.conv_id, a.rn, a.g, {_GAP} AND a.g = 'turn' THEN f.titles || ', ' || a.role ELSE a.role END, {_GAP} THEN f.cur || a.sep || a.part ELSE a.part END, f.chunk_index + {_GAP} THEN 0 ELSE 1 END
+  FROM fold f JOIN atoms a ON a.conv_id = f.conv_id AND a.rn = f.rn + 1
+)
+SELECT conv_id, CAST(chunk_index AS BIGINT) AS chunk_index, arg_max(titles, rn) AS titles, arg_max(cur, rn) AS text FROM fold GROUP BY conv_id, chunk_index""")
+def section_pack(spark, sf_dir):
     """All turns as sections, packed by conversation; a turn over the limit is packed by itself."""
     return _packed(table(spark, sf_dir, "conversations"))
 

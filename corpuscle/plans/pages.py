@@ -13,18 +13,17 @@ from .catalog import query
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g')"
+_PARAGRAPH = r"regexp_replace(regexp_replace(x, '(?is)</p\s*>.*$', ''), '<[^>]*>', '', 'g')"
+for _name, _sign in parsing.REFERENCES:
+    _PARAGRAPH = f"replace({_PARAGRAPH}, '&{_name};', '{_sign.replace(chr(39), chr(39) * 2)}')"
+
+
 @query(
-    f"""SELECT page_id, CAST(i AS BIGINT) AS pos, p[i] AS paragraph FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM pages), unnest(range(1, len(p) + 1)) AS r(i)"""
+    f"""SELECT page_id, CAST(i AS BIGINT) AS pos, p[i] AS paragraph FROM (SELECT page_id, list_filter(list_transform(regexp_split_to_array({_BARE}, '(?i)<p(\\s[^>]*)?>')[2:], lambda x: {_STRIP.format(_PARAGRAPH)}), lambda x: x <> '') AS p FROM pages), unnest(range(1, len(p) + 1)) AS r(i)"""
 )
 def html_paragraphs(spark, sf_dir):
-    """By its SQL: the text of bare <p> tags up to the first inner tag. html_paragraphs_whole has all of it."""
-    found = F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.filter(F.transform(found, T.strip), lambda x: x != "")).alias("pos", "paragraph"))
-    return rows.select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "paragraph")
-
-
-@query()
-def html_paragraphs_whole(spark, sf_dir):
+    """Whole paragraphs: inner tags stripped, character references resolved (the tables' pages have named ones only)."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(parsing.paragraphs_of_html("html")).alias("pos", "paragraph"))
     return rows.select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "paragraph")
 

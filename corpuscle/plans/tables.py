@@ -127,7 +127,7 @@ def asof_join(spark, sf_dir):
     """For each error, the user's last click before it."""
     events = table(spark, sf_dir, "events")
     left, right = (events.filter(F.col("event_type") == k).select("event_id", "user_id", "ts") for k in ("error", "click"))
-    return relational.asof(left, right, "user_id", "ts", "event_id").select("event_id", "before_id")
+    return relational.asof(left, right, "user_id", "ts", "event_id").select("event_id", F.col("before_event_id").alias("before_id"))
 
 
 @query("""SELECT p_partkey, band FROM part JOIN (VALUES ('low', 900.0, 1000.0), ('mid', 1000.0, 1500.0), ('high', 1400.0, 3000.0)) b(band, lo, hi) ON p_retailprice >= lo AND p_retailprice < hi""")

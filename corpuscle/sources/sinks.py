@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,8 +33,22 @@ def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(good), df.filter(~good)
 
 
-def metrics_table(df: DataFrame, name: str, metric: str, value: str, metrics: list[str]) -> DataFrame:
-    """One row a name, one column a metric."""
+def error_log(bad: DataFrame, by: str, message: str, samples: int = 10) -> DataFrame:
+    """(type, message, n, sample keys): quarantined rows by page type and what is wrong, for a partitioned log."""
+    first = F.slice(F.array_sort(F.collect_set("key")), 1, samples)
+    rows = bad.withColumn("__n", F.row_number().over(Window.partitionBy(by, message).orderBy("key")))
+    few = rows.filter(F.col("__n") <= samples).groupBy(by, message).agg(first.alias("samples"))
+    return bad.groupBy(by, message).agg(F.count("*").alias("n")).join(few, [by, message])
+
+
+def sorted_by_key(df: DataFrame, key: str) -> DataFrame:
+    """In code-point order of the key, which is the order of UTF-8 bytes."""
+    return df.orderBy(key)
+
+
+def metrics_table(df: DataFrame, name: str, metric: str, value: str, metrics: list[str] | None = None) -> DataFrame:
+    """One row a name, one column a metric; without a list, the sorted union of the metrics' names."""
+    metrics = metrics if metrics is not None else sorted(r[0] for r in df.select(metric).distinct().collect())
     return df.groupBy(name).pivot(metric, metrics).agg(F.first(value))
 
 

@@ -88,7 +88,7 @@ def test_long_turns_are_packed_too(spark, tmp_path):
     long = " ".join(f"Sentence {i} of a long turn." for i in range(120))
     rows = [(1, 0, "user", "short"), (1, 1, "bot", long), (1, 2, "user", "end"), (2, 0, "bot", long)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = sorted(map(tuple, all_queries()["section_pack_whole"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, all_queries()["section_pack"](spark, str(tmp_path)).collect()))
     assert all(len(text) <= 1200 for *_, text in got) and [c for c, *_ in got].count(2) > 2
     own = {c: [(titles, text) for k, _, titles, text in got if k == c] for c in (1, 2)}
     assert own[1][0] == ("user", "short") and own[1][-1] == ("user", "end")

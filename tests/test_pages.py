@@ -31,7 +31,7 @@ def test_other_page_types(spark):
     assert row.text.startswith("**Overview**\nshort\n\n**History**") and row.chunk_index == 1
     sections = parsing.parse_markdown(spark.createDataFrame([(1, "## A\nx\n## B\n\n## C\ny")], "k long, t string"), "k", "t")
     timed = parsing.split_temporal(sections, spark.createDataFrame([("C", 4)], "book_title string, book_number int"))
-    assert {(r.title, r.temporal_order, r.text) for r in pages.chunk_chronology(timed, "k").collect()} == {("A", None, "## A\nx"), ("C", 4, "## C\ny")}
+    assert {(r.title, r.temporal_order, r.text) for r in pages.chunk_chronology(timed, "k").collect()} == {("A", None, "x"), ("C", 4, "y")}
     chapters = spark.createDataFrame([(1, 2, "a\n\nb"), (1, 3, "")], "book_number int, chapter_number int, content string")
     assert [(r.chunk_id, r.text) for r in pages.chunk_chapters(chapters).collect()] == [("book_01_ch_02_chunk_001", "a\n\nb")]
 
@@ -53,3 +53,47 @@ def test_paragraphs_are_whole(spark):
     html = '<p>One <b>two</b> three</p><p class="x"><i>four</i> &amp; &#39;five&#39; &#x41;&lt;b&gt;</p><pre>no</pre><P>six<p> </p><p>seven<!-- <p>no --> &amp;lt;'
     (row,) = spark.createDataFrame([(html,)], "h string").select(parsing.paragraphs_of_html("h").alias("p")).collect()
     assert row.p == ["One two three", "four & 'five' A<b>", "six", "seven &lt;"]
+
+
+def test_infoboxes_and_void_tags_do_not_swallow_the_page(spark):
+    pages_ = [
+        (1, "<h2>A</h2><p>one</p><img class='infobox-image'><p>two</p>"),
+        (2, "<div class='infobox'><div>in</div><p>hidden</p></div><p>shown</p>"),
+        (3, "<table><tr><td><p>cell</p><table><tr><td>x</td></tr></table><p>still</p></table><h2>B</h2><ul><li>a<br>b</li></ul>"),
+        (4, "<div class='not-infobox-like'><p>kept</p></div>"),
+        (5, None),
+    ]
+    got = sorted(map(tuple, parsing.parse_html(spark.createDataFrame(pages_, "k int, html string"), "k", "html").collect()))
+    assert got == [(1, "A", "one\ntwo"), (2, "Overview", "shown"), (3, "B", "- ab"), (4, "Overview", "kept")]
+
+
+def test_infobox_of_a_table_and_of_nothing(spark):
+    table = "<table class='infobox'><tr><td><div class='pi-data'><h3 class='pi-data-label'> Hair </h3><div class='pi-data-value'>red<br>long</div></div></td></tr></table>"
+    rows = [(1, table), (2, "<p>none</p>"), (3, None), (4, "<aside class='portable-infobox'><div class='pi-data'><h3 class='pi-data-label'>Rank</h3><div class='pi-data-value'>one</div>")]
+    got = sorted(map(tuple, parsing.infobox(spark.createDataFrame(rows, "k int, html string"), "k", "html").collect()))
+    assert got == [(1, "physical", "Hair", "red long")]
+
+
+def test_markdown_with_an_infobox(spark):
+    df = spark.createDataFrame([(1,)], "k int")
+    box = F.array(F.struct(F.lit("physical").alias("label_group"), F.lit("Hair").alias("label"), F.lit("red").alias("value")))
+    sub = F.array(F.struct(F.lit("T").alias("title"), F.lit("t").alias("content")))
+    sections = F.array(F.struct(F.lit("S").alias("title"), F.lit("s").alias("content"), sub.alias("subsections")))
+    text = df.select(parsing.page_markdown(F.lit("N"), F.lit(7), F.array(F.lit("a")), sections, box, nested=True).alias("t")).first().t
+    assert text == "# N\n\n<!-- Page ID: 7 -->\n<!-- Categories: a -->\n\n## Physical information\n\n**Hair:** red\n\n## S\n\ns\n\n### T\n\nt"
+
+
+def test_long_packs_overlap_like_the_plain_loop(spark):
+    import random
+
+    from corpuscle.config import Config
+    from corpuscle.operators import chunking
+
+    r, cfg = random.Random(2), Config()
+    texts = ["", "short", *("\n\n".join(" ".join(r.choice(["word.", "other", "x" * 30]) for _ in range(r.randint(50, 1400))) for _ in range(r.randint(1, 5))) for _ in range(25))]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "book_number int, chapter_number int, content string")
+    packed = {x.book_number: x.c for x in df.select("book_number", chunking.pack_text("content", cfg.chunk_max).alias("c")).collect()}
+    want = {(i, k + 1, t) for i, own in packed.items() for k, t in enumerate([p for c in own for p in chunking.split_overlapping(c, cfg.chunk_target, cfg.chunk_max, cfg.chunk_overlap)])}
+    got = pages.chunk_chapters(df).collect()
+    assert {(x.book_number, x.chunk_index, x.text) for x in got} == want and any(len(c) > cfg.chunk_target for own in packed.values() for c in own)
+    assert all(x.total_chunks == sum(1 for y in got if y.book_number == x.book_number) for x in got)
