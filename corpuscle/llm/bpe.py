@@ -28,7 +28,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import raw_text, slices
+from .common import raw_text, slices, tidy
 
 #: Fragments that a worker remembers in each of two generations, at about 200 bytes each. They
 #: stay with an idle worker while a job's other stages run. What is forgotten is encoded anew.
@@ -225,7 +225,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = True) -
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
-    return docs.select("doc_id", raw_text().alias("text")).mapInArrow(_run(path, keep), schema)
+    return docs.select("doc_id", raw_text().alias("text")).mapInArrow(tidy(_run(path, keep)), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

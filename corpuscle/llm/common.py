@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -98,6 +101,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(start)
 
 
+def tidy(run):
+    """A function of record batches that hands unused memory back when its partition ends.
+
+    Workers stay for later stages; what they no longer need should not count against those.
+    """
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return own
+
+
 def tie(*columns: str) -> Column:
     """A 64-bit content key: orders rows that share an id the same way in every run."""
     return F.xxhash64(*columns)

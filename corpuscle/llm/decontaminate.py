@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, raw_text, slices
+from .common import OWN, raw_text, slices, tidy
 
 
 #: Characters of a group of patterns; their places take seven bits.
@@ -381,7 +381,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     rows = docs.select("doc_id", raw_text().alias("text"))
     out = spark.createDataFrame([], schema)
     for index in blocks(benchmark, p):
-        out = out.union(rows.mapInArrow(_find(spark.sparkContext.broadcast(index)), schema))
+        out = out.union(rows.mapInArrow(tidy(_find(spark.sparkContext.broadcast(index))), schema))
     return out
 
 
@@ -404,7 +404,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
     """
     for index in blocks(benchmark, p):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.withColumn(f"{OWN}text", raw_text()).mapInArrow(_keep(shared), docs.schema)
+        docs = docs.withColumn(f"{OWN}text", raw_text()).mapInArrow(tidy(_keep(shared)), docs.schema)
     return docs
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, discard, materialize, raw_text, slices, tie, word_runs
+from .common import OWN, discard, materialize, raw_text, slices, tidy, tie, word_runs
 from .components import components
 
 #: Generator polynomial, length and covering radius of each block's code (fixed values).
@@ -312,8 +312,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketches: bool = False
     rows = docs.select("doc_id", tie("text").alias("tie"), raw_text().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     if sketches:
-        return rows.mapInArrow(_sketches(shingle), f"doc_id {kind}, tie long, fp long, buckets array<long>, one long, two long")
-    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, tie long, fp long")
+        return rows.mapInArrow(tidy(_sketches(shingle)), f"doc_id {kind}, tie long, fp long, buckets array<long>, one long, two long")
+    return rows.mapInArrow(tidy(_fingerprints(shingle)), f"doc_id {kind}, tie long, fp long")
 
 
 def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -341,7 +341,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     before = conf.get(name)
     conf.set(name, str(8 << 20))  # two sets a row
     try:
-        return materialize(rows.mapInArrow(_similar(least), "a long, b long"))
+        return materialize(rows.mapInArrow(tidy(_similar(least)), "a long, b long"))
     finally:
         conf.set(name, before)
 
@@ -378,7 +378,7 @@ def _joined(docs: DataFrame, found: DataFrame, label: DataFrame, shingle: int, l
     nodes = materialize(rows.select(F.col("node").alias("n")).distinct())
     texts = docs.select(tie("text").alias("t"), raw_text().alias("text"))
     texts = texts.join(nodes, texts.t == nodes.n, "left_semi").dropDuplicates(["t"])
-    sets = materialize(texts.mapInArrow(_sets(shingle), "t long, set binary"))
+    sets = materialize(texts.mapInArrow(tidy(_sets(shingle)), "t long, set binary"))
     for k in range(STARS):
         order = F.xxhash64("node", F.lit(k))
         key = F.struct(order.alias("o"), "node", "component", "one", "two")
@@ -401,7 +401,7 @@ def _joined(docs: DataFrame, found: DataFrame, label: DataFrame, shingle: int, l
     dealt = held.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "component", "set")
     cells = dealt.repartition(*_CELL).sortWithinPartitions(*_CELL)
-    merge(rows, cells.mapInArrow(_linked(least), "ca long, cb long"))
+    merge(rows, cells.mapInArrow(tidy(_linked(least)), "ca long, cb long"))
     discard(sets)
     return joined
 

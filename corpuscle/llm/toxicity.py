@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, discard, materialize, raw_text, slices, text_runs
+from .common import OWN, discard, materialize, raw_text, slices, text_runs, tidy
 from .linear import Sparse, fit, sigmoid
 
 #: Words of letters and digits; a zero byte stands between texts.
@@ -41,7 +41,7 @@ class Params:
     folds: int = 4
     ridge: float = 1e-5
     steps: int = 300
-    remembered: int = 200_000  # words whose terms a worker remembers
+    remembered: int = 60_000  # words whose terms a worker remembers
 
 
 def terms_of(word: str, starts: tuple[int, ...]) -> list[str]:
@@ -127,15 +127,39 @@ def rows_of(words: np.ndarray, text: np.ndarray, term: np.ndarray, times: np.nda
     return out
 
 
+@dataclass
+class Sample:
+    """The labelled rows as counts of terms; features are made of them where they are needed."""
+
+    words: np.ndarray
+    text: np.ndarray  # row, term and times of each term in a row
+    term: np.ndarray
+    times: np.ndarray
+    fold: np.ndarray
+    allowed: list[np.ndarray]  # by fold, and last for all rows, the terms it may use
+    dense: np.ndarray  # out-of-fold chances of the links before
+
+    @property
+    def width(self) -> int:
+        return 2 * len(self.allowed[-1]) + self.dense.shape[1]
+
+    def features(self, rows: np.ndarray, terms: np.ndarray) -> Sparse:
+        """Of the rows where `rows` is true, with the terms where `terms` is."""
+        keep, place = rows[self.text] & terms[self.term], np.cumsum(rows) - 1
+        out = rows_of(self.words[rows], place[self.text[keep]], self.term[keep], self.times[keep], len(terms))
+        out.dense = self.dense[rows]
+        return out
+
+
 def _fits(shared, p: Params):
     """One row a fold in: the weights fitted without the fold (of the last number: with all rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, sign, fold, allowed = shared.value
+        sample, sign = shared.value
         for batch in batches:
             for f in batch.column("id").to_pylist():
-                own = fold != f
-                w = fit(x.take(own).only(allowed[f]), sign[own], "logistic", p.ridge, p.steps) if own.any() else np.zeros(x.shape[1] + 1)
+                own = sample.fold != f
+                w = fit(sample.features(own, sample.allowed[f]), sign[own], "logistic", p.ridge, p.steps) if own.any() else np.zeros(sample.width + 1)
                 yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["fold", "w"])
 
     return run
@@ -149,24 +173,24 @@ class Chain:
         self.cuts: list[float] = []
 
     @classmethod
-    def fit(cls, spark, terms: list[str], x: Sparse, y: np.ndarray, fold: np.ndarray, allowed: list[np.ndarray], p: Params) -> Chain:
-        """x: text features; y: 0/1 by row and category; allowed: by fold, and last for all rows, the features it may use."""
+    def fit(cls, spark, terms: list[str], sample: Sample, y: np.ndarray, p: Params) -> Chain:
+        """y: 0/1 by row and category."""
         weights, cuts = [], []
         for c in range(y.shape[1]):
             sign = np.where(y[:, c] > 0, 1.0, -1.0)
-            shared = spark.sparkContext.broadcast((x, sign, fold, allowed))
-            fitted = spark.range(0, p.folds + 1, 1, p.folds + 1).mapInArrow(_fits(shared, p), "fold long, w binary").collect()
+            shared = spark.sparkContext.broadcast((sample, sign))
+            fitted = spark.range(0, p.folds + 1, 1, p.folds + 1).mapInArrow(tidy(_fits(shared, p)), "fold long, w binary").collect()
+            shared.unpersist()
             by = {r.fold: np.frombuffer(bytes(r.w)) for r in fitted}
             weights.append(by[p.folds])
-            apart = np.zeros(x.n)
+            apart = np.zeros(len(sign))
             for f in range(p.folds):
-                own = fold == f
-                apart[own] = sigmoid(x.take(own) @ by[f][:-1] + by[f][-1])
+                own = sample.fold == f
+                apart[own] = sigmoid(sample.features(own, sample.allowed[f]) @ by[f][:-1] + by[f][-1])
             cuts.append(best_cut(apart, sign > 0))
-            x = x.beside(apart)
-            shared.unpersist()
+            sample = replace(sample, dense=np.hstack([sample.dense, apart[:, None]]))
         out = cls(terms, weights, p)
-        out.out_of_fold, out.cuts = x.dense, cuts
+        out.out_of_fold, out.cuts = sample.dense, cuts
         return out
 
     def trimmed(self, n: int) -> Chain:
@@ -292,7 +316,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Chain:  #
     k = range(len(p.categories))
     names = [f"n{f}_{c}" for f in range(p.folds) for c in range(len(k) + 1)]
     sums = "".join(f", {c} long" for c in names)
-    counts = rows.mapInArrow(_term_counts(p), f"term string{sums}").groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
+    counts = rows.mapInArrow(tidy(_term_counts(p)), f"term string{sums}").groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
     counts = materialize(counts.filter(sum((F.col(f"n{f}_0") for f in range(p.folds)), F.lit(0)) >= p.least_docs))
     totals = np.zeros((p.folds, len(k) + 1), np.int64)
     for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(f"y{c}").alias(f"y{c}") for c in k)).collect():
@@ -304,14 +328,14 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Chain:  #
     own = [*chosen[-1], *sorted({t for terms in chosen for t in terms} - set(chosen[-1]))]
     shared = spark.sparkContext.broadcast(own)
     kinds = "".join(f", y{c} int" for c in k)
-    found = rows.mapInArrow(_sample_rows(shared, p), f"key long{kinds}, fold int, words long, at array<int>, times array<int>").collect()
-    found.sort(key=lambda r: r.key)
-    text = np.repeat(np.arange(len(found)), [len(r["at"]) for r in found])
-    term, times = (np.array([v for r in found for v in r[c]], np.int64) for c in ("at", "times"))
-    x = rows_of(np.array([r.words for r in found]), text, term, times, len(own))
-    y = np.array([[r[f"y{c}"] for c in k] for r in found])
-    allowed = [np.isin(own, terms) for terms in chosen]
-    chain = Chain.fit(spark, own, x, y, np.array([r.fold for r in found]), [np.append(a, a) for a in allowed], p)
+    found = rows.mapInArrow(tidy(_sample_rows(shared, p)), f"key long{kinds}, fold int, words long, at array<int>, times array<int>").toArrow().sort_by("key")
+    at = found.column("at").combine_chunks()
+    sizes = np.diff(at.offsets.to_numpy())
+    lists = {c: found.column(c).combine_chunks().flatten().to_numpy().astype(np.int32) for c in ("at", "times")}
+    column = lambda c: found.column(c).to_numpy()
+    dense = np.zeros((found.num_rows, 0))
+    sample = Sample(column("words"), np.repeat(np.arange(found.num_rows, dtype=np.int32), sizes), lists["at"], lists["times"], column("fold"), [np.isin(own, terms) for terms in chosen], dense)
+    chain = Chain.fit(spark, own, sample, np.stack([column(f"y{c}") for c in k], axis=1), p)
     return chain.trimmed(len(chosen[-1]))
 
 
@@ -338,7 +362,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     rows = docs.withColumn(f"{OWN}text", raw_text())
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(_predict(shared), kinds + "".join(f", {OWN}{c} double" for c in chain.p.categories))
+    return rows.mapInArrow(tidy(_predict(shared)), kinds + "".join(f", {OWN}{c} double" for c in chain.p.categories))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
