@@ -122,8 +122,9 @@ def rows_of(words: np.ndarray, text: np.ndarray, term: np.ndarray, times: np.nda
     """Features: whether a term occurs, and its share of the words on a log scale."""
     out = Sparse([], [], 2 * n_terms, np.zeros((len(words), 0)))
     share = np.log1p(1000.0 * times / np.maximum(1, words[text])) / 4
+    text, term = text.astype(np.int32), term.astype(np.int32)
     out.rows, out.columns = np.concatenate([text, text]), np.concatenate([term, n_terms + term])
-    out.values, out.n = np.concatenate([np.ones(len(text)), share]), len(words)
+    out.values, out.n = np.concatenate([np.ones(len(text), np.float32), share.astype(np.float32)]), len(words)
     return out
 
 
