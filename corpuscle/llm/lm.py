@@ -9,9 +9,12 @@ biases b and one diagonal matrix c for each context position, the score of class
 the token probabilities are normalised over the training vocabulary and one unseen word a group.
 
 Training counts every word of every training document, then every training token takes part
-in NCE against noise from the class unigram, in numpy, inside the partitions that hold the
-documents; the partitions' parameters are averaged by their tokens in a tree. The normaliser
-of all pairs of context classes is one matrix product, so a token costs three table reads.
+in NCE against noise from the class unigram, in numpy. Texts go as class numbers, two bytes a
+token, in pieces to shards that follow from their content and from the number of all tokens;
+within a shard a hash orders them, so the same rows in other files give the same model. Equal
+pieces are counted before they move, and their copies spread evenly over the shards. The
+shards' parameters are averaged by their tokens in a tree. The normaliser of all pairs of
+context classes is one matrix product, so a token costs three table reads.
 
 The most frequent words' counts are broadcast (a fixed number). The other words of a document
 join the count table by word, and only their sums return to the document.
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_text, slices, word_runs
+from .common import materialize, raw_text, slices, tidy, word_runs
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,8 @@ class Params:
     noise: int = 64  # noise classes that each batch shares
     batch: int = 4096
     rate: float = 0.15
-    fan_in: int = 64  # partitions averaged at once
+    fan_in: int = 64  # shards averaged at once
+    shard: int = 1 << 22  # training tokens a shard, on average
     distinct: int = 500_000  # words a counting task holds before it hands them on
 
     @property
@@ -226,68 +230,136 @@ def _unpack(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _params_batch(n: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["n", "params"])
+def _encode(words, p: Params):
+    """Pieces of class numbers, one for each run of words; each begins with the two classes before it."""
 
-
-def _train(words, start, noise, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of = words.value
         codes = Codes(own, p.groups)
-        t = Trainer(start.value, noise, p, TaskContext.get().partitionId())
+        start = np.full(2, p.end, "<i2")
+
+        def pieces(text: bytes) -> Iterator[bytes]:
+            piece, empty = start, True
+            for run_ in word_runs(text):
+                if not run_:
+                    continue
+                if not empty:
+                    yield piece.tobytes()
+                c = np.fromiter(map(codes.__getitem__, run_), np.int32, len(run_))
+                piece, empty = np.concatenate([piece[-2:], np.where(c >= 0, of[c], p.frequent - 1 - c).astype("<i2")]), False
+            yield np.append(piece, start[:1]).tobytes()
+
+        for batch in slices(batches, "text"):
+            texts = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            rows = [(k1, k2, part, data) for k1, k2, text in texts for part, data in enumerate(pieces(text))]
+            kinds = {"k1": pa.int64(), "k2": pa.int64(), "part": pa.int32(), "codes": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+    return tidy(run)
+
+
+def sharded(texts: DataFrame, words, shards: int, p: Params) -> DataFrame:
+    """(shard, codes): the pieces of all texts, each shard in one partition and in its own order.
+
+    Both follow from the rows alone, however they lie in files. c equal pieces give c rows: they are
+    counted before the shuffle, then c divided by the shards goes to each, and there they are repeated.
+    """
+    keyed = texts.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
+    rows = keyed.mapInArrow(_encode(words, p), "k1 long, k2 long, part int, codes binary")
+    rows = rows.groupBy("k1", "k2", "part").agg(F.first("codes").alias("codes"), F.count("*").alias("c"))
+    n, j = F.lit(shards).cast("long"), F.col("j")
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("c", n) - 1)))
+    rows = rows.select(
+        F.pmod(F.pmod("k1", n) + F.col("part") + j, n).alias("shard"),
+        F.when(j < F.pmod("c", n), 1).otherwise(0).alias("more"),
+        *("k1", "k2", "part", "c", "codes"),
+    ).repartition(shards, "shard")
+    times = F.floor(F.col("c") / n).cast("long") + F.col("more")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    rows = rows.withColumn("h", F.xxhash64("k1", "k2", "part", "copy"))
+    return rows.sortWithinPartitions("shard", "h", "k1", "k2", "part", "copy").select("shard", "codes")
+
+
+_PARAMS = "shard long, n long, params binary"
+
+
+def _params_batch(shard: int, n: int, data: bytes) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((shard, n, data), kinds, strict=True)], names=["shard", "n", "params"])
+
+
+def _train(start, noise, p: Params):
+    """Parameters of each shard; its number is the seed of its noise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, shard = None, None
         rest: list[np.ndarray] = []
         held = 0
 
-        def learn(seq: np.ndarray) -> None:
-            x1, x2 = contexts(seq, p.end)
-            for i in range(0, len(seq), p.batch):
-                t.step(seq[i : i + p.batch], x1[i : i + p.batch], x2[i : i + p.batch])
-
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                for run_ in word_runs(text):
-                    c = np.fromiter(map(codes.__getitem__, run_), np.int32, len(run_))
-                    rest.append(np.where(c >= 0, of[c], p.frequent - 1 - c).astype(np.int16))
-                    held += len(c)
-                rest.append(np.array([p.end], np.int16))
-                held += 1
+        def learn() -> None:
+            nonlocal rest, held
+            y, x1, x2 = (np.concatenate([c[i : len(c) - 2 + i] for c in rest]) for i in (2, 1, 0))
+            for i in range(0, len(y), p.batch):
+                t.step(y[i : i + p.batch], x1[i : i + p.batch], x2[i : i + p.batch])
+            rest, held = [], 0
+
+        for batch in batches:
+            for own, data in zip(batch.column("shard").to_pylist(), batch.column("codes").to_pylist(), strict=True):
+                if own != shard:
+                    if held:
+                        learn()
+                    if t:
+                        yield _params_batch(shard, t.n, _pack(t.w))
+                    t, shard = Trainer(start.value, noise, p, own), own
+                rest.append(np.frombuffer(data, "<i2"))
+                held += len(rest[-1]) - 2
                 if held >= 64 * p.batch:
-                    learn(np.concatenate(rest))
-                    rest, held = [], 0
+                    learn()
         if held:
-            learn(np.concatenate(rest))
-        yield _params_batch(t.n, _pack(t.w))
+            learn()
+        if t:
+            yield _params_batch(shard, t.n, _pack(t.w))
 
-    return run
+    return tidy(run)
+
+
+def _mean(rows: list[tuple[int, int, bytes]]) -> tuple[int, bytes]:
+    """Tokens and mean parameters by tokens, added up in the order of the shards."""
+    n = sum(k for _, k, _ in rows)
+    total = sum(np.frombuffer(bytes(data), "<f4").astype(np.float64) * k for _, k, data in sorted(rows))
+    return n, (total / n).astype("<f4").tobytes()
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
-    for batch in batches:
-        for k, data in zip(batch.column("n").to_pylist(), batch.column("params").to_pylist(), strict=True):
-            if k:
-                x = np.frombuffer(data, "<f4").astype(np.float64) * k
-                total, n = x if total is None else total + x, n + k
-    if n:
-        yield _params_batch(n, (total / n).astype("<f4").tobytes())
+def _average(fan_in: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "params")), strict=True):
+                if rows and row[0] // fan_in != group:
+                    yield _params_batch(group, *_mean(rows))
+                    rows = []
+                group = row[0] // fan_in
+                rows.append(row)
+        if rows:
+            yield _params_batch(group, *_mean(rows))
+
+    return run
 
 
 def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """One pass of NCE over every token of `texts`; the parts' parameters averaged by their tokens."""
+    """One pass of NCE over every token of `texts`; the shards' parameters averaged by their tokens."""
     sc, p = texts.sparkSession.sparkContext, v.p
     start = initial(v)
     of = v.classes() if len(v.words) else np.zeros(1, np.int32)
-    found = texts.mapInArrow(_train(sc.broadcast((v.words, of)), sc.broadcast(start), v.unigram(), p), "n long, params binary")
-    parts = texts.rdd.getNumPartitions() if hasattr(texts, "rdd") else p.fan_in
-    while parts > p.fan_in:
-        parts = math.ceil(parts / p.fan_in)
-        found = found.repartition(parts).mapInArrow(_average, "n long, params binary")
-    rows = found.collect()  # at most fan_in rows of a fixed size
-    n = sum(r.n for r in rows)
-    if not n:
-        return start
-    total = sum(np.frombuffer(bytes(r.params), "<f4").astype(np.float64) * r.n for r in rows if r.n)
-    return _unpack((total / n).astype("<f4").tobytes(), start)
+    shards = max(1, math.ceil(v.tokens / p.shard))
+    rows = sharded(texts, sc.broadcast((v.words, of)), shards, p)
+    found = rows.mapInArrow(_train(sc.broadcast(start), v.unigram(), p), _PARAMS)
+    while shards > p.fan_in:
+        shards = math.ceil(shards / p.fan_in)
+        group = F.floor(F.col("shard") / p.fan_in)
+        found = found.repartition(shards, group).sortWithinPartitions("shard").mapInArrow(_average(p.fan_in), _PARAMS)
+    own = found.collect()  # at most fan_in rows of a fixed size
+    return _unpack(_mean([(r.shard, r.n, r.params) for r in own])[1], start) if own else start
 
 
 class Tables:
@@ -357,7 +429,8 @@ def score_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that :func:`held_out` leaves. Null and empty texts are one end.
-    Repeated rows each return. Without training rows every probability is that of an unseen
+    Repeated rows each return. The same rows in other files give the same scores, but for the
+    rounding of sums of rare words. Without training rows every probability is that of an unseen
     word; an empty table returns no rows. Extra columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -78,3 +78,79 @@ def test_edge_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, uid string, n_tokens int")
     assert key(lm.score_documents(df).collect()) == sorted(base([r[:2] for r in rows]), key=str)
     assert lm.score_documents(df.limit(0)).count() == 0
+
+
+TINY = lm.Params(frequent=12, groups=4, known=30, dim=5, noise=8, batch=32, shard=400, fan_in=3)
+
+
+def tiny(spark):
+    r = np.random.default_rng(3)
+    words = "a the cat dog sat ran on mat and barked é zebra quagga ibis lynx stoat".split()
+    docs = [(i, " ".join(words[k] for k in np.minimum(r.geometric(0.2, r.integers(0, 40)) - 1, 15))) for i in range(120)]
+    docs += [(200 + i, "the hot copy sat on the mat") for i in range(150)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string")
+
+
+def test_score_against_brute_force(spark):
+    docs, df = tiny(spark)
+    texts = df.filter(~lm.held_out()).select(lm.raw_text().alias("text"))
+    v = lm.Vocabulary.of(lm.count_words(texts), TINY)
+    w = {k: x.astype(np.float64) for k, x in lm.train(texts, v).items()}
+    count = collections.Counter(x for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2 for x in [*t.encode().split(), None])
+    own = {x: i for i, x in enumerate(sorted((x for x in count if x), key=lambda x: (-count[x], x))[: TINY.frequent])}
+
+    def class_of(x):
+        return TINY.end if x is None else own.get(x, TINY.frequent + lm.group_of(x, TINY.groups))
+
+    def log_p(x, x1, x2):
+        s = (w["c"][0] * w["r"][x1] + w["c"][1] * w["r"][x2]) @ w["q"].T + w["b"]
+        y = class_of(x)
+        inner = 0.0
+        if x is not None and x not in own:
+            members = [c for m, c in count.items() if m and m not in own and class_of(m) == y]
+            inner = math.log10((count[x] + 1) / (sum(members) + len(members) + 1))
+        return (s[y] - np.log(np.exp(s).sum())) / math.log(10) + inner
+
+    want = {}
+    for i, t in docs:
+        x1 = x2 = TINY.end
+        want[i] = 0.0
+        for x in [*t.encode().split(), None]:
+            want[i] += log_p(x, x1, x2)
+            x2, x1 = x1, class_of(x)
+    got = {r.doc_id: r.score for r in lm.score_documents(df, TINY).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-3
+
+
+def test_same_rows_in_other_files_give_the_same_scores(spark):
+    _, df = tiny(spark)
+    scores = [{r.doc_id: r.score for r in lm.score_documents(d, TINY).collect()} for d in (df.repartition(1), df.repartition(7), df.orderBy("text"))]
+    assert all(max(abs(scores[0][i] - s[i]) for i in s) < 1e-9 for s in scores[1:])
+
+
+def test_every_token_is_trained_on_and_hot_copies_spread(spark):
+    docs, df = tiny(spark)
+    texts = df.select(lm.raw_text().alias("text"))
+    v = lm.Vocabulary.of(lm.count_words(texts), TINY)
+    rows = lm.sharded(texts, spark.sparkContext.broadcast((v.words, v.classes())), 5, TINY).collect()
+    codes = [np.frombuffer(bytes(r.codes), "<i2") for r in rows]
+    assert len(rows) == len(docs) and sum(len(c) - 2 for c in codes) == v.tokens
+    hot = collections.Counter(bytes(r.codes) for r in rows).most_common(1)[0]
+    assert hot[1] == 150 and collections.Counter(r.shard for r in rows if bytes(r.codes) == hot[0]) == {k: 30 for k in range(5)}
+
+
+def test_long_texts_go_in_pieces_that_know_what_came_before(spark, monkeypatch):
+    monkeypatch.setattr(lm, "word_runs", lambda text: (text.lower().split()[i : i + 3] for i in range(0, len(text.split()), 3)))
+    words = [b"a", b"b", b"c"]
+
+    class Shared:
+        value = (words, np.arange(3, dtype=np.int32))
+
+    import pyarrow as pa
+
+    p = lm.Params(frequent=3, groups=1)
+    batch = pa.RecordBatch.from_pydict({"k1": [1, 2], "k2": [1, 2], "text": [b"a b c a c b a", b""]})
+    out = pa.Table.from_batches(lm._encode(Shared, p)(iter([batch]))).to_pylist()
+    got = [(r["k1"], r["part"], np.frombuffer(r["codes"], "<i2").tolist()) for r in out]
+    e = p.end
+    assert got == [(1, 0, [e, e, 0, 1, 2]), (1, 1, [1, 2, 0, 2, 1]), (1, 2, [2, 1, 0, e]), (2, 0, [e, e, e])]
