@@ -7,12 +7,14 @@ window shares at least 4 of 21 shingles with the template (1 of 4 for a template
 shingle), and with 48 bands of one MinHash each a template is retrieved with a probability
 of 0.9999 or more. Block minima are taken once; the longer windows' are minima of those.
 
-A retrieved template is verified on the words themselves: the share of its shingles that the
-window has must reach the threshold.
+A retrieved template is verified on the words themselves, in the window and as much text on
+either side of it: the share of its shingles in some run as long as a window, from whatever
+place on, must reach the threshold. So a notice doesn't depend on where windows fall.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,6 +83,7 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], p: Params):
         self.p, self.templates = p, []
+        self.widths: list[int] = []  # shingles in a window of each template
         r = np.random.default_rng(p.seed)
         self.a = r.integers(0, 1 << 31, p.bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = r.integers(0, 1 << 32, p.bands, dtype=np.uint32)
@@ -94,6 +97,7 @@ class Index:
             while step + 1 < len(words) - p.shingle + 1:
                 step, level = step * 2, level + 1
             levels.setdefault(level, []).append(len(self.templates))
+            self.widths.append(2 * step)
             self.templates.append((name, len(self.templates), shingles, words))
         #: For each level and band: a bitmap of the values' upper bits, the sorted values and their templates.
         self.levels = {level: [self._table(own, f) for f in range(p.bands)] for level, own in levels.items()}
@@ -166,20 +170,42 @@ class Index:
         flat = [w for words in own for w in words]
         h = shingle_hashes(self._hashes(flat), self.p.shingle)
         room = np.repeat(starts[1:], np.diff(starts))[: len(h)] - np.arange(len(h))
-        found: list[dict[int, tuple]] = [{} for _ in own]
-        for t, first, last in self.retrieve(h, room >= self.p.shingle):
-            name, _, shingles, words = self.templates[t]
+        places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for t, first, last in sorted(self.retrieve(h, room >= self.p.shingle)):
             doc = int(np.searchsorted(starts, first, "right")) - 1
             while doc < len(own) and starts[doc] < last:  # a window may reach into the next texts
-                a, b = max(first, int(starts[doc])), min(last + self.p.shingle - 1, int(starts[doc + 1]))
-                has = [i for i in range(a, b - self.p.shingle + 1) if tuple(flat[i : i + self.p.shingle]) in shingles]
-                share = len({tuple(flat[i : i + self.p.shingle]) for i in has}) / len(shingles)
-                if share >= self.p.containment:
-                    hit = (share, -(has[0] - int(starts[doc])), has[-1] - has[0] + self.p.shingle)
-                    found[doc][t] = max(found[doc].get(t, hit), hit)
+                a = max(first - self.widths[t], int(starts[doc]))
+                b = min(last + self.widths[t], int(starts[doc + 1]) - self.p.shingle + 1)
+                near = places.setdefault((doc, t), [])
+                if near and a <= near[-1][1]:
+                    near[-1] = (near[-1][0], max(b, near[-1][1]))
+                elif a < b:
+                    near.append((a, b))
                 doc += 1
+        found: list[dict[int, tuple]] = [{} for _ in own]
+        for (doc, t), near in places.items():
+            best = max((self._best_run(flat, t, a, b) for a, b in near), default=(0.0, 0, 0))
+            if best[0] >= self.p.containment:
+                found[doc][t] = (best[0], best[1] + int(starts[doc]), best[2])
         return [[(self.templates[t][0], t, s, -at, n) for t, (s, at, n) in sorted(f.items())] for f in found]
 
+    def _best_run(self, flat: list[bytes], t: int, a: int, b: int) -> tuple[float, int, int]:
+        """(containment, -first word, words) of the run from a to b with most of the template, the first of equals."""
+        shingles, width, best = self.templates[t][2], self.widths[t], (0.0, 0, 0)
+        run: deque[tuple[int, tuple]] = deque()
+        held: Counter = Counter()
+        for i in range(a, b):
+            if (x := tuple(flat[i : i + self.p.shingle])) in shingles:
+                run.append((i, x))
+                held[x] += 1
+                while i - run[0][0] >= width:
+                    _, gone = run.popleft()
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                best = max(best, (len(held) / len(shingles), -run[0][0], i - run[0][0] + self.p.shingle))
+        return best
+
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +223,7 @@ def _scan(shared):
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, p: Params = Params()) -> DataFrame:  # noqa: B008
     """(doc_id, license, template, containment, first_word, n_words): each template in each document.
 
-    template: its place in the list; containment: of the best window, the first of equals;
+    template: its place in the list; containment: of the best run as long as a window, the first of equals;
     first_word and n_words: where its shingles stand, in words of letters and digits. Templates
     under five words are left out. Null and empty texts have none. Rows that repeat each return
     their own; an empty table returns no rows; extra columns are not read. Rows don't move. The

@@ -82,3 +82,20 @@ def test_huge_texts_go_in_runs(monkeypatch):
     for size in (700, 5000):
         monkeypatch.setattr(lic, "text_runs", lambda t, size=size: __import__("corpuscle.llm.common", fromlist=["x"]).text_runs(t, size))
         assert index.scan([text]) == want and len(want[0]) == 2
+
+
+def test_neighbours_do_not_matter():
+    """A notice with words inserted is found, or not, alike behind any number of words and texts."""
+    r = random.Random(4)
+    index = lic.Index(lic.TEMPLATES, P)
+    seen = 0
+    for k in range(len(lic.TEMPLATES)):
+        notice = lic.TEMPLATES[k][1].split()
+        if len(notice) > 12:
+            notice[len(notice) // 2 : len(notice) // 2] = ["inserted"] * r.randint(1, 3)
+        text = (prose(r, 40) + " " + " ".join(notice) + " " + prose(r, 40)).encode()
+        alone = index.scan([text])[0]
+        seen += any(t == k for _, t, *_ in alone)
+        for n in (1, 2, 3, 5, 9, 17, 33):
+            assert index.scan([prose(r, n).encode(), text, b"the"])[1] == alone, (k, n)
+    assert seen > len(lic.TEMPLATES) // 2
