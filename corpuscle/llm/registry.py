@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embedding, langid, license, linededup, lm, oracle, simhash, tokenfile, toxicity, trie
+from . import bpe, decontaminate, embedding, langid, license, linededup, lm, oracle, simhash, tokenfile, toxicity, trie, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": langid.op8,
         "op9_line_dedup": linededup.op9,
         "op10_toxicity": toxicity.op10,
+        "op11_whitening": whitening.op11,
         "op12_prefix_trie": trie.op12,
     }
 
