@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embedding, langid, license, linededup, lm, oracle, simhash, tokenfile, toxicity, trie, whitening
+from . import bpe, decontaminate, embedding, langid, license, linededup, lm, oracle, simhash, substring, tokenfile, toxicity, trie, whitening
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op10_toxicity": toxicity.op10,
         "op11_whitening": whitening.op11,
         "op12_prefix_trie": trie.op12,
+        "op13_substring_dedup": substring.op13,
     }
 
 
 def oracle_sql() -> dict:
     """By query; the others (tokenizers, XXH64, alignments, trained models) are held to brute force in the tests."""
-    return {"op1_embedding_near_dedup": oracle.OP1, "op9_line_dedup": oracle.OP9}
+    return {"op1_embedding_near_dedup": oracle.OP1, "op9_line_dedup": oracle.OP9, "op12_prefix_trie": oracle.OP12, "op13_substring_dedup": oracle.OP13}
