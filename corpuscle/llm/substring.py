@@ -25,8 +25,8 @@ from ..durable import forget, written
 from .common import OWN, raw_text, slices, text_runs, tidy
 
 WINDOW = 50
-#: Words that a task takes at once, and hashes that a bucket holds on average.
-WORDS = 1 << 21
+#: Words that a task takes at once, and hashes that a bucket holds at most on average.
+WORDS, HASHES = 1 << 20, 1 << 21
 #: Texts of one slice with one window that send it each; more send it once and are anchors without asking.
 MANY = 8
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -72,11 +72,17 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _pack(h: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray, runs: np.ndarray, buckets: int, done: bool) -> pa.RecordBatch:
-    """A row a bucket: its texts' identities (rows of `runs`), how many hashes each has, and these in two columns."""
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    if done:  # nothing meets these again: they only leave the task evenly
-        bucket[:] = d % buckets
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(bucket: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray, runs: np.ndarray, done: bool = False) -> pa.RecordBatch:
+    """A row a bucket: its texts' identities (rows d of `runs`), how many hashes each has, and these in two columns."""
     order = np.argsort(bucket * len(runs) + d, kind="stable")
     bucket, d, low, high = bucket[order], d[order], low[order], high[order]
     first = _groups(bucket, d)
@@ -84,9 +90,8 @@ def _pack(h: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray, runs:
     own = np.ascontiguousarray(runs[d[first]])
     cut = _groups(bucket)
     ends = np.append(cut[1:], len(d))
-    runs_cut, runs_end = np.searchsorted(first, cut), np.searchsorted(first, ends)
-    columns = [[], [], [], []]
-    for a, b, ra, rb in zip(cut, ends, runs_cut, runs_end, strict=True):
+    columns: list[list[bytes]] = [[], [], [], []]
+    for a, b, ra, rb in zip(cut, ends, np.searchsorted(first, cut), np.searchsorted(first, ends), strict=True):
         for column, x in zip(columns, (own[ra:rb], counts[ra:rb], low[a:b], high[a:b]), strict=True):
             column.append(x.tobytes())
     n = len(cut)
@@ -147,61 +152,91 @@ def _probes(window: int, buckets: int):
             ref |= each
             value = ((h & _LOW) << np.uint64(1)) | ref
             low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.uint32), (value >> np.uint64(32)).astype(np.uint16)
-            yield _pack(h[send], d[send], low[send], high[send], runs, buckets, False)
-            if each.any():
-                yield _pack(h[each], d[each], low[each], high[each], runs, buckets, True)
+            yield _pack(_bucket(h[send], buckets), d[send], low[send], high[send], runs)
+            if each.any():  # by text and hash: many texts with one hash part, one text in many slices meets itself
+                own = _mixed(h[each] ^ runs[d[each], 0].view(np.uint64))
+                yield _pack(_bucket(own, buckets), d[each], low[each], high[each], runs, True)
 
     return tidy(run)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[dict]]]:
-    """The rows of each bucket, which come together; those that are done one by one."""
+    """The rows of each bucket, which come together; those that are done by themselves."""
     now, held = None, []
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            if row["done"]:
-                yield True, [row]
-                continue
-            if row["bucket"] != now and held:
-                yield False, held
+            if held and (row["bucket"], row["done"]) != now:
+                yield now[1], held
                 held = []
-            now = row["bucket"]
+            now = row["bucket"], row["done"]
             held.append(row)
     if held:
-        yield False, held
+        yield now[1], held
+
+
+def _met(parts: DataFrame, run, kinds: str) -> DataFrame:
+    """`run` over the buckets of packed rows, one bucket at a time."""
+    return parts.repartition("bucket").sortWithinPartitions("bucket", "done").mapInArrow(tidy(run), kinds)
 
 
 def _column(rows: list[dict], name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
 
 
-def _lists(keys: np.ndarray, names: list[str], group: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """A row for each group: its key's columns and its values as bytes. group: rows of `keys`."""
-    order = np.argsort(group, kind="stable")
-    group, values = group[order], np.ascontiguousarray(values[order])
-    first = _groups(group)
-    offsets = (np.append(first, len(group)) * 8).astype(np.int32)
-    lists = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype(np.uint64).tobytes())])
-    return pa.RecordBatch.from_arrays([*(pa.array(keys[group[first], j]) for j in range(len(names))), lists], names=[*names, "hashes"])
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, hashes): of each text, the rolling windows that meet a reference block of another text (or are one that is met)."""
-    for done, rows in _by_bucket(batches):
-        keys, counts = _column(rows, "runs", np.int64), _column(rows, "counts", np.uint32)
-        value = _column(rows, "low", np.uint32).astype(np.uint64) | (_column(rows, "high", np.uint16).astype(np.uint64) << np.uint64(32))
-        run = np.repeat(np.arange(len(keys)), counts)
-        h, ref = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
-        if not done:
-            order = np.argsort(h, kind="stable")
-            h, ref, run = h[order], ref[order], run[order]
-            own, first = keys[run], _groups(h)
-            met = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) & np.logical_or.reduceat(ref, first)
-            met = np.repeat(met, np.diff(np.append(first, len(h))))
-            h, run = h[met], run[met]
-        if len(h):
-            yield _lists(keys[:, None], ["k1"], run, h)
+def _texts(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct identities in packed rows, and each hash's."""
+    keys, at = np.unique(_column(rows, "runs", np.int64).reshape(-1, width), axis=0, return_inverse=True)
+    return keys, np.repeat(at.ravel(), _column(rows, "counts", np.uint32))
+
+
+def _by_text(keys: np.ndarray, text: np.ndarray, h: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Distinct hashes of each text, packed for the buckets of the texts' keys (the first column)."""
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    first = _groups(text, h)
+    text, h = text[first], h[first]
+    return _pack(_bucket(_mixed(keys[text, 0].view(np.uint64)), buckets), text, h, np.zeros(len(h), "V0"), keys)
+
+
+def _anchors(buckets: int):
+    """Of each text, the rolling windows that meet a reference block of another text (or are one that is met)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done, rows in _by_bucket(batches):
+            keys, text = _texts(rows, 1)
+            value = _column(rows, "low", np.uint32).astype(np.uint64) | (_column(rows, "high", np.uint16).astype(np.uint64) << np.uint64(32))
+            h, ref = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
+            if not done:
+                order = np.argsort(h, kind="stable")
+                h, ref, text = h[order], ref[order], text[order]
+                first = _groups(h)
+                met = (np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first)) & np.logical_or.reduceat(ref, first)
+                met = np.repeat(met, np.diff(np.append(first, len(h))))
+                h, text = h[met], text[met]
+            if len(h):
+                yield _by_text(keys, text, h, buckets)
+
+    return run
+
+
+def _gathered(names: list[str]):
+    """(names, hashes): one row a text, its distinct hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            keys, text = _texts(rows, len(names))
+            h = _column(rows, "low", np.uint64)
+            order = np.lexsort((h, text))
+            text, h = text[order], h[order]
+            first = _groups(text, h)
+            text, h = text[first], np.ascontiguousarray(h[first])
+            ends = np.append(_groups(text), len(h)) * 8
+            data = h.tobytes()
+            lists = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, j]) for j in range(len(names))), pa.array(lists, pa.binary())], names=[*names, "hashes"])
+
+    return run
 
 
 def _windows(window: int, buckets: int):
@@ -209,14 +244,14 @@ def _windows(window: int, buckets: int):
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, rows in _slices(batches, ["k1", "k2"], ["m", "anchors"], window):
+        for words, rows in _slices(batches, ["k1", "k2"], ["m", "hashes"], window):
             runs = np.array([(m, a, b) for a, b, m, _ in rows], np.int64)
             w, doc, _, whole = _places(words, window)
             anchor = np.zeros(len(w) + 1, np.int64)
             h, at = rolling(w, block) & _LOW, 0
-            for own, (*_, lists) in zip(words, rows, strict=True):
+            for own, (*_, known) in zip(words, rows, strict=True):
                 end = at + len(own) - block + 1
-                anchor[at:end] = np.isin(h[at:end], np.frombuffer(b"".join(lists), np.uint64))
+                anchor[at:end] = np.isin(h[at:end], np.frombuffer(known, np.uint64))
                 at += len(own)
             upto = np.concatenate([[0], np.cumsum(anchor)])
             whole = whole[upto[whole + window - block + 1] > upto[whole]]  # an anchor lies inside
@@ -230,33 +265,37 @@ def _windows(window: int, buckets: int):
             a, b, d, m = a[first], b[first], d[first], m[first]
             first = _groups(a, b)
             later = m > np.repeat(m[first], np.diff(np.append(first, len(a))))
-            yield _pack(a[~later], d[~later], a[~later], b[~later], runs, buckets, False)
+            yield _pack(_bucket(a[~later], buckets), d[~later], a[~later], b[~later], runs)
             if later.any():
-                yield _pack(a[later], d[later], a[later], b[later], runs, buckets, True)
+                own = _mixed(a[later] ^ runs[d[later], 1].view(np.uint64))
+                yield _pack(_bucket(own, buckets), d[later], a[later], b[later], runs, True)
 
     return tidy(run)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, hashes): of each text, the windows that a text with a smaller id has."""
-    for done, rows in _by_bucket(batches):
-        runs = _column(rows, "runs", np.int64).reshape(-1, 3)
-        run = np.repeat(np.arange(len(runs)), _column(rows, "counts", np.uint32))
-        a, b = _column(rows, "low", np.uint64), _column(rows, "high", np.uint32)
-        if not done:
-            order = np.lexsort((runs[run, 0], b, a))
-            a, b, run = a[order], b[order], run[order]
-            first, m = _groups(a, b), runs[run, 0]
-            later = m > np.repeat(m[first], np.diff(np.append(first, len(a))))
-            a, run = a[later], run[later]
-        if len(a):
-            yield _lists(runs[:, 1:], ["k1", "k2"], run, a)
+def _repeats(buckets: int):
+    """Of each text, the windows that a text with a smaller id has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done, rows in _by_bucket(batches):
+            keys, text = _texts(rows, 3)
+            a, b = _column(rows, "low", np.uint64), _column(rows, "high", np.uint32)
+            if not done:
+                order = np.lexsort((keys[text, 0], b, a))
+                a, b, text = a[order], b[order], text[order]
+                first, m = _groups(a, b), keys[text, 0]
+                later = m > np.repeat(m[first], np.diff(np.append(first, len(a))))
+                a, text = a[later], text[later]
+            if len(a):
+                yield _by_text(np.ascontiguousarray(keys[:, 1:]), text, a, buckets)
+
+    return run
 
 
 def _buckets(docs: DataFrame) -> int:
     """So many that a bucket's hashes fit a task, and at least two a shuffle partition."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(size / 6 / WORDS) + 1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(int(size / 6 / HASHES) + 1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -270,12 +309,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key = ["k1", "k2"]
     texts = written(known.groupBy(*key).agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most")))
     probes = known.select("k1", "text").mapInArrow(_probes(window, buckets), _BLOBS)
-    found = probes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_anchors), "k1 long, hashes binary")
-    anchors = written(found.groupBy("k1").agg(F.collect_list("hashes").alias("anchors")))
-    asked = known.join(texts.join(anchors, "k1").select(*key, "m", "anchors"), key).filter("doc_id = m").select("text", *key, "m", "anchors")
+    anchors = written(_met(_met(probes, _anchors(buckets), _BLOBS), _gathered(["k1"]), "k1 long, hashes binary"))
+    asked = known.join(texts.join(anchors, "k1").select(*key, "m", "hashes"), key).filter("doc_id = m").select("text", *key, "m", "hashes")
     windows = asked.mapInArrow(_windows(window, buckets), _BLOBS)
-    later = windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_repeats), "k1 long, k2 long, hashes binary")
-    later = written(later.groupBy(*key).agg(F.collect_list("hashes").alias("hashes")))
+    later = written(_met(_met(windows, _repeats(buckets), _BLOBS), _gathered(key), "k1 long, k2 long, hashes binary"))
     forget(anchors)
     return texts.join(later, key, "left").select(*key, "m", (F.col("most") > F.col("m")).alias("copied"), "hashes").filter("copied OR hashes IS NOT NULL")
 
@@ -301,7 +338,7 @@ def _remove(window: int):
                     if i > m:
                         words = []
                     else:
-                        gone = covered(word_hashes(text), np.frombuffer(b"".join(own), np.uint64), window)
+                        gone = covered(word_hashes(text), np.frombuffer(own, np.uint64), window)
                         words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept.append(b" ".join(words))
                 removed.append(counts[-1] - len(words))
