@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import categories, chapter_number, col, first_h1, page_id, page_name, strip
+from corpuscle.operators.scan import running
 
 #: Whole lines that open a part of a book (fixed values).
 MARKERS = ("PROLOGUE", "CHAPTER", "EPILOGUE", "GLOSSARY")
@@ -26,9 +27,11 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def carry_sections(numbered: DataFrame, key: str, is_header: Column) -> DataFrame:
-    """Add section: how many headers have come up to and with each line, 0 before the first."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return numbered.withColumn("section", F.sum(is_header.cast("long")).over(w))
+    """Add section: how many headers have come up to and with each line, 0 before the first.
+
+    A prefix scan carries the count over segments of a document, however long it is.
+    """
+    return running(numbered, [key], ["pos"], {"section": is_header.cast("long")})
 
 
 def _joined(rows: DataFrame, *by: str) -> DataFrame:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Each left row with `before_<value>`: of the key's last right row strictly before it, null without one.
 
-    Both sides go in one sort by key and time, right rows after left ones of the same time.
+    Both sides go in one order by key and time, right rows after left ones of the same time, and the last right value is
+    carried forward by a prefix scan, so one key may hold any share of the rows.
     """
     both = left.select(key, at, value, F.lit(0).alias("__side")).unionByName(right.select(key, at, value, F.lit(1).alias("__side")))
-    w = Window.partitionBy(key).orderBy(at, "__side", value).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("__side") == 1, F.col(value)), ignorenulls=True).over(w)
-    return both.withColumn(f"before_{value}", last).filter("__side = 0").drop("__side")
+    carried = running(both, [key], [at, "__side", value], lasts={f"before_{value}": F.when(F.col("__side") == 1, F.col(value))})
+    return carried.filter("__side = 0").drop("__side")
 
 
 def range_join(df: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuscle.operators import classify, quality, relational, resolve
+from corpuscle.operators.scan import running
 from corpuscle.session import table
 from corpuscle.streaming import jobs
 
@@ -109,8 +110,19 @@ def json_props(spark, sf_dir):
 
 @query("SELECT user_id, event_id, round(avg(value) OVER w, 6) AS running_avg, max(value) OVER w AS running_max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def running_metrics(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.avg("value").over(w), 6).alias("running_avg"), F.max("value").over(w).alias("running_max"))
+    """Running mean and largest value by user, by a prefix scan."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    rows = running(events, ["user_id"], ["event_id"], {"n": F.col("value").isNotNull().cast("long"), "total": F.col("value")}, tops={"running_max": F.col("value")})
+    return rows.select("user_id", "event_id", F.round(F.try_divide("total", "n"), 6).alias("running_avg"), "running_max")
+
+
+@query("SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS pos, round(sum(value) OVER w, 4) AS total, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER w AS last_error FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def global_scan(spark, sf_dir):
+    """All rows as one key, in order of time: place, running sum and the last error so far."""
+    events = table(spark, sf_dir, "events").select(F.lit(0).alias("all"), "ts", "event_id", "value", "event_type")
+    error = F.when(F.col("event_type") == "error", F.col("event_id"))
+    rows = running(events, ["all"], ["ts", "event_id"], {"pos": F.lit(1).cast("long"), "total": F.col("value")}, {"last_error": error})
+    return rows.select("event_id", "pos", F.round("total", 4).alias("total"), "last_error")
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
