@@ -24,17 +24,19 @@ def hash_embedder(texts: list[str], dim: int = 64) -> np.ndarray:
     return out
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray] = hash_embedder, batch: int = 100) -> DataFrame:
-    """(key, embedding): the vector comes back on its own row, so no positional join is needed."""
+def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], np.ndarray] = hash_embedder, batch: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, the kept columns, embedding): the vector comes back on its own row, so no positional join is needed."""
+    own = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, batch):
                 part = b.slice(s, batch)
                 vectors = embedder([t or "" for t in part.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(list(vectors), pa.list_(pa.float32()))], names=[key, "embedding"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(list(vectors), pa.list_(pa.float32()))], names=[*own, "embedding"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own)
+    return df.select(*own, *([text] if text not in own else [])).mapInArrow(run, f"{kinds}, embedding array<float>")
 
 
 def embed_missing(df: DataFrame, done: DataFrame, key: str, text: str, **options) -> DataFrame:
