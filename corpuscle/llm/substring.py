@@ -293,9 +293,9 @@ def _repeats(buckets: int):
 
 
 def _buckets(docs: DataFrame) -> int:
-    """So many that a bucket's hashes fit a task, and at least two a shuffle partition."""
+    """So many that a bucket's hashes fit a task, and at least one a shuffle partition."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(size / 6 / HASHES) + 1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(int(size / 6 / HASHES) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
