@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import forget, written
+
 
 def table(df: DataFrame, path: str, *by: str) -> None:
     writer = df.write.mode("overwrite")
@@ -27,6 +29,22 @@ def later_wins(first: DataFrame, second: DataFrame, key: str, overwrite: bool =
     return keep.unionByName(over.join(keep.select(key), key, "left_anti"))
 
 
+def merged_folder(first: str, second: DataFrame, key: str, by: str, overwrite: bool = True) -> list:
+    """Copy `second` into the folder `first`, which is partitioned by the column `by`; returns the partitions that were written.
+
+    Only partitions that `second` has rows of are read and replaced, so the others keep their files. `by` follows from the key (a
+    range or a hash of it), so a key is in one partition. The number of touched partitions reaches the driver. overwrite: as in :func:`later_wins`.
+    """
+    spark = second.sparkSession
+    touched = sorted(r[0] for r in second.select(by).distinct().collect())
+    old = spark.read.parquet(first).filter(F.col(by).isin(touched)) if touched else second.limit(0)
+    merged = written(later_wins(old.select(*second.columns), second, key, overwrite))  # what is read is replaced below
+    if touched:
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(first)
+    forget(merged)
+    return touched
+
+
 def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows; null conditions are bad."""
     good = F.coalesce(ok, F.lit(False))
