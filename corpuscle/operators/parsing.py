@@ -188,78 +188,137 @@ def summary_pages(files: DataFrame, key: str, text: str, books: DataFrame) -> Da
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
-class _Tree(HTMLParser):
-    """Sections of a page: h2 opens one, h3, paragraphs, list items and definitions are its text.
-
-    What stands in an element of SKIP or of class infobox is hidden, up to that element's own end tag.
-    """
-
-    SKIP = {"script", "style", "nav", "footer", "table"}
-    BOXES = {"infobox", "portable-infobox"}
-    BLOCK = {"h1", "h2", "h3", "p", "li", "dt", "dd"}
-
-    def __init__(self):
+#: Where a page's content stands, what of it is left out by element and class, headings that open nothing.
+ROOTS = (("div", "mw-parser-output"), ("article", ""), ("body", ""))
+LEFT_OUT = ({"aside", "div", "table"}, {"portable-infobox", "navbox", "wikitable"})
+APPARATUS = {"contents", "references", "notes"}
+
+
+class Element:
+    """An element of a page: its name, classes and children, which are elements and texts."""
+
+    __slots__ = ("name", "classes", "children")
+
+    def __init__(self, name: str, classes: list[str]) -> None:
+        self.name, self.classes, self.children = name, classes, []
+
+    def texts(self) -> list[str]:
+        """Texts below in order, stripped, without empty ones, scripts and styles."""
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                if t := x.strip():
+                    out.append(t)
+            elif x is self or x.name not in ("script", "style"):
+                todo += reversed(x.children)
+        return out
+
+    def text(self) -> str:
+        return " ".join(self.texts())
+
+    def first(self, name: str, cls: str = "") -> Element | None:
+        """The first element below with a name, and a class if one is asked for."""
+        todo = [self]
+        while todo:
+            x = todo.pop()
+            if not isinstance(x, str):
+                if x is not self and x.name == name and (not cls or cls in x.classes):
+                    return x
+                todo += reversed(x.children)
+        return None
+
+
+class _Document(HTMLParser):
+    """The tree of a page as it is tagged: only an end tag closes an element, with all that is open in it; one without a start is ignored."""
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.sections: dict[str, list[str]] = {}
-        self.title, self.block, self.text = "Overview", "", []
-        self.hidden, self.depth = "", 0
+        self.open = [Element("", [])]
+        self.names: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
-        if tag in VOID:
-            return
-        if self.hidden:
-            self.depth += tag == self.hidden
-        elif tag in self.SKIP or self.BOXES & set((dict(attrs).get("class") or "").split()):
-            self.hidden, self.depth = tag, 1
-        elif tag in self.BLOCK:
-            self._close()
-            self.block = tag
+        new = Element(tag, (dict(attrs).get("class") or "").split())
+        self.open[-1].children.append(new)
+        if tag not in VOID:
+            self.open.append(new)
+            self.names[tag] = self.names.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         """An element that ends at once holds nothing."""
+        self.open[-1].children.append(Element(tag, []))
 
     def handle_endtag(self, tag):
-        if self.hidden:
-            self.depth -= tag == self.hidden
-            self.hidden = self.hidden if self.depth else ""
-        elif tag == self.block:
-            self._close()
+        if self.names.get(tag):
+            while (last := self.open.pop()).name != tag:
+                self.names[last.name] -= 1
+            self.names[tag] -= 1
 
     def handle_data(self, data):
-        if self.block and not self.hidden:
-            self.text.append(data)
-
-    def _close(self):
-        text = " ".join("".join(self.text).split())
-        if self.block == "p":
-            text = re.sub(r"\s+([.,!?;:])", r"\1", " ".join(re.sub(r"\[\s*[^\]]+\s*\]", "", text).split()))
-        block, self.block, self.text = self.block, "", []
-        if not text or block in ("", "h1"):
-            return
-        if block == "h2":
-            # Headings of apparatus don't open a section.
-            self.title = self.title if text.lower() in ("contents", "references", "notes") else text
-            return
-        shown = {"h3": f"### {text}", "li": f"- {text}", "dt": f"**{text}**"}.get(block, text)
-        if block != "p" or len(text) > 2:
-            self.sections.setdefault(self.title, []).append(shown)
+        self.open[-1].children.append(data)
+
+
+def _paragraph(text: str) -> str:
+    """Without bracketed citations, and no space before a sign."""
+    text = re.sub(r"\s{2,}", " ", re.sub(r"\[\s*[^\]]+\s*\]", "", text)).strip()
+    return re.sub(r"\s+([.,!?;:])", r"\1", text)
 
 
-def parse_html(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, title, content) for each section of a page, in no order; the first is 'Overview'."""
+def page_sections(html: str, headline: str | None = None) -> dict[str, str]:
+    """Sections of a page by title: parts of its content, each a child of the page's root, joined by an empty line.
+
+    An h2 opens a section (what comes before is 'Overview'), an h3 is a part '### title'; with `headline`, only those that have a span
+    of that class, whose text is the title. Apparatus headings are passed over. Paragraphs over two characters, the items of a list
+    ('- item' by line) and the terms ('**term**') and descriptions of a definition list are parts; other children are not. A later section with parts replaces one of its title.
+    """
+    page = _Document()
+    page.feed(html)
+    page.close()
+    document = page.open[0]
+    root = next((x for name, cls in ROOTS if (x := document.first(name, cls))), document)
+    todo = [root]
+    while todo:  # what is left out goes wherever it stands
+        x = todo.pop()
+        x.children = [c for c in x.children if isinstance(c, str) or not (c.name in LEFT_OUT[0] and LEFT_OUT[1] & set(c.classes))]
+        todo += [c for c in x.children if not isinstance(c, str)]
+    out: dict[str, str] = {}
+    title, parts = "Overview", []
+    for e in root.children:
+        if isinstance(e, str):
+            continue
+        if e.name in ("h2", "h3"):
+            head = e.first("span", headline) if headline else e
+            name = head.text() if head else ""
+            known = APPARATUS if e.name == "h2" else APPARATUS - {"contents"}
+            if head is None or name.lower() in known:
+                continue
+            if e.name == "h3":
+                parts.append(f"### {name}")
+                continue
+            if parts:
+                out[title] = "\n\n".join(parts)
+            title, parts = name, []
+        elif e.name == "p":
+            if len(text := _paragraph(e.text())) > 2:
+                parts.append(text)
+        elif e.name in ("ul", "ol"):
+            if items := [f"- {t}" for c in e.children if not isinstance(c, str) and c.name == "li" and (t := c.text())]:
+                parts.append("\n".join(items))
+        elif e.name == "dl":
+            if items := [f"**{t}**" if c.name == "dt" else t for c in e.children if not isinstance(c, str) and c.name in ("dt", "dd") and (t := c.text())]:
+                parts.append("\n\n".join(items))
+    if parts:
+        out[title] = "\n\n".join(parts)
+    return out
+
+
+def parse_html(df: DataFrame, key: str, html: str, headline: str | None = None) -> DataFrame:
+    """(key, title, content) for each section of a page by :func:`page_sections`, in no order. Null pages have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, titles, contents = [], [], []
-            for k, page in enumerate(batch.column(html).to_pylist()):
-                tree = _Tree()
-                tree.feed(page or "")
-                tree.close()
-                tree._close()
-                for title, parts in tree.sections.items():
-                    keys.append(k)
-                    titles.append(title)
-                    contents.append("\n".join(parts))
+            rows = [(k, t, c) for k, page in enumerate(batch.column(html).to_pylist()) for t, c in page_sections(page or "", headline).items()]
+            keys, titles, contents = ([r[i] for r in rows] for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(keys, pa.int64())), pa.array(titles, pa.string()), pa.array(contents, pa.string())], names=[key, "title", "content"])
 
     return df.select(key, html).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, title string, content string")

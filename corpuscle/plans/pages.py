@@ -28,8 +28,14 @@ def html_paragraphs(spark, sf_dir):
     return rows.select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "paragraph")
 
 
-@query()
+_STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CITED = r"regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(regexp_split_to_array(body, '<[^>]*>'), lambda x: " + _STRIPPED.format("x") + r"), lambda x: x <> ''), ' '), '\[\s*[^\]]+\s*\]', '', 'g'), '\s{2,}', ' ', 'g')"
+
+
+@query(rf"""SELECT page_id, 'Overview' AS title, replace(replace(replace(content, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS content FROM (SELECT page_id, regexp_replace({_STRIPPED.format(_CITED)}, '\s+([.,!?;:])', '\1', 'g') AS content
+FROM (SELECT page_id, regexp_extract(html, '(?s)<article><h1>[^<]*</h1>(.*)</article>', 1) AS body FROM pages)) WHERE length(content) > 2""")
 def html_sections(spark, sf_dir):
+    """Sections of the pages' articles. None of them has headings, and the first paragraph's open tags hold the others."""
     return parsing.parse_html(table(spark, sf_dir, "pages"), "page_id", "html")
 
 

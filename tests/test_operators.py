@@ -56,7 +56,7 @@ def test_markdown(spark):
 def test_html(spark):
     page = "<div class='infobox'><p>hidden</p></div><p>Intro [x]</p><h2>One</h2><p>a&amp;b</p><ul><li>i</li></ul><h2>References</h2><p>still</p><h3>Sub</h3><dl><dt>t</dt></dl><script>var p='<p>no</p>'</script><p>x</p>"
     rows = parsing.parse_html(spark.createDataFrame([(1, page), (2, None), (3, "")], "k long, html string"), "k", "html").collect()
-    assert {(r.k, r.title, r.content) for r in rows} == {(1, "Overview", "Intro"), (1, "One", "a&b\n- i\nstill\n### Sub\n**t**")}
+    assert {(r.k, r.title, r.content) for r in rows} == {(1, "Overview", "Intro"), (1, "One", "a&b\n\n- i\n\nstill\n\n### Sub\n\n**t**")}
     label = spark.createDataFrame([("Date of birth",), ("Hair color",), ("First appeared",), ("Weave",)], "l string").select(parsing.infobox_group("l").alias("g"))
     assert [r.g for r in label.collect()] == ["chronological", "physical", "chronological", "other"]
 

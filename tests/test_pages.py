@@ -55,16 +55,25 @@ def test_paragraphs_are_whole(spark):
     assert row.p == ["One two three", "four & 'five' A<b>", "six", "seven &lt;"]
 
 
-def test_infoboxes_and_void_tags_do_not_swallow_the_page(spark):
+def test_sections_are_children_of_the_root(spark):
     pages_ = [
         (1, "<h2>A</h2><p>one</p><img class='infobox-image'><p>two</p>"),
-        (2, "<div class='infobox'><div>in</div><p>hidden</p></div><p>shown</p>"),
-        (3, "<table><tr><td><p>cell</p><table><tr><td>x</td></tr></table><p>still</p></table><h2>B</h2><ul><li>a<br>b</li></ul>"),
-        (4, "<div class='not-infobox-like'><p>kept</p></div>"),
+        (2, "<div class='navbox'><div>in</div><p>hidden</p></div><p>shown</p><div><p>no child</p></div>"),
+        (3, "<table class='wikitable'><tr><td><p>cell<table></table></table><h2>B</h2><ul><li>a<br>b<ul><li>c</li></ul>d</li><p>x</p></ul>"),
+        (4, "<body><nav><p>x</p></nav><p>word<b>bold</b> x<p>y</p></p><h2>References</h2><p>[1] kept [ note ] .</p></body>"),
         (5, None),
+        (6, "<body>x<div class='a mw-parser-output'><h2><span class='mw-headline'>T</span><span>edit</span></h2><h3>Sub</h3><dl><dt>t<dd>d</dd></dt><dd></dd></dl><script>s</script><p>ab</p></div></body>"),
+        (7, "<h2>A</h2><p>first</p><h2>B</h2><p>bbb</p><h2>A</h2><p>later</p><h2>A</h2>"),
+        (8, "<p>in <style>p{}</style>a<!-- no --> &amp; b</p></div><p>" + "<i>" * 3000 + "deep"),
     ]
-    got = sorted(map(tuple, parsing.parse_html(spark.createDataFrame(pages_, "k int, html string"), "k", "html").collect()))
-    assert got == [(1, "A", "one\ntwo"), (2, "Overview", "shown"), (3, "B", "- ab"), (4, "Overview", "kept")]
+    df = spark.createDataFrame(pages_, "k int, html string")
+    got = sorted(map(tuple, parsing.parse_html(df, "k", "html").collect()))
+    assert got == [
+        (1, "A", "one\n\ntwo"), (2, "Overview", "shown"), (3, "B", "- a b c d"), (4, "Overview", "word bold x y\n\nkept."),
+        (6, "T edit", "### Sub\n\n**t d**"), (7, "A", "later"), (7, "B", "bbb"), (8, "Overview", "in a & b\n\ndeep"),
+    ]
+    strict = sorted(map(tuple, parsing.parse_html(df.filter("k in (1, 6)"), "k", "html", "mw-headline").collect()))
+    assert strict == [(1, "Overview", "one\n\ntwo"), (6, "T", "**t d**")]
 
 
 def test_infobox_of_a_table_and_of_nothing(spark):
