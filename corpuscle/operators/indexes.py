@@ -157,12 +157,16 @@ def redirect_target(df: DataFrame, name: str, redirects: DataFrame) -> DataFrame
     return df.join(known, name, "left")
 
 
-def stubs(terms: DataFrame, glossary: DataFrame, existing: DataFrame, cats: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pages, skipped): a page (file_name, text) for each term that has a definition and no file yet; the others with why."""
+def stubs(terms: DataFrame, glossary: DataFrame, existing: DataFrame, cats: list[str], order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(pages, skipped): a page (file_name, text) for each term that has a definition and no file yet; the others with why.
+
+    Of a term's definitions the first by `order` (columns of the glossary) counts, without it the least text; null ones are none.
+    """
     from corpuscle.functions.text import safe_filename
     from corpuscle.sources.sinks import stub
 
-    rows = terms.select("term").distinct().join(glossary.select("term", "definition").dropDuplicates(["term"]), "term", "left")
+    first = glossary.filter("definition is not null").groupBy("term").agg(F.min_by("definition", F.struct(*order, "definition")).alias("definition"))
+    rows = terms.select("term").distinct().join(first, "term", "left")
     rows = rows.withColumn("file_name", F.concat(safe_filename("term"), F.lit(".txt")))
     there = existing.select("file_name").distinct().withColumn("__there", F.lit(True))
     rows = rows.join(there, "file_name", "left")

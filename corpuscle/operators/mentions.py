@@ -95,9 +95,15 @@ def counters(tagged: DataFrame, n_rows: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(n_rows)).select("dict_name", "rows_with", "mentions", F.round(100.0 * F.col("rows_with") / F.col("n"), 6).alias("pct"))
 
 
-def enrich(df: DataFrame, key: str, text: str, dictionary: DataFrame, names: list[str], mode: str = "auto") -> DataFrame:
-    """All rows and columns with one array `<name>_mentions` a dictionary, empty without a mention. Keys are unique."""
-    found = tag(df, key, text, dictionary, mode).groupBy(key).pivot("dict_name", names).agg(F.first("mentions"))
+def enrich(df: DataFrame, key: str, text: str, dictionary: DataFrame, names: list[str], mode: str = "auto", topic: str | None = None) -> DataFrame:
+    """All rows and columns with one array `<name>_mentions` a dictionary, empty without a mention. Keys are unique.
+
+    topic: a column with what the row is about, which counts as mentioned where it is a canonical name.
+    """
+    found = tag(df, key, text, dictionary, mode)
+    if topic:
+        found = with_topic(found, df.select(key, F.col(topic).alias("topic")), key, dictionary)
+    found = found.groupBy(key).pivot("dict_name", names).agg(F.first("mentions"))
     empty = F.array().cast("array<string>")
     found = found.select(F.col(key).alias("__key"), *(F.col(n).alias(f"{n}_mentions") for n in names))
     out = df.join(found, F.col(key) == F.col("__key"), "left").drop("__key")

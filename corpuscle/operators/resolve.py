@@ -78,9 +78,23 @@ def by_alias(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
 
 
 def collision_names(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """Add file_name: later names that differ only in case get '_DUPLICATE_n'."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(*order)) - 1
-    return df.withColumn("file_name", F.when(n == 0, col(name)).otherwise(F.concat(col(name), F.lit("_DUPLICATE_"), n.cast("string"))))
+    """Add file_name: later names that differ only in case get '_DUPLICATE_n', n the next number that no given name has.
+
+    A number is taken where some name is the same base with it, but for case. The i-th taken number t leaves
+    t - i free ones before it, so the n-th later name skips those with t - i < n: a running count in the base's window.
+    """
+    base = F.lower(name)
+    w = Window.partitionBy("__base")
+    rows = df.withColumn("__base", base).withColumn("__n", F.row_number().over(w.orderBy(*order)).cast("long") - 1)
+    pattern = r"(?s)^(.*)_duplicate_([1-9][0-9]{0,17})$"
+    taken = df.select(base.alias("__name")).distinct().filter(F.regexp_like("__name", F.lit(pattern)))
+    taken = taken.select(F.regexp_extract("__name", pattern, 1).alias("__base"), F.regexp_extract("__name", pattern, 2).cast("long").alias("__t"))
+    taken = taken.select("__base", (F.col("__t") - F.row_number().over(w.orderBy("__t")) + 1).alias("__n"))
+    both = rows.withColumn("__row", F.lit(1)).unionByName(taken.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+    skipped = F.sum(1 - F.col("__row")).over(w.orderBy("__n", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    number = (F.col("__n") + skipped).cast("string")
+    named = both.withColumn("file_name", F.when(F.col("__n") == 0, col(name)).otherwise(F.concat(col(name), F.lit("_DUPLICATE_"), number)))
+    return named.filter("__row = 1").drop("__base", "__n", "__row")
 
 
 def without_existing(df: DataFrame, key: str, done: DataFrame) -> DataFrame:

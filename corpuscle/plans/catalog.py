@@ -11,9 +11,11 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its name."""
+    """Register a function of (spark, sf_dir) under its name, which no other may have."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

@@ -162,6 +162,20 @@ def enrich_chunks(spark, sf_dir):
     return _enriched(spark, sf_dir).select("doc_id", *(F.array_join(f"{n}_mentions", ",").alias(f"{n}_mentions") for n in _NAMES))
 
 
+_OWN = {"de": "DER", "fr": "Le"}  # what documents of a language are about, as their dictionary may spell it
+
+
+@query(f"""WITH m AS (SELECT doc_id, dict_name, unnest(string_split(mentions, ',')) AS m FROM ({_TAGGED})
+UNION SELECT doc_id, lang, CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _OWN.items())} END FROM documents WHERE lang IN ('de', 'fr'))
+SELECT doc_id, {', '.join(f"coalesce(string_agg(m, ',' ORDER BY m) FILTER (dict_name = '{n}'), '') AS {n}_mentions" for n in _NAMES)} FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
+def enrich_topics(spark, sf_dir):
+    """Documents with what they mention and their own topic, where a dictionary has it."""
+    topic = F.create_map(*(F.lit(x) for kv in _OWN.items() for x in kv))[F.col("lang")]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", topic.alias("about"))
+    rows = mentions.enrich(docs, "doc_id", "text", dictionary(spark), _NAMES, topic="about")
+    return rows.select("doc_id", *(F.array_join(f"{n}_mentions", ",").alias(f"{n}_mentions") for n in _NAMES))
+
+
 def _profile_sql(n: str) -> str:
     size = f"CASE WHEN {n}_mentions = '' THEN 0 ELSE len(string_split({n}_mentions, ',')) END"
     total, rows = f"sum({size})", f"count(*) FILTER ({n}_mentions <> '')"
@@ -251,7 +265,7 @@ def terms_in_text(spark, sf_dir):
 
 
 @query("""SELECT lang, count(*) FILTER (source = 'web') AS web, count(*) FILTER (length(text) > 2000) AS long FROM documents GROUP BY lang""")
-def metrics_pivot(spark, sf_dir):
+def metrics_table(spark, sf_dir):
     """Metric rows as a table whose columns are the sorted union of the metrics' names."""
     docs = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("source") == "web").alias("web"), F.count_if(F.length("text") > 2000).alias("long"))
     rows = docs.select("lang", F.explode(F.create_map(F.lit("web"), "web", F.lit("long"), "long")).alias("metric", "value"))
