@@ -78,6 +78,9 @@ def test_stubs_say_what_is_left_out(spark):
     glossary = spark.createDataFrame([("a b", "x"), ("c", "y")], "term string, definition string")
     pages, left = indexes.stubs(terms, glossary, spark.createDataFrame([("c.txt",)], "file_name string"), ["g"])
     assert [r.file_name for r in pages.collect()] == ["a_b.txt"] and {tuple(r) for r in left.collect()} == {("c", "file exists"), ("d", "not in glossary")}
+    several = spark.createDataFrame([("d", "late", 3), ("d", "early", 1), ("d", None, 0)], "term string, definition string, book int")
+    pages, _ = indexes.stubs(terms.filter("term = 'd'"), several, spark.createDataFrame([], "file_name string"), ["g"], ("book",))
+    assert [r.text.rsplit("\n", 1)[1] for r in pages.collect()] == ["early"]
 
 
 def test_reports(spark):

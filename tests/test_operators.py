@@ -93,8 +93,8 @@ def test_resolution(spark):
     rows = spark.createDataFrame([("a", 1, 10), ("A", 2, 30), ("b", 3, 5)], "n string, o int, s int")
     assert {(r.n, r.file_name) for r in resolve.collision_names(rows, "n", "o").collect()} == {("a", "a"), ("A", "A_DUPLICATE_1"), ("b", "b")}
     names = ["a", "A", "a_DUPLICATE_1", "A", "b_DUPLICATE_2", "B", "b", "b", "b", "a_duplicate_03", "A", "B_DUPLICATE_2", "b_DUPLICATE_2_DUPLICATE_1"]
-    rows = spark.createDataFrame(list(enumerate(names)), "o int, n string")
-    got = {r.o: r.file_name for r in resolve.collision_names(rows, "n", "o").collect()}
+    clashing = spark.createDataFrame(list(enumerate(names)), "o int, n string")
+    got = {r.o: r.file_name for r in resolve.collision_names(clashing, "n", "o").collect()}
     assert len({x.lower() for x in got.values()}) == len(names) and [got[i] for i in (1, 3, 10)] == ["A_DUPLICATE_2", "A_DUPLICATE_3", "A_DUPLICATE_4"]
     assert [got[i] for i in (6, 7, 8, 11)] == ["b_DUPLICATE_1", "b_DUPLICATE_3", "b_DUPLICATE_4", "B_DUPLICATE_2_DUPLICATE_2"]
     assert {r.n for r in resolve.keep_largest(rows, F.lower("n"), F.col("s"), "o").collect()} == {"A", "b"}
