@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import books, documents, indexes, pages, search, stores, tables, vectors
+from . import books, chunks, documents, indexes, pages, search, stores, tables, vectors
 from .catalog import QUERIES, SQL
 
-__all__ = ["all_queries", "all_sql", "books", "documents", "indexes", "pages", "search", "stores", "tables", "vectors"]
+__all__ = ["all_queries", "all_sql", "books", "chunks", "documents", "indexes", "pages", "search", "stores", "tables", "vectors"]
 
 
 def all_queries() -> dict:

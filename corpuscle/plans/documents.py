@@ -69,11 +69,6 @@ def chunk_sentence_split(spark, sf_dir):
     return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), total.alias("chars"))
 
 
-@query()
-def chunk_overlap(spark, sf_dir):
-    return chunking.overlap_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query("""SELECT count(text) AS n, CAST(sum(length(text)) AS BIGINT) AS total_chars, round(avg(length(text)), 6) AS avg_chars, CAST(min(length(text)) AS BIGINT) AS min_chars,
 CAST(max(length(text)) AS BIGINT) AS max_chars, count(*) FILTER (length(text) > 7680) AS oversized FROM documents""")
 def chunk_stats(spark, sf_dir):

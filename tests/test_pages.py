@@ -106,3 +106,10 @@ def test_long_packs_overlap_like_the_plain_loop(spark):
     got = pages.chunk_chapters(df).collect()
     assert {(x.book_number, x.chunk_index, x.text) for x in got} == want and any(len(c) > cfg.chunk_target for own in packed.values() for c in own)
     assert all(x.total_chunks == sum(1 for y in got if y.book_number == x.book_number) for x in got)
+
+
+def test_document_chunks_pass_the_limit(spark, sf):
+    from corpuscle.plans import all_queries
+
+    for name in ("document_concepts", "document_characters", "document_summaries", "document_chapters", "document_chronology"):
+        assert all_queries()[name](spark, sf).filter("total_chunks > 1 and length(text) > 5000").count() > 0
