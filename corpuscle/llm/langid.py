@@ -3,7 +3,7 @@
 A text is its lower-cased letters; its features are hashed byte bigrams and trigrams, square
 roots of their shares, so texts of any length weigh alike. One-versus-one linear support
 vector machines choose among the families, then among the languages of the chosen family only.
-All are fitted in numpy on the driver from a bounded sample of labelled rows.
+All are fitted in numpy from a bounded sample of labelled rows, each machine by a task.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, slices
-from .linear import fit, sigmoid
+from .common import raw_text, slices, tidy
+from .linear import sigmoid
 from .lm import held_out
 
 #: Families of language codes (fixed values); any other code is a family of its own.
@@ -37,9 +37,9 @@ UNKNOWN = "und"
 class Params:
     sample: int = 3000  # labelled rows the machines are fitted on, shared out evenly over the languages
     least: int = 30  # rows of each language however many there are; all rows of one that has fewer
-    versus: int = 200  # classes that have a machine for each pair; more have one each, against all others
     bits: int = 12  # hashed features: 2**bits for trigrams, a quarter for bigrams
     ridge: float = 1e-4
+    steps: int = 300  # of a machine's descent
     slope: float = 3.0  # of the sigmoid that turns a margin into a score
 
 
@@ -69,58 +69,114 @@ def features(text: str, bits: int) -> np.ndarray:
     return (out / norm if norm else out).astype(np.float32)
 
 
+def fit_pair(x: np.ndarray, sign: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
+    """(coefficients of the rows, bias) of a squared-hinge machine; sign is -1 or 1 and both sides weigh alike.
+
+    The weights are the rows' sum by their coefficients, so the steps need the rows' products only.
+    """
+    each = np.where(sign > 0, 1 / max(1, (sign > 0).sum()), 1 / max(1, (sign < 0).sum()))
+    each /= each.sum()
+    gram = x @ x.T
+    v, root, top = np.ones(len(x)), np.sqrt(each), 1.0
+    for _ in range(20):  # the largest curvature, by power iteration
+        u = root * v
+        v = root * (gram @ u.astype(gram.dtype) + u.sum())
+        top = float(np.linalg.norm(v)) or 1.0
+        v = v / top
+    rate = 1 / (2.2 * top + p.ridge)
+    own, ahead, bias, bias_ahead, t = np.zeros(len(x)), np.zeros(len(x)), 0.0, 0.0, 1.0
+    for _ in range(p.steps):
+        z = gram @ ahead.astype(gram.dtype) + bias_ahead
+        g = each * (-2 * sign * np.maximum(0, 1 - sign * z))
+        new, new_bias = ahead - rate * (g + p.ridge * ahead), bias_ahead - rate * g.sum()
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, bias_ahead = new + (t - 1) / after * (new - own), new_bias + (t - 1) / after * (new_bias - bias)
+        own, bias, t = new, new_bias, after
+    return own, float(bias)
+
+
 class OneVersusOne:
-    """A machine for each pair of classes; votes decide, then margins."""
+    """A machine for each pair of classes; votes decide, then mean chances.
 
-    def __init__(self, classes: list[str], pairs: list[tuple[int, int]], weights: np.ndarray, slope: float):
-        self.classes, self.pairs, self.weights, self.slope = classes, pairs, weights, slope
+    Machines are kept as coefficients of the sample's rows: those of class a in the machine of (a, b) are column b
+    of its matrix. Where there are fewer machines than rows their weights are summed up, which gives the same margins.
+    """
 
-    @classmethod
-    def fit(cls, x: np.ndarray, y: list[str], p: Params) -> OneVersusOne:
-        classes, label = sorted(set(y)), np.array(y)
-        pairs, weights = list(combinations(range(len(classes)), 2)), []
-        for a, b in pairs:
-            own = (label == classes[a]) | (label == classes[b])
-            sign = np.where(label[own] == classes[a], 1.0, -1.0)
-            weights.append(fit(x[own], sign, "hinge", p.ridge, weight=np.where(sign > 0, 1 / (sign > 0).sum(), 1 / (sign < 0).sum())))
-        return cls(classes, pairs, np.array(weights).reshape(len(pairs), x.shape[1] + 1), p.slope)
+    def __init__(self, x: np.ndarray, y: list[str], p: Params):
+        self.x, self.p, self.classes = x, p, sorted(set(y))
+        label, k = np.array(y), len(self.classes)
+        self.rows = [np.flatnonzero(label == c) for c in self.classes]
+        self.pairs = list(combinations(range(k), 2))
+        self.coefficients = [np.zeros((len(r), k), np.float32) for r in self.rows]
+        self.bias = np.zeros((k, k))
+        self.weights = None
+
+    def solve(self, a: int, b: int) -> tuple[np.ndarray, float]:
+        """The machine of a pair: coefficients of the rows of a, then of b; and its bias."""
+        own = np.concatenate([self.rows[a], self.rows[b]])
+        sign = np.repeat([1.0, -1.0], [len(self.rows[a]), len(self.rows[b])])
+        return fit_pair(self.x[own].astype(np.float32), sign, self.p)
+
+    def take(self, a: int, b: int, own: np.ndarray, bias: float) -> None:
+        n = len(self.rows[a])
+        self.coefficients[a][:, b], self.coefficients[b][:, a], self.bias[a, b] = own[:n], own[n:], bias
+
+    def ready(self) -> None:
+        """After all machines are in."""
+        if len(self.pairs) <= len(self.x):
+            self.weights = np.zeros((len(self.pairs), self.x.shape[1]), np.float32)
+            for m, (a, b) in enumerate(self.pairs):
+                for c, other in ((a, b), (b, a)):
+                    self.weights[m] += self.coefficients[c][:, other] @ self.x[self.rows[c]].astype(np.float32)
+            self.x = self.coefficients = None
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """By row, a and b: how far the row is on the side of a."""
+        k = len(self.classes)
+        out = np.zeros((len(x), k, k))
+        if self.weights is not None:
+            found = x @ self.weights.T
+            for m, (a, b) in enumerate(self.pairs):
+                out[:, a, b] = found[:, m] + self.bias[a, b]
+        else:
+            for a, rows in enumerate(self.rows):
+                part = (x @ self.x[rows].astype(np.float32).T) @ self.coefficients[a]
+                out[:, a, a + 1 :] += part[:, a + 1 :]
+                out[:, :a, a] += part[:, :a]
+            out += np.triu(self.bias, 1)
+        return out - out.transpose(0, 2, 1)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class position and score of each row: the mean chance against the other classes."""
-        n, k = len(x), len(self.classes)
-        votes, chance = np.zeros((n, k)), np.zeros((n, k))
+        k = len(self.classes)
         if k == 1:
-            return np.zeros(n, int), np.ones(n)
-        margins = x @ self.weights[:, :-1].T.astype(np.float32) + self.weights[:, -1]
-        for m, (a, b) in enumerate(self.pairs):
-            s = sigmoid(self.slope * margins[:, m])
-            votes[:, a] += s >= 0.5
-            votes[:, b] += s < 0.5
-            chance[:, a] += s / (k - 1)
-            chance[:, b] += (1 - s) / (k - 1)
-        best = (votes + chance / 2).argmax(1)
-        return best, chance[np.arange(n), best]
-
-
-class OneVersusRest(OneVersusOne):
-    """A machine for each class against all others, where pairs would be too many; the largest margin decides."""
-
-    @classmethod
-    def fit(cls, x: np.ndarray, y: list[str], p: Params) -> OneVersusRest:
-        classes, label, weights = sorted(set(y)), np.array(y), []
-        for c in classes:
-            sign = np.where(label == c, 1.0, -1.0)
-            weights.append(fit(x, sign, "hinge", p.ridge, weight=np.where(sign > 0, 1 / (sign > 0).sum(), 1 / (sign < 0).sum())))
-        return cls(classes, [], np.array(weights), p.slope)
-
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        margins = x @ self.weights[:, :-1].T.astype(np.float32) + self.weights[:, -1]
-        best = margins.argmax(1)
-        return best, sigmoid(self.slope * margins[np.arange(len(x)), best])
+            return np.zeros(len(x), int), np.ones(len(x))
+        best, score = np.zeros(len(x), int), np.zeros(len(x))
+        step = max(1, (4 << 20) // (k * k))
+        off, upper = ~np.eye(k, dtype=bool), np.triu(np.ones((k, k), bool), 1)
+        for at in range(0, len(x), step):
+            m = self.margins(x[at : at + step])
+            votes = ((m > 0) | (m == 0) & upper).sum(2)
+            chance = (sigmoid(self.p.slope * m) * off).sum(2) / (k - 1)
+            own = (votes + chance / 2).argmax(1)
+            best[at : at + step], score[at : at + step] = own, chance[np.arange(len(own)), own]
+        return best, score
+
+
+def _solved(shared):
+    """The machines of numbered jobs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        jobs = model.jobs()
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                f, a, b = jobs[i]
+                own, bias = model.level(f).solve(a, b)
+                data = pa.array([own.astype("<f4").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), data, pa.array([bias], pa.float64())], names=["id", "own", "bias"])
 
-def machines_for(x: np.ndarray, y: list[str], p: Params) -> OneVersusOne:
-    return (OneVersusOne if len(set(y)) <= p.versus else OneVersusRest).fit(x, y, p)
+    return tidy(run)
 
 
 class Model:
@@ -129,11 +185,33 @@ class Model:
     def __init__(self, x: np.ndarray, langs: list[str], p: Params):
         self.p = p
         family = [family_of(lang) for lang in langs]
-        self.top = machines_for(x, family, p) if langs else None
+        self.top = OneVersusOne(x, family, p) if langs else None
         self.within = {}
-        for f in set(family):
+        for f in sorted(set(family)):
             own = [i for i, g in enumerate(family) if g == f]
-            self.within[f] = machines_for(x[own], [langs[i] for i in own], p)
+            self.within[f] = OneVersusOne(x[own], [langs[i] for i in own], p)
+
+    def level(self, family: str | None) -> OneVersusOne:
+        return self.top if family is None else self.within[family]
+
+    def jobs(self) -> list[tuple[str | None, int, int]]:
+        """(family, or none for the families' own level, a, b) of every machine; the largest first."""
+        levels = [None, *self.within] if self.top else []
+        return [(f, a, b) for f in levels for a, b in self.level(f).pairs]
+
+    def fit(self, spark) -> Model:
+        """Every machine is a row of a job; few share a task."""
+        if jobs := self.jobs():
+            shared = spark.sparkContext.broadcast(self)
+            tasks = min(len(jobs), 4 * spark.sparkContext.defaultParallelism)
+            for r in spark.range(0, len(jobs), 1, tasks).mapInArrow(_solved(shared), "id long, own binary, bias double").toLocalIterator():
+                f, a, b = jobs[r["id"]]
+                self.level(f).take(a, b, np.frombuffer(bytes(r["own"]), "<f4"), r["bias"])
+            shared.unpersist()
+        for level in [self.top, *self.within.values()]:
+            if level:
+                level.ready()
+        return self
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """(language, score) of each row; the score is the family's times the language's in it."""
@@ -172,16 +250,16 @@ def learn(labelled: DataFrame, p: Params = Params()) -> Model:  # noqa: B008
     key = F.xxhash64("lang", "text")
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()
     if not sizes:
-        return Model(np.zeros((0, 1)), [], p)
+        return Model(np.zeros((0, 1)), [], p).fit(labelled.sparkSession)
     each = max(p.least, p.sample / len(sizes))
     shares = [(r["lang"], min(1.0, each / max(1, r["n"]))) for r in sizes]
     share = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share double"))
-    unit = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
+    unit = F.pmod(key, F.lit(1 << 60)) / float(1 << 60)
     sample = rows.join(share, "lang").filter(unit < F.col("share")).groupBy(key.alias("key")).agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
     found = sample.select("lang", "text").mapInArrow(_featurize(p), "lang string, x binary").collect()
     found.sort(key=lambda r: (r["lang"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], "<f2") for r in found], np.float32)
-    return Model(x, [r["lang"] for r in found], p)
+    x = np.array([np.frombuffer(r["x"], "<f2") for r in found], np.float16)
+    return Model(x, [r["lang"] for r in found], p).fit(labelled.sparkSession)
 
 
 def _predict(model):

@@ -59,16 +59,45 @@ def test_every_language_gives_its_even_share(spark):
     small = {f"x{k}": [f"{chr(97 + k)}{chr(98 + k)}{c}{chr(97 + k)}" for c in "aeiou"] for k in range(20)}
     rows = [(i, " ".join(r.choice(w) for _ in range(20)), lang) for i, (lang, w) in enumerate((lang, w) for lang, w in small.items() for _ in range(400 if lang == "x0" else 15))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for p in (langid.Params(), langid.Params(versus=5)):
-        seen = {}
-        first, langid.Model.__init__ = langid.Model.__init__, lambda self, x, langs, p, seen=seen: (seen.update({g: langs.count(g) for g in langs}), first(self, x, langs, p))[1]
-        try:
-            model = langid.learn(df, p)
-        finally:
-            langid.Model.__init__ = first
-        assert all(seen[g] == 15 for g in small if g != "x0") and 110 <= seen["x0"] <= 190
-        x = np.array([langid.features(" ".join(w), p.bits) for w in small.values()])
-        assert [g for g, _ in model.predict(x)] == list(small)
+    seen = {}
+    first, langid.Model.__init__ = langid.Model.__init__, lambda self, x, langs, p: (seen.update({g: langs.count(g) for g in langs}), first(self, x, langs, p))[1]
+    try:
+        model = langid.learn(df)
+    finally:
+        langid.Model.__init__ = first
+    assert all(seen[g] == 15 for g in small if g != "x0") and 110 <= seen["x0"] <= 190
+    x = np.array([langid.features(" ".join(w), model.p.bits) for w in small.values()])
+    assert [g for g, _ in model.predict(x)] == list(small)
+
+
+def test_machines_are_one_versus_one_at_every_size():
+    """Coefficients of rows give the margins of the summed weights; each is a descent on the weights themselves."""
+    from corpuscle.llm.linear import fit
+
+    r, p = np.random.default_rng(4), langid.Params()
+    langs = [f"x{k:03d}" for k in range(230) for _ in range(2)]
+    centre = r.normal(0, 1, (230, 40))
+    x = (np.repeat(centre, 2, 0) + r.normal(0, 0.1, (460, 40))).astype(np.float16)
+    m = langid.OneVersusOne(x, langs, p)
+    for a, b in m.pairs[:300]:
+        m.take(a, b, *m.solve(a, b))
+    weights = {(a, b): m.coefficients[a][:, b] @ x[m.rows[a]].astype(np.float32) + m.coefficients[b][:, a] @ x[m.rows[b]].astype(np.float32) for a, b in m.pairs[:300]}
+    m.ready()
+    assert m.weights is None and len(m.pairs) == 230 * 229 // 2
+    probe = r.normal(0, 1, (5, 40)).astype(np.float32)
+    got = m.margins(probe)
+    for (a, b), w in weights.items():
+        assert np.allclose(got[:, a, b], probe @ w + m.bias[a, b], atol=1e-3) and np.allclose(got[:, a, b], -got[:, b, a])
+        if a == 0 and b < 9:
+            own = np.concatenate([m.rows[a], m.rows[b]])
+            plain = fit(x[own].astype(np.float32), np.repeat([1.0, -1.0], 2), "hinge", p.ridge)
+            assert np.allclose(probe @ plain[:-1] + plain[-1], got[:, a, b], atol=0.05)
+    small = langid.OneVersusOne(x[:8], langs[:8], p)
+    for a, b in small.pairs:
+        small.take(a, b, *small.solve(a, b))
+    by_rows = small.margins(probe)
+    small.ready()
+    assert small.weights is not None and np.allclose(small.margins(probe), by_rows, atol=1e-3)
 
 
 def test_repeats_leave_the_sample_bounded(spark):
