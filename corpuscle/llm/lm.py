@@ -16,7 +16,7 @@ pieces are counted before they move, and their copies spread evenly over the sha
 shards' parameters are averaged by their tokens in a tree. The normaliser of all pairs of
 context classes is one matrix product, so a token costs three table reads.
 
-The most frequent words' counts are broadcast (a fixed number). The other words of a document
+The most frequent words' counts are broadcast (a fixed number of words of bounded length). The other words of a document
 join the count table by word, and only their sums return to the document.
 """
 
@@ -44,7 +44,8 @@ class Params:
 
     frequent: int = 767  # words with a class of their own
     groups: int = 256  # classes of all other words
-    known: int = 262_144  # words whose counts are broadcast
+    known: int = 262_144  # words whose counts are broadcast, about
+    longest: int = 128  # bytes of a word that is broadcast or has a class of its own
     dim: int = 24
     noise: int = 64  # noise classes that each batch shares
     batch: int = 4096
@@ -79,7 +80,7 @@ class Codes(dict):
 
 def _count(distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs = Counter(), 0
+        held, docs, heavy = Counter(), 0, 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -89,9 +90,11 @@ def _count(distinct: int):
                 docs += 1
                 for run_ in word_runs(text):
                     held.update(run_)
-                if len(held) >= distinct:
-                    yield out()
-                    held = Counter()
+                    if run_ and max(map(len, run_)) > Params.longest:
+                        heavy += sum(map(len, run_))
+                    if len(held) >= distinct or heavy > 64 << 20:
+                        yield out()
+                        held, heavy = Counter(), 0
         if held:
             yield out()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([docs], pa.int64())], names=["word", "n"])
@@ -120,7 +123,7 @@ class Vocabulary:
     distinct: int  # V, the end included
     class_count: np.ndarray
     group_size: np.ndarray  # log10 of N_group + V_group + 1
-    cut: int  # words in higher steps of frequency() are known
+    known: Column  # whether a row of counts is one of the words
 
     @classmethod
     def of(cls, counts: DataFrame, p: Params) -> Vocabulary:
@@ -131,14 +134,20 @@ class Vocabulary:
         for g, n, v in groups.collect():  # at most p.groups rows
             n_group[g], v_group[g] = n, v
         tokens, distinct = int(n_group.sum()) + docs, int(v_group.sum()) + (docs > 0)
-        # The steps of a log scale, a bounded number, tell which words are the most frequent.
-        steps = sorted(map(tuple, words.groupBy(frequency().alias("step")).count().collect()), reverse=True)
-        cut, held = 1 << 20, 0
+        # The steps of a log scale, a bounded number, tell which words are the most frequent; of the step at
+        # the bound a share by hash is known. Words with classes of their own are, whatever their step.
+        short = words.filter(F.length("word") <= p.longest)
+        first = [(r.n, bytes(r.word)) for r in short.orderBy(F.desc("n"), "word").limit(p.frequent).collect()]
+        steps = sorted(map(tuple, short.groupBy(frequency().alias("step")).count().collect()), reverse=True)
+        cut, share, room = 1 << 20, 0, p.known
         for step, k in steps:
-            if held + k > p.known:
+            cut, share = step, min(1 << 60, (room << 60) // k)
+            if k > room:
                 break
-            cut, held = step - 1, held + k
-        top = sorted(((r.n, bytes(r.word)) for r in words.filter(frequency() > cut).collect()), key=lambda r: (-r[0], r[1]))
+            room -= k
+        known = (frequency() > cut) | (frequency() == cut) & (F.pmod(F.xxhash64("word"), F.lit(1 << 60)) < share)
+        known = (F.length("word") <= p.longest) & (known | F.col("word").isin([w for _, w in first]))
+        top = sorted(((r.n, bytes(r.word)) for r in words.filter(known).collect()), key=lambda r: (-r[0], r[1]))
         own = [w for _, w in top]
         count = np.array([n for n, _ in top], np.int64)
         for w, n in zip(own[: p.frequent], count[: p.frequent].tolist(), strict=True):
@@ -146,7 +155,7 @@ class Vocabulary:
             v_group[group_of(w, p.groups)] -= 1
         first = np.zeros(p.frequent, np.int64)
         first[: min(p.frequent, len(count))] = count[: p.frequent]
-        return cls(p, own, count, tokens, distinct, np.concatenate([first, n_group, [docs]]), np.log10(n_group + v_group + 1.0), cut)
+        return cls(p, own, count, tokens, distinct, np.concatenate([first, n_group, [docs]]), np.log10(n_group + v_group + 1.0), known)
 
     def classes(self) -> np.ndarray:
         """Class of each known word."""
@@ -447,7 +456,7 @@ def score_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa
     schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<int>"
     found = materialize(rows.mapInArrow(_score(shared, p), schema))
     pairs = found.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rest = counts.filter(F.col("word").isNotNull() & (frequency() <= v.cut))
+    rest = counts.filter(F.col("word").isNotNull() & ~v.known)
     sums = pairs.join(rest, "word").groupBy("uid").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs"))
     more = F.coalesce("logs", F.lit(0.0))
     return found.join(sums, "uid", "left").select(

@@ -63,7 +63,7 @@ def test_group_in_sql_is_group_in_python(spark):
 
 def test_nce_learns_a_transition():
     p = lm.Params(frequent=6, groups=1, dim=4, noise=16, batch=64)
-    v = lm.Vocabulary(p, [], np.array([]), 0, 0, np.full(p.classes, 100), np.zeros(1), 0)
+    v = lm.Vocabulary(p, [], np.array([]), 0, 0, np.full(p.classes, 100), np.zeros(1), None)
     t = lm.Trainer(lm.initial(v), v.unigram(), p, 0)
     seq = np.tile(np.arange(6), 3000).astype(np.int16)
     x1, x2 = lm.contexts(seq, p.end)
@@ -154,3 +154,15 @@ def test_long_texts_go_in_pieces_that_know_what_came_before(spark, monkeypatch):
     got = [(r["k1"], r["part"], np.frombuffer(r["codes"], "<i2").tolist()) for r in out]
     e = p.end
     assert got == [(1, 0, [e, e, 0, 1, 2]), (1, 1, [1, 2, 0, 2, 1]), (1, 2, [2, 1, 0, e]), (2, 0, [e, e, e])]
+
+
+def test_vocabulary_is_filled_to_its_bound(spark):
+    """Neither many words of one count nor very long ones leave the classes empty, and no result depends on the bound."""
+    even = [(i, f"w{i:03d} x{i:03d} w{i:03d} x{i:03d}") for i in range(100)]
+    for docs in (even, [*even, (500, "two " * 9 + "more " * 8)], [*even, (600, "z" * (1 << 20))]):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        v = lm.Vocabulary.of(lm.count_words(df.select(lm.raw_text().alias("text"))), TINY)
+        assert 12 <= len(v.words) <= 70 and (v.class_count[: TINY.frequent] > 0).all() and max(map(len, v.words)) <= TINY.longest
+        if len(docs) == 101 and docs[-1][0] == 500:
+            assert v.words[:2] == [b"two", b"more"]
+        assert key(lm.score_documents(df, TINY).collect()) == sorted(base(docs), key=str)
