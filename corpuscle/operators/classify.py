@@ -11,9 +11,14 @@ def has_any(cats: Column, wanted: list[str]) -> Column:
     return F.arrays_overlap(F.transform(cats, F.lower), F.array(*(F.lit(w.lower()) for w in wanted)).cast("array<string>"))
 
 
-def page_type(cats: Column, rules: list[tuple[str, list[str]]], blocked: list[str], default: str = "CONCEPT") -> Column:
-    """The first rule that a category meets; SKIP without categories or with a blocked one."""
-    out = F.when(F.size(cats) == 0, "SKIP").when(has_any(cats, blocked), "SKIP")
+def is_redirect(cats: Column, redirects: list[str]) -> Column:
+    """Whether a page only points to another: it has no category, or one of the redirect categories, but for case."""
+    return F.coalesce(F.size(cats) == 0, F.lit(True)) | F.coalesce(has_any(cats, redirects), F.lit(False))
+
+
+def page_type(cats: Column, rules: list[tuple[str, list[str]]], blocked: list[str], default: str = "CONCEPT", redirects: list[str] = ()) -> Column:
+    """The first rule that a category meets; SKIP without categories or with a blocked or redirect one."""
+    out = F.when(has_any(cats, blocked), "SKIP").when(is_redirect(cats, redirects), "SKIP")
     for name, wanted in rules:
         out = out.when(has_any(cats, wanted), name)
     return out.otherwise(default)
@@ -23,11 +28,20 @@ def by_taxonomy(df: DataFrame, key: str, cats: Column, taxonomy: DataFrame, excl
     """(key, group): the group of highest priority (least number) of which a keyword is part of a category.
 
     Case and underscores don't matter. Rows with an excluded keyword or without a hit have none.
+    An equi-join on the keywords' first three characters, which a category that contains one has somewhere.
     """
     low = F.transform(cats, lambda c: F.lower(F.translate(c, "_", " ")))
     rows = df.select(key, low.alias("__cats"))
-    bad = F.exists("__cats", lambda c: F.lit(False) if not exclude else F.exists(F.array(*(F.lit(e.lower()) for e in exclude)), lambda e: F.contains(c, e)))
-    hits = rows.filter(~bad).join(taxonomy, F.expr("exists(__cats, c -> contains(c, lower(translate(category, '_', ' '))))"))
+    if exclude:
+        bad = F.exists("__cats", lambda c: F.exists(F.array(*(F.lit(e.lower()) for e in exclude)), lambda e: F.contains(c, e)))
+        rows = rows.filter(~F.coalesce(bad, F.lit(False)))
+    own = rows.select(key, F.explode(F.array_distinct("__cats")).alias("__cat"))
+    at = F.when(F.length("__cat") > 0, F.sequence(F.lit(1), F.length("__cat"))).otherwise(F.array().cast("array<int>"))
+    grams = F.flatten(F.transform(at, lambda i: F.array(*(F.substring("__cat", i, F.lit(n)) for n in (1, 2, 3)))))
+    own = own.select(key, "__cat", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))).alias("__gram"))
+    word = F.lower(F.translate("category", "_", " "))
+    known = taxonomy.select("group", "group_priority", word.alias("__word"), F.substring(word, 1, 3).alias("__gram"))
+    hits = own.join(known, "__gram").filter(F.contains("__cat", F.col("__word")))
     best = hits.groupBy(key).agg(F.min_by("group", F.struct("group_priority", "group")).alias("group"))
     return df.select(key).join(best, key, "left")
 

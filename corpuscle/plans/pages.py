@@ -84,6 +84,15 @@ def page_classify(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", classify.page_type(cats, _RULES, ["ORG"]).alias("page_type"))
 
 
+@query(f"""SELECT page_id, len(c) = 0 OR list_has_any(c, ['net']) AS is_redirect, CASE WHEN len(c) = 0 OR list_has_any(c, ['net', 'org']) THEN 'SKIP' WHEN list_has_any(c, ['fr']) THEN 'CHRONOLOGY'
+WHEN list_has_any(c, ['de', 'es']) THEN 'CHARACTER' ELSE 'CONCEPT' END AS page_type FROM (SELECT page_id, {_CATS} AS c FROM pages)""")
+def redirect_pages(spark, sf_dir):
+    """Pages that only point to others, and the types of the rest."""
+    cats = F.array_distinct(F.regexp_extract_all("url", F.lit("(en|de|fr|es|example|net|com|org)"), F.lit(1)))
+    redirects = ["Net"]
+    return table(spark, sf_dir, "pages").select("page_id", classify.is_redirect(cats, redirects).alias("is_redirect"), classify.page_type(cats, _RULES, ["ORG"], redirects=redirects).alias("page_type"))
+
+
 @query("SELECT CASE WHEN contains(url, '#') THEN 'fragment' WHEN contains(url, '?') THEN 'query' ELSE 'plain' END AS redirect_type, count(*) AS n FROM pages GROUP BY 1")
 def redirect_types(spark, sf_dir):
     kind = F.when(F.contains("url", F.lit("#")), "fragment").when(F.contains("url", F.lit("?")), "query").otherwise("plain")

@@ -41,6 +41,43 @@ def first_match_lookup(spark, sf_dir):
     return resolve.first_match(table(spark, sf_dir, "customer"), "c_custkey", names, table(spark, sf_dir, "nation"), "n_name")
 
 
+_NAMED = "p_name || ' ' || p_brand"
+_TERM = (
+    f"CASE p_size // 9 WHEN 0 THEN {_NAMED} WHEN 1 THEN p_brand || ', ' || p_name WHEN 2 THEN {_NAMED} || ', the' "
+    f"WHEN 3 THEN p_brand || ' of House ' || p_name WHEN 4 THEN {_NAMED} || ', A' ELSE {_NAMED} || ', The' END"
+)
+_FILE = (
+    f"CASE p_size WHEN 1 THEN replace({_NAMED}, ' ', '_') WHEN 2 THEN 'The_' || replace({_NAMED}, ' ', '_') WHEN 3 THEN 'A_' || replace({_NAMED}, ' ', '_') WHEN 4 THEN p_brand "
+    f"WHEN 5 THEN upper(substr(p_name, 1, 1)) || replace(substr({_NAMED}, 2), ' ', '_') WHEN 6 THEN split_part(p_name, ' ', 2) || '_' || p_brand WHEN 7 THEN lower(replace({_NAMED}, ' ', '_')) WHEN 8 THEN {_NAMED} END"
+)
+_NONE = "[]::VARCHAR[]"
+_CANDIDATES = f"""CASE WHEN contains(t, ' of House ') THEN [split_part(t, ' ', 1)] ELSE {_NONE} END || CASE WHEN t LIKE '%, the' THEN ['The_' || replace(l, ' ', '_'), replace(l, ' ', '_')] ELSE {_NONE} END
+|| CASE WHEN t LIKE '%, The' THEN ['The_' || replace(l, ' ', '_')] ELSE {_NONE} END || CASE WHEN t LIKE '%, A' THEN ['A_' || replace(l, ' ', '_')] ELSE {_NONE} END
+|| CASE WHEN contains(t, ', ') THEN [replace(f || '_' || l, ' ', '_'), replace(upper(f[1]) || f[2:] || '_' || l, ' ', '_'), replace(l, ' ', '_'), lower(replace(f || '_' || l, ' ', '_')), f || '_' || l, replace(string_split(f, ' ')[-1] || '_' || l, ' ', '_')]
+ELSE [replace(t, ' ', '_'), lower(replace(t, ' ', '_')), replace(array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), ' ', '_')] END || [t, replace(t, ' ', '_'), lower(replace(t, ' ', '_'))]"""
+
+
+@query(f"""WITH terms AS (SELECT DISTINCT {_TERM} AS t FROM part), files AS (SELECT DISTINCT {_FILE} || '.txt' AS file FROM part WHERE p_size <= 8),
+named AS (SELECT t, {_CANDIDATES} AS c FROM (SELECT t, split_part(t, ', ', 1) AS l, CASE WHEN contains(t, ', ') THEN substr(t, strpos(t, ', ') + 2) ELSE '' END AS f FROM terms)),
+hits AS (SELECT t, arg_min(file, i) AS match FROM (SELECT t, i, c[i] || '.txt' AS name FROM named, unnest(range(1, len(c) + 1)) AS r(i)) JOIN files ON file = name GROUP BY t)
+SELECT t, match FROM terms LEFT JOIN hits USING (t)""")
+def glossary_lookup(spark, sf_dir):
+    """Terms in all the forms that have rewriting rules, each with the first of its candidate names that is a file."""
+    part = table(spark, sf_dir, "part")
+    full, low = F.concat_ws(" ", "p_name", "p_brand"), lambda c: F.translate(c, " ", "_")
+    style = F.floor(F.col("p_size") / 9)
+    forms = (full, F.concat_ws(", ", "p_brand", "p_name"), F.concat(full, F.lit(", the")), F.concat_ws(" of House ", "p_brand", "p_name"), F.concat(full, F.lit(", A")))
+    term = F.concat(full, F.lit(", The"))
+    for k, form in reversed(list(enumerate(forms))):
+        term = F.when(style == k, form).otherwise(term)
+    files = (
+        low(full), F.concat(F.lit("The_"), low(full)), F.concat(F.lit("A_"), low(full)), F.col("p_brand"), low(F.concat(F.upper(F.substring(full, 1, 1)), F.substring(full, F.lit(2), F.length(full)))),
+        F.concat_ws("_", F.element_at(F.split("p_name", " "), -1), "p_brand"), F.lower(low(full)), full,
+    )
+    known = part.filter("p_size <= 8").select(F.concat(F.element_at(F.array(*files), F.col("p_size")), F.lit(".txt")).alias("file"))
+    return resolve.first_match(part.select(term.alias("t")).distinct(), "t", resolve.glossary_candidates("t"), known, "file")
+
+
 @query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 def unmatched_anti(spark, sf_dir):
     large = table(spark, sf_dir, "orders").filter("o_totalprice > 300000")

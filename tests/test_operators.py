@@ -219,3 +219,12 @@ def test_windows_over_a_stream(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == 30 and jobs.tumbling(rows, "1 hour").count() == spark.table("w").count()
     assert jobs.sessions(rows, "15 minutes").count() == 30 and jobs.sessions(rows, "25 minutes").count() == 2
+
+
+def test_redirects_and_keywords(spark):
+    df = spark.createDataFrame([(1, []), (2, ["Moved"]), (3, ["a_b c", None]), (4, None), (5, ["x", ""])], "k int, c array<string>")
+    got = df.select("k", classify.is_redirect(F.col("c"), ["MOVED"]).alias("r"), classify.page_type(F.col("c"), [("T", ["x"])], [], redirects=["moved"]).alias("t")).collect()
+    assert [(r.k, r.r, r.t) for r in got] == [(1, True, "SKIP"), (2, True, "SKIP"), (3, False, "CONCEPT"), (4, True, "SKIP"), (5, False, "T")]
+    tax = spark.createDataFrame([("one", "B C", 3), ("two", "x", 2), ("all", "", 9), ("short", "b ", 1)], "group string, category string, group_priority int")
+    rows = {r.k: r.group for r in classify.by_taxonomy(df, "k", F.col("c"), tax).collect()}
+    assert rows == {1: None, 2: "all", 3: "short", 4: None, 5: "two"}
