@@ -56,6 +56,12 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """For a join that both sides travel for. Spark takes what a map in Python returns for as small as its input, and would
+    broadcast through the driver what is many times larger; tables that grow with the input are never sent that way."""
+    return df.hint("merge")
+
+
 def raw_text(column: str | Column = "text") -> Column:
     """The text as UTF-8 bytes, null as empty: Python then never has to decode or fail."""
     c = F.col(column) if isinstance(column, str) else column

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, discard, materialize, raw_text, slices, tidy, tie, word_runs
+from .common import OWN, discard, materialize, raw_text, shuffled, slices, tidy, tie, word_runs
 from .components import components
 
 #: Generator polynomial, length and covering radius of each block's code (fixed values).
@@ -322,13 +322,13 @@ def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
     home = prints.mapInArrow(_anchored(blocks, home=True), "anchor long, fp long")
     near = prints.mapInArrow(_anchored(blocks, home=False), "anchor long, fp long").withColumnRenamed("fp", "fp2")
     return home.join(
-        near, (home.anchor == near.anchor) & (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= THRESHOLD)
+        shuffled(near), (home.anchor == near.anchor) & (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= THRESHOLD)
     ).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
 
 def _relabel(rows: DataFrame, old: DataFrame) -> DataFrame:
     """`rows` with the new name of each component that has one in `old` (old, new)."""
-    out = rows.join(old, rows.component == old.old, "left")
+    out = rows.join(shuffled(old), rows.component == old.old, "left")
     return out.withColumn("component", F.coalesce("new", "component")).drop("old", "new")
 
 
@@ -336,7 +336,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b) of the pairs of ties (a, b), distinct, whose shingle sets have at least the similarity."""
     x = sets.select(F.col("t").alias("tx"), F.col("set").alias("x"))
     y = sets.select(F.col("t").alias("ty"), F.col("set").alias("y"))
-    rows = pairs.join(y, pairs.b == y.ty).join(x, F.col("a") == x.tx).select("a", "b", "x", "y")
+    rows = pairs.join(shuffled(y), pairs.b == y.ty).join(shuffled(x), F.col("a") == x.tx).select("a", "b", "x", "y")
     conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(name)
     conf.set(name, str(8 << 20))  # two sets a row
@@ -348,7 +348,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def _joined(docs: DataFrame, found: DataFrame, label: DataFrame, shingle: int, least: float) -> DataFrame:
     """(component, joined) where texts of the least similarity put components of `label` (fp, component) together."""
-    rows = found.filter("buckets is not null").dropDuplicates(["tie"]).join(label.select("fp", "component"), "fp")
+    rows = found.filter("buckets is not null").dropDuplicates(["tie"]).join(shuffled(label.select("fp", "component")), "fp")
     rows = rows.select(F.col("tie").alias("node"), "component", "one", "two", F.explode("buckets").alias("bucket"))
     apart = F.bit_count(F.col("one").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("two").bitwiseXOR(F.col("p2"))) <= SKETCH
     joined, sets = None, None
@@ -356,7 +356,7 @@ def _joined(docs: DataFrame, found: DataFrame, label: DataFrame, shingle: int, l
     def still_open(rows: DataFrame) -> DataFrame:
         """The buckets that hold more than one component."""
         mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return materialize(rows.join(mixed.filter("low <> high").select("bucket"), "bucket"))
+        return materialize(rows.join(shuffled(mixed.filter("low <> high").select("bucket")), "bucket"))
 
     def merge(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
         """links: (ca, cb), components that belong together."""
@@ -368,9 +368,9 @@ def _joined(docs: DataFrame, found: DataFrame, label: DataFrame, shingle: int, l
             if joined is None:
                 joined = materialize(old)
             else:
-                moved = joined.join(old.select(F.col("old").alias("k"), F.col("new").alias("v")), F.col("new") == F.col("k"), "left")
+                moved = joined.join(shuffled(old.select(F.col("old").alias("k"), F.col("new").alias("v"))), F.col("new") == F.col("k"), "left")
                 moved = moved.select("old", F.coalesce("v", "new").alias("new"))
-                joined = materialize(moved.union(old.join(moved.select("old"), "old", "left_anti")))
+                joined = materialize(moved.union(old.join(shuffled(moved.select("old")), "old", "left_anti")))
         return rows, n
 
     rows = still_open(rows)
@@ -384,19 +384,19 @@ def _joined(docs: DataFrame, found: DataFrame, label: DataFrame, shingle: int, l
         key = F.struct(order.alias("o"), "node", "component", "one", "two")
         star = rows.groupBy("bucket").agg(F.min(key).alias("p"))
         star = star.select("bucket", F.col("p.node").alias("partner"), F.col("p.component").alias("pc"), F.col("p.one").alias("p1"), F.col("p.two").alias("p2"))
-        pairs = rows.join(star, "bucket").filter((F.col("component") != F.col("pc")) & apart)
+        pairs = rows.join(shuffled(star), "bucket").filter((F.col("component") != F.col("pc")) & apart)
         both = materialize(pairs.select(F.least("partner", "node").alias("a"), F.greatest("partner", "node").alias("b")).distinct())
         names = rows.select("node", "component").distinct()
         at = names.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         to = names.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        rows, n = merge(rows, _verified(both, sets, least).join(at, "a").join(to, "b").select("ca", "cb"))
+        rows, n = merge(rows, _verified(both, sets, least).join(shuffled(at), "a").join(shuffled(to), "b").select("ca", "cb"))
         discard(both)
         rows = still_open(rows)
         if not n:
             break
-    held = rows.select("bucket", "node", "component").join(sets, F.col("node") == sets.t).select("bucket", "node", "component", "set")
+    held = rows.select("bucket", "node", "component").join(shuffled(sets), F.col("node") == sets.t).select("bucket", "node", "component", "set")
     size = held.groupBy("bucket").agg(F.greatest(F.sum(F.length("set")) / PART_BYTES, F.count("*") / PART).alias("parts"))
-    held = held.join(size.select("bucket", F.ceil("parts").cast("int").alias("parts")), "bucket")
+    held = held.join(shuffled(size.select("bucket", F.ceil("parts").cast("int").alias("parts"))), "bucket")
     side = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = held.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "component", "set")
@@ -417,18 +417,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, blocks: int | None
     found = materialize(fingerprints(docs, shingle, similarity is not None))
     distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(distinct.select("fp"), blocks))
-    label = distinct.join(groups, distinct.fp == groups.node, "left").select(
+    label = distinct.join(shuffled(groups), distinct.fp == groups.node, "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     if similarity is not None:
         label = materialize(label)
         if (joined := _joined(docs, found, label, shingle, similarity)) is not None:
-            label = label.join(joined, label.component == joined.old, "left").select(
+            label = label.join(shuffled(joined), label.component == joined.old, "left").select(
                 "fp", "least", F.coalesce("new", "component").alias("component")
             )
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = label.join(least, "component").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "tie", "fp", "component_id")
+    named = label.join(shuffled(least), "component").select("fp", "component_id")
+    return found.join(shuffled(named), "fp").select("doc_id", "tie", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
@@ -443,7 +443,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, blocks: int | None = None,
     first = each.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie", "n")).alias("k"))
     first = first.select(F.col("k.doc_id").alias(f"{OWN}id"), F.col("k.tie").alias(f"{OWN}tie"), F.col("k.n").alias(f"{OWN}n"))
     rows = docs.withColumn(f"{OWN}t", tie("text"))
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(first[f"{OWN}id"]) & (rows[f"{OWN}t"] == first[f"{OWN}tie"]))
+    kept = rows.join(shuffled(first), rows["doc_id"].eqNullSafe(first[f"{OWN}id"]) & (rows[f"{OWN}t"] == first[f"{OWN}tie"]))
     once = kept.filter(F.col(f"{OWN}n") == 1).select(*docs.columns)
     hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     more = kept.filter(F.col(f"{OWN}n") > 1).groupBy("doc_id", f"{OWN}t")

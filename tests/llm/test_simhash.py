@@ -135,3 +135,12 @@ def test_rows_alike_leave_one_by_a_fixed_rule(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n string, tie int")
     got = [sorted(map(str, simhash.keep_one(df.repartition(k)).collect())) for k in (1, 3, 7)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 2
+
+
+def test_what_grows_is_not_broadcast(spark):
+    """A map's result counts as small as its input, so replicas and other tables of all rows would go through the driver."""
+    prints = spark.range(2000).selectExpr("xxhash64(id) AS fp")
+    docs = spark.createDataFrame([(i, f"a b c {i % 7}") for i in range(50)], "doc_id long, text string")
+    for df in (simhash.links(prints, 2), simhash.near_duplicates(docs), simhash.keep_one(docs, 2, similarity=0.8), components(spark.range(1, 9).selectExpr("id AS a", "id - 1 AS b"))):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
