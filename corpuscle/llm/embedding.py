@@ -8,8 +8,9 @@ pairs never become rows. Inside a block a verified pair counts only in the first
 it shares, which makes the sums over buckets exact; the links of a block leave it as one
 count and one spanning edge a vector.
 
-The number of hashes follows from the largest number of vectors that share a label, so that the
-vectors of foreign pairs that meet stay at a few a vector, however many there are; each hash more
+The number of hashes follows from the dimension and from a fixed number of vectors a label that it is made for
+(`Params.rows`), never from the input, so whether a pair meets depends on its two vectors alone. Up to that number the
+foreign vectors that a vector meets stay at a few hundred; beyond it they grow with the label's share. Each hash more
 doubles the probes, and tables follow from the dimension, so recall stays.
 
 Equal vectors collapse before hashing. Buckets over a bound are dealt into cells: members
@@ -39,7 +40,7 @@ class Params:
     tables: int = 0  # 0: by the dimension
     hashes: int = 0  # 0: by the dimension and `rows`
     probes: int = 0  # 0: two to the power of hashes
-    rows: int = 0  # vectors of a label, at most
+    rows: int = 1 << 17  # vectors of a label that the hashes are made for, whatever the input's size
     meets: int = 256  # foreign vectors that a vector may be expected to meet
     seed: int = 11
     part: int = 1024  # members of one part of a large bucket
@@ -49,7 +50,7 @@ class Params:
         width = 1 << max(0, dim - 1).bit_length()
         tables = self.tables or (4 if width <= 64 else 6 if width <= 512 else 8)
         axes, hashes = 2 * width, self.hashes or 2
-        most = max(2, 58 // max(1, axes.bit_length() - 1))  # a code has 58 bits
+        most = min(5, max(2, 58 // max(1, axes.bit_length() - 1)))  # a code has 58 bits, and probes double with each hash
         while not self.hashes and hashes < most and 2 * tables * 4**hashes * self.rows > self.meets * axes**hashes and axes > 4:
             hashes += 1
         return replace(self, tables=tables, hashes=hashes, probes=self.probes or 1 << hashes)
@@ -308,8 +309,6 @@ def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:  # n
     stored = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     good = rows.filter("valid")
     distinct = materialize(good.groupBy("label_key", "label", "embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("mult")))
-    most = distinct.groupBy("label_key").count().agg(F.max("count")).first()[0] or 0
-    p = p if p.rows else replace(p, rows=most)
     # Integer labels are their own key; others come along, since a key is a hash.
     name = (F.lit(None) if number else F.col("label")).cast("string")
     least = distinct.select("rep", "mult", "label_key", "embedding", F.coalesce(name, F.lit("")).alias("name"), F.xxhash64("label", "embedding").alias("vkey"), F.col("embedding").cast(stored).alias("vector"))

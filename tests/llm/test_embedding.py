@@ -60,6 +60,15 @@ def test_recall_at_the_threshold():
         assert np.concatenate(met).mean() >= 0.99, (dim, rows, p.of(dim))
 
 
+def test_links_of_rows_do_not_depend_on_other_rows(spark, monkeypatch):
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate(np.random.default_rng(5).normal(size=(400, 16)))]
+    used = []
+    monkeypatch.setattr(e, "_entries", lambda p, f=e._entries: used.append(p.of(16)) or f(p))
+    for n in (20, 400):
+        e.near_duplicates(spark.createDataFrame(rows[:n], SCHEMA), e.Params(meets=1)).count()
+    assert used[0] == used[1]
+
+
 def test_foreign_vectors_met_stay_bounded_as_rows_grow():
     met = []
     for n in (4000, 16_000, 64_000):
