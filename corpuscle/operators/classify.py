@@ -28,21 +28,24 @@ def by_taxonomy(df: DataFrame, key: str, cats: Column, taxonomy: DataFrame, excl
     """(key, group): the group of highest priority (least number) of which a keyword is part of a category.
 
     Case and underscores don't matter. Rows with an excluded keyword or without a hit have none.
-    An equi-join on the keywords' first three characters, which a category that contains one has somewhere.
+    Every distinct category is decided once, by an equi-join on the keywords' first three characters, which a category that
+    contains one has somewhere; rows then meet the decided categories.
     """
     low = F.transform(cats, lambda c: F.lower(F.translate(c, "_", " ")))
     rows = df.select(key, low.alias("__cats"))
     if exclude:
         bad = F.exists("__cats", lambda c: F.exists(F.array(*(F.lit(e.lower()) for e in exclude)), lambda e: F.contains(c, e)))
         rows = rows.filter(~F.coalesce(bad, F.lit(False)))
-    own = rows.select(key, F.explode(F.array_distinct("__cats")).alias("__cat"))
+    own = rows.select(key, F.explode("__cats").alias("__cat"))
+    each = own.select("__cat").distinct()
     at = F.when(F.length("__cat") > 0, F.sequence(F.lit(1), F.length("__cat"))).otherwise(F.array().cast("array<int>"))
     grams = F.flatten(F.transform(at, lambda i: F.array(*(F.substring("__cat", i, F.lit(n)) for n in (1, 2, 3)))))
-    own = own.select(key, "__cat", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))).alias("__gram"))
+    each = each.select("__cat", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))).alias("__gram"))
     word = F.lower(F.translate("category", "_", " "))
     known = taxonomy.select("group", "group_priority", word.alias("__word"), F.substring(word, 1, 3).alias("__gram"))
-    hits = own.join(known, "__gram").filter(F.contains("__cat", F.col("__word")))
-    best = hits.groupBy(key).agg(F.min_by("group", F.struct("group_priority", "group")).alias("group"))
+    hits = each.join(known, "__gram").filter(F.contains("__cat", F.col("__word")))
+    first = hits.groupBy("__cat").agg(F.min(F.struct("group_priority", "group")).alias("__first"))
+    best = own.join(first, "__cat").groupBy(key).agg(F.min("__first")["group"].alias("group"))
     return df.select(key).join(best, key, "left")
 
 

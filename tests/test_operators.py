@@ -228,3 +228,14 @@ def test_redirects_and_keywords(spark):
     tax = spark.createDataFrame([("one", "B C", 3), ("two", "x", 2), ("all", "", 9), ("short", "b ", 1)], "group string, category string, group_priority int")
     rows = {r.k: r.group for r in classify.by_taxonomy(df, "k", F.col("c"), tax).collect()}
     assert rows == {1: None, 2: "all", 3: "short", 4: None, 5: "two"}
+
+
+def test_taxonomy_decides_each_category_once(spark):
+    """Rows of equal categories share the work: the parts of a category are listed before rows join."""
+    df = spark.range(3000).select(F.col("id").alias("k"), F.array(F.concat(F.lit("Gold_"), (F.col("id") % 3).cast("string"))).alias("c"))
+    tax = spark.createDataFrame([("metal", "gold", 2), ("one", "1", 1)], "group string, category string, group_priority int")
+    out = classify.by_taxonomy(df, "k", F.col("c"), tax)
+    assert {r.group: r["count"] for r in out.groupBy("group").count().collect()} == {"metal": 2000, "one": 1000}
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    listed = next(k for k, x in enumerate(lines) if "Generate explode(array_distinct" in x)
+    assert any("Aggregate [__cat" in x for x in lines[listed:])
