@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import vector
@@ -77,6 +77,10 @@ def auto(collections: dict[str, DataFrame], rules: list[tuple[str, tuple[str, ..
     return hybrid(collections[name], query, question, k, key, **options).withColumn("collection", F.lit(name))
 
 
+#: Parts that a cell's rows are dealt into.
+SPREAD = 16
+
+
 def ivf_fit(collection: DataFrame, embedding: str = "embedding", cells: int = 64, sample: int = 20_000, rounds: int = 12) -> np.ndarray:
     """Centroids of an inverted file: k-means in numpy on at most about `sample` rows, chosen by a hash of the vector.
 
@@ -120,12 +124,13 @@ def ivf_assign(df: DataFrame, centres: np.ndarray, key: str, embedding: str = "e
 def ivf_search(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, key: str, embedding: str = "embedding", probes: int = 16) -> DataFrame:
     """(query, key, distance): the k nearest rows of each query among those of its nearest cells, ties by key.
 
-    index: rows of :func:`ivf_assign`; queries: rows like the collection's. A cell's rows meet a query's in a plain
-    join, which Spark may split; groups are cut to k before they are sorted.
+    index: rows of :func:`ivf_assign`; queries: rows like the collection's. Rows are sorted by cell, a cell of any size over
+    several tasks, and a run of a cell's rows meets the questions of that cell in matrix products (see :mod:`topk`).
     """
-    asked = ivf_assign(queries, centres, key, embedding, probes).select(F.col(key).alias("query"), F.col(embedding).alias("__q"), "cell")
-    squares = F.zip_with(embedding, "__q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    d = F.round(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x), 6)
-    rows = index.join(asked, "cell").select("query", key, d.alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", key)
-    return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")
+    from corpuscle.operators import topk
+
+    if not len(centres):
+        return index.limit(0).select(F.col(key).alias("query"), key, F.lit(0.0).alias("distance"))
+    asked = queries.select(F.col(key).alias("query"), embedding)
+    rows = index.repartition("cell", F.pmod(F.xxhash64(key), F.lit(SPREAD))).sortWithinPartitions("cell")
+    return topk.nearest(rows, asked, k, key, embedding=embedding, cells=(centres, probes))

@@ -44,15 +44,17 @@ class Heaps:
         self.found: list[list[tuple[float, object]]] = [[] for _ in questions]
         self.worst = np.full(len(questions), np.inf)
 
-    def add(self, x: np.ndarray, keys: list) -> None:
-        near = (x**2).sum(1)[None, :] - 2 * self.q @ x.T + self.norms[:, None]
+    def add(self, x: np.ndarray, keys: list, some: np.ndarray | None = None) -> None:
+        """Rows x met by the questions `some`, all by default."""
+        some = np.arange(len(self.q)) if some is None else some
+        near = (x**2).sum(1)[None, :] - 2 * self.q[some] @ x.T + self.norms[some][:, None]
         slack = 1e-5 + 1e-9 * np.abs(near).max(initial=0)  # rounding of the product and of 6 places
         if near.shape[1] > self.k:
-            limit = np.minimum(np.partition(near, self.k - 1, axis=1)[:, self.k - 1], self.worst)
+            limit = np.minimum(np.partition(near, self.k - 1, axis=1)[:, self.k - 1], self.worst[some])
         else:
-            limit = self.worst
-        for i in np.flatnonzero((near <= limit[:, None] + slack).any(axis=1)):
-            rows = np.flatnonzero(near[i] <= limit[i] + slack)
+            limit = self.worst[some]
+        for at in np.flatnonzero((near <= limit[:, None] + slack).any(axis=1)):
+            i, rows = some[at], np.flatnonzero(near[at] <= limit[at] + slack)
             exact = np.round(((x[rows] - self.q[i]) ** 2).sum(1), 6)
             own = self.found[i] + [(d, keys[r]) for d, r in zip(exact.tolist(), rows.tolist(), strict=True)]
             self.found[i] = sorted(own)[: self.k]
@@ -77,17 +79,44 @@ def _nearest(block: np.ndarray, ids: list, k: int, key: str, embedding: str, kin
     return run
 
 
+def _nearest_by_cell(block: np.ndarray, ids: list, k: int, key: str, embedding: str, kinds: list[pa.DataType], cells: tuple[np.ndarray, int]):
+    centres, probes = cells
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps = Heaps(block, k)
+        near = np.argsort((centres**2).sum(1) - 2 * block @ centres.T, axis=1, kind="stable")[:, :probes]
+        asks = np.zeros((len(centres), len(block)), bool)
+        asks[near.ravel(), np.repeat(np.arange(len(block)), near.shape[1])] = True
+        for batch in batches:
+            of = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b and len(some := np.flatnonzero(asks[of[a]])):
+                    for part in (batch.slice(s, min(2048, b - s)) for s in range(a, b, 2048)):
+                        x, rows = matrix(part.column(embedding))
+                        if len(rows):
+                            keys = part.column(key).to_pylist()
+                            heaps.add(x, [keys[r] for r in rows.tolist()], some)
+        out = [(ids[i], key_, d) for i, own in enumerate(heaps.found) for d, key_ in own]
+        for s in range(0, len(out), 10_000):
+            columns = zip(*out[s : s + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.float64()], strict=True)], names=["query", key, "distance"])
+
+    return run
+
+
 def top_k(rows: DataFrame, k: int, by: str, *order) -> DataFrame:
     """The first k rows of each group; tasks cut theirs before the shuffle."""
     w = Window.partitionBy(by).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n")
 
 
-def nearest(collection: DataFrame, questions: DataFrame, k: int, key: str, question: str = "query", embedding: str = "embedding") -> DataFrame:
+def nearest(collection: DataFrame, questions: DataFrame, k: int, key: str, question: str = "query", embedding: str = "embedding", cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """(query, key, distance): the k nearest rows of each question by squared L2 in double, rounded to 6 places, ties by key.
 
     Questions that are null, or whose vector is null or not finite, get no rows; keys are not null. Blocks of
-    questions have `BLOCK` numbers at most, and each block is one scan. Vectors of one length only.
+    questions have `BLOCK` numbers at most, and each block is one scan. Vectors of one length only. cells: centres and how many
+    of them a question looks into; the collection then has each row's cell, and equal cells together.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -98,8 +127,12 @@ def nearest(collection: DataFrame, questions: DataFrame, k: int, key: str, quest
     parts, ids, vectors = [], [], []
 
     def flush() -> None:
-        run = _nearest(np.array(vectors, np.float64), list(ids), k, key, embedding, kinds)
-        parts.append(collection.select(key, embedding).mapInArrow(run, schema))
+        block = np.array(vectors, np.float64)
+        if cells:
+            run = _nearest_by_cell(block, list(ids), k, key, embedding, kinds, cells)
+        else:
+            run = _nearest(block, list(ids), k, key, embedding, kinds)
+        parts.append(collection.select(key, embedding, *(["cell"] if cells else [])).mapInArrow(run, schema))
         ids.clear()
         vectors.clear()
 
