@@ -91,56 +91,83 @@ def index(collection: DataFrame, book: Codebook, key: str, embedding: str = "emb
     return collection.select(key, embedding).mapInArrow(run, f"{key} {collection.schema[key].dataType.simpleString()}, {embedding} {kind}, cell int, code binary")
 
 
-def search(indexed: DataFrame, questions: DataFrame, book: Codebook, k: int, key: str, question: str = "query", embedding: str = "embedding", probes: int | None = None, refine: int = 100) -> DataFrame:
+def search(indexed: DataFrame, questions: DataFrame, book: Codebook, k: int, key: str, question: str = "query", embedding: str = "embedding", probes: int | None = None, refine: int = 100, most: int = 1 << 20) -> DataFrame:
     """(query, key, distance): about the k nearest rows of each question, ties by key; distances are exact, rounded to 6 places.
 
     probes: cells a question looks into, half of them by default. The questions go out whole: a stated set of at most
-    100,000. Each task ranks its rows by their codes and sends `refine` a question at most.
+    100,000. Each task ranks its rows by their codes and sends keys, `refine` a question, in turns of `most`; only the vectors of
+    the best over all tasks are joined. Keys are unique and not null.
     """
     spark = indexed.sparkSession
     asked = questions.filter(F.col(question).isNotNull() & (F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull())).select(question, F.col(embedding).cast("array<double>").alias("v")).limit(100_001).collect()
     if len(asked) > 100_000:
         raise ValueError("more than 100,000 questions; search them in parts")
-    schema = f"query {questions.schema[question].dataType.simpleString()}, {key} {indexed.schema[key].dataType.simpleString()}, rough double, {embedding} {indexed.schema[embedding].dataType.simpleString()}"
+    schema = f"query {questions.schema[question].dataType.simpleString()}, {key} {indexed.schema[key].dataType.simpleString()}, rough double"
     if not asked:
         return spark.createDataFrame([], schema).select("query", key, F.col("rough").alias("distance"))
     ids, q = [r[0] for r in asked], np.array([r.v for r in asked])
-    probes = probes or len(book.centres) // 2 + 1
-    shared = spark.sparkContext.broadcast((book, ids, q, book.assign(q, probes)))
+    probes = min(probes or len(book.centres) // 2 + 1, len(book.centres))
+    shared = spark.sparkContext.broadcast((book, ids, q, book.assign(q, probes).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, names, points, cells = shared.value
-        held: list[list[tuple]] = [[] for _ in names]
-        by_cell: dict[int, list[int]] = {}
-        for i, row in enumerate(cells.tolist()):
-            for c in row:
-                by_cell.setdefault(c, []).append(i)
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in names]  # (rough, key), as arrays
+        size, total = np.zeros(len(names), np.int64), 0
+        order = np.argsort(cells, axis=None, kind="stable")
+        first = np.searchsorted(cells.ravel()[order], np.arange(len(own.centres) + 1))
+        who = (order // cells.shape[1]).astype(np.int32)  # the questions of each cell, cell after cell
+
+        def cut(i: int) -> None:
+            nonlocal total
+            rough, keys = (np.concatenate(x) for x in zip(*held[i], strict=True))
+            best = np.lexsort((keys, rough))[:refine]
+            held[i] = [(rough[best], keys[best])]
+            total += len(best) - size[i]
+            size[i] = len(best)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            """What is held, cut; the merge over tasks also merges what a task sends in turns."""
+            nonlocal total
+            some = [i for i, found in enumerate(held) if found]
+            for i in some:
+                cut(i)
+            for s in range(0, len(some), 1024):
+                at = some[s : s + 1024]
+                rough, keys = (np.concatenate([held[i][0][k] for i in at]) for k in (0, 1))
+                query = pa.array([names[i] for i in at], arrow.field("query").type).take(pa.array(np.repeat(np.arange(len(at)), size[at])))
+                yield pa.RecordBatch.from_arrays([query, pa.array(keys, arrow.field(key).type), pa.array(rough)], schema=arrow)
+            for i in some:
+                held[i] = []
+            size[:], total = 0, 0
+
         tables: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             at = batch.column("cell").to_numpy()
             for c in np.unique(at).tolist():
                 rows = np.flatnonzero(at == c)
                 codes = np.frombuffer(b"".join(batch.column("code").take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
-                keys, vectors = (batch.column(n).take(pa.array(rows)).to_pylist() for n in (key, embedding))
-                for i in by_cell.get(c, ()):
+                keys = batch.column(key).take(pa.array(rows)).to_numpy(zero_copy_only=False)
+                for i in who[first[c] : first[c + 1]].tolist():
                     if (i, c) not in tables:
-                        if len(tables) > 4096:
+                        if len(tables) > 1024:
                             tables.clear()
                         tables[i, c] = own.tables(points[i], c)
                     rough = tables[i, c][np.arange(codes.shape[1]), codes].sum(1)
-                    best = np.argsort(rough, kind="stable")[:refine] if len(rough) > refine else range(len(rough))
-                    held[i] += [(float(rough[r]), keys[r], vectors[r]) for r in best]
-                    if len(held[i]) > 4 * refine:
-                        held[i] = sorted(held[i], key=lambda x: x[:2])[:refine]
-        for i, found in enumerate(held):
-            if found:
-                rough, keys, vectors = zip(*sorted(found, key=lambda x: x[:2])[:refine], strict=True)
-                yield pa.RecordBatch.from_pylist([{"query": names[i], key: b, "rough": a, embedding: v} for a, b, v in zip(rough, keys, vectors, strict=True)], schema=arrow)
+                    best = np.lexsort((keys, rough))[:refine] if len(rough) > refine else slice(None)
+                    held[i].append((rough[best], keys[best]))
+                    n = len(held[i][-1][0])
+                    size[i], total = size[i] + n, total + n
+                    if size[i] > 4 * refine or len(held[i]) > 64:
+                        cut(i)
+                if total > most:
+                    yield from out()
+        yield from out()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    few = top_k(indexed.mapInArrow(run, schema), refine, "query", "rough", key)
+    coded = indexed.select(key, "cell", "code").mapInArrow(run, schema)
+    few = top_k(coded, refine, "query", "rough", key).join(indexed.select(key, embedding), key)
     own = questions.select(F.col(question).alias("query"), F.col(embedding).cast("array<double>").alias("__q"))
     squares = F.zip_with(F.col(embedding).cast("array<double>"), "__q", lambda a, b: (a - b) * (a - b))
     exact = few.join(own, "query").select("query", key, F.round(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x), 6).alias("distance"))
