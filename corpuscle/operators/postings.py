@@ -1,31 +1,83 @@
 """Keyword search through posting lists of character q-grams.
 
 A text contains a term only if it has all the term's q-grams, so the lists retrieve the few texts that can, and
-containment decides on those. The index is sorted by gram: a search reads the row groups of its own grams.
+containment decides on those. The index is runs sorted by gram: a search reads the pages of its own grams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import written
+from .batches import parts
 from .retrieval import term_hits
 
 Q = 3
 
 
-def grams(low: Column, q: int = Q) -> Column:
-    """The distinct q-grams of a lower-cased text; a shorter text is one gram, an empty one none."""
-    phases = [F.regexp_extract_all(F.substring(low, k + 1, (1 << 31) - 1), F.lit(f"(?s).{{{q}}}"), F.lit(0)) for k in range(q)]
-    all_of = F.array_distinct(F.flatten(F.array(*phases)))
-    return F.when(F.length(low) >= q, all_of).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>"))
+#: Entries that a task sorts at once.
+RUN = 1 << 21
+
+
+def grams(low: str, q: int = Q) -> np.ndarray:
+    """The distinct q-grams of a lower-cased text, as an array of texts; a shorter text is one gram, an empty one none."""
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < q:
+        return np.array([low] if low else [], f"<U{q}")
+    held = np.lib.stride_tricks.sliding_window_view(codes, q)
+    if int(codes.max()) << 1 >> (64 // q):  # numbers of q characters don't fit
+        return np.unique(np.ascontiguousarray(held).view(f"<U{q}").ravel())
+    wide, packed = 64 // q, np.zeros(len(held), np.uint64)
+    for k in range(q):
+        packed = packed << np.uint64(wide) | held[:, k].astype(np.uint64)
+    packed = np.unique(packed)
+    mask = np.uint64((1 << wide) - 1)
+    back = np.stack([(packed >> np.uint64(wide * (q - 1 - k))) & mask for k in range(q)], axis=1).astype(np.uint32)
+    return np.ascontiguousarray(back).view(f"<U{q}").ravel()
+
+
+def _listed(key: str, q: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, keys, size = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names, at = np.unique(np.concatenate(found), return_inverse=True)
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            order = np.argsort(at, kind="stable")
+            texts, own = pa.array(names.tolist(), pa.string()), pa.array(keys, kind)
+            for s in range(0, len(order), 100_000):
+                part = order[s : s + 100_000]
+                yield pa.RecordBatch.from_arrays([texts.take(pa.array(at[part])), own.take(pa.array(owner[part]))], names=["gram", key])
+            found.clear()
+            keys.clear()
+
+        for batch in parts(batches):
+            kind = batch.schema.field(key).type
+            for k, low in zip(batch.column(key).to_pylist(), batch.column("__low").to_pylist(), strict=True):
+                own = grams(low.decode("utf-8", "replace"), q)
+                if len(own):
+                    found.append(own)
+                    keys.append(k)
+                    size += len(own)
+                if size >= RUN:
+                    yield from out()
+                    size = 0
+        if found:
+            yield from out()
+
+    return run
 
 
 def index(df: DataFrame, key: str, text: str = "text", q: int = Q) -> DataFrame:
-    """(gram, key) of every text, sorted and written. A gram that all texts have is dealt over files by its keys. Null texts have none."""
-    pairs = df.select(key, F.explode(grams(F.lower(F.coalesce(text, F.lit(""))), q)).alias("gram")).select("gram", key)
-    return written(pairs.repartitionByRange("gram", key).sortWithinPartitions("gram", key))
+    """(gram, key) of every text, written where the text is, in runs sorted by gram: nothing is shuffled, and a filter on grams reads
+    a few pages of each run. Null texts have none."""
+    rows = df.select(key, F.lower(F.coalesce(text, F.lit(""))).cast("binary").alias("__low"))
+    return written(rows.mapInArrow(_listed(key, q), f"gram string, {key} {df.schema[key].dataType.simpleString()}"))
 
 
 def candidates(postings: DataFrame, terms: list[str], key: str, q: int = Q) -> DataFrame:
@@ -33,16 +85,16 @@ def candidates(postings: DataFrame, terms: list[str], key: str, q: int = Q) -> D
     low = sorted({t.lower() for t in terms if t})
     own = {t: sorted({t[i : i + q] for i in range(len(t) - q + 1)}) for t in low if len(t) >= q}
     short = [t for t in low if len(t) < q]
-    parts = []
+    lists = []
     if own:
         wanted = postings.sparkSession.createDataFrame([(t, g, len(gs)) for t, gs in own.items() for g in gs], "term string, gram string, needs int")
         some = postings.filter(F.col("gram").isin(sorted({g for gs in own.values() for g in gs})))
         have = some.join(F.broadcast(wanted), "gram").groupBy("term", key).agg(F.count_distinct("gram").alias("n"), F.first("needs").alias("needs"))  # wanted: the question's grams
-        parts.append(have.filter("n = needs").select("term", key))
+        lists.append(have.filter("n = needs").select("term", key))
     for t in short:
-        parts.append(postings.filter(F.contains("gram", F.lit(t))).select(F.lit(t).alias("term"), key).distinct())
+        lists.append(postings.filter(F.contains("gram", F.lit(t))).select(F.lit(t).alias("term"), key).distinct())
     out = postings.limit(0).select(F.col("gram").alias("term"), key)
-    for p in parts:
+    for p in lists:
         out = out.unionByName(p)
     return out
 

@@ -58,3 +58,39 @@ def test_quantised_search_reaches_recall_with_few_comparisons(spark):
     assert 100 / n < 0.1  # exact comparisons a question
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert quantize.fit(empty) is None
+
+
+def test_postings_are_written_without_a_shuffle(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["aXbX", "\U0001d518\U0001d518\U0001d518b", "", None, "ab", "İstanbul", "xyzxyz"])]
+    docs = spark.createDataFrame(rows, "k int, text string")
+    plans = []
+    monkeypatch.setattr(postings, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    got = {(r.gram, r.k) for r in postings.index(docs, "k").collect()}
+    low = {r.k: r.t for r in docs.select("k", F.lower("text").alias("t")).collect() if r.t}
+    assert got == {(t[i : i + 3], k) for k, t in low.items() for i in range(max(1, len(t) - 2))}
+    assert "Exchange" not in plans[0]
+
+
+def test_tasks_send_keys_in_turns(spark):
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.standard_normal((600, 8)))], "k long, embedding array<double>").repartition(3)
+    book, asked = quantize.fit(df), df.filter("k % 20 = 0").withColumnRenamed("k", "query")
+    runs = [quantize.search(quantize.index(df, book, "k"), asked, book, 5, "k", probes=20, refine=30, most=m) for m in (1 << 20, 50)]
+    one, two = (sorted(map(tuple, x.collect())) for x in runs)
+    assert one == two and len(one) == 150
+    plan = runs[0]._jdf.queryExecution().analyzed().toString()
+    assert all("embedding" not in x.split("),")[-1].split("[", 1)[1] for x in plan.splitlines() if "MapInArrow run" in x and "rough" in x)
+
+
+def test_a_cell_meets_its_questions_in_products(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, x.tolist()) for i, x in enumerate(r.standard_normal((400, 6)))]
+    df = spark.createDataFrame(rows, "k long, embedding array<double>")
+    centres = retrieval.ivf_fit(df, cells=9)
+    found = retrieval.ivf_search(retrieval.ivf_assign(df, centres, "k"), df.filter("k < 40"), centres, 4, "k", probes=3)
+    x = np.array([v for _, v in rows])
+    cell = lambda v, n: np.argsort(-2 * v @ centres.T + (centres**2).sum(1), kind="stable")[:n].tolist()
+    own = [cell(v, 1)[0] for v in x]
+    want = [(i, k, d) for i in range(40) for d, k in sorted((round(float(((x[k] - x[i]) ** 2).sum()), 6), k) for k in range(400) if own[k] in cell(x[i], 3))[:4]]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
