@@ -49,10 +49,10 @@ def _listed(key: str, q: int):
             names, at = np.unique(np.concatenate(found), return_inverse=True)
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             order = np.argsort(at, kind="stable")
-            texts, own = pa.array(names.tolist(), pa.string()), pa.array(keys, kind)
-            for s in range(0, len(order), 100_000):
-                part = order[s : s + 100_000]
-                yield pa.RecordBatch.from_arrays([texts.take(pa.array(at[part])), own.take(pa.array(owner[part]))], names=["gram", key])
+            texts, own = pa.array(names.tolist(), pa.string()), pa.array(keys, kind).take(pa.array(owner[order]))
+            first = np.searchsorted(at[order], np.arange(len(names) + 1)).astype(np.int32)
+            rows = pa.RecordBatch.from_arrays([texts, pa.ListArray.from_arrays(pa.array(first), own)], names=["gram", "keys"])
+            yield from parts(iter([rows]))
             found.clear()
             keys.clear()
 
@@ -74,10 +74,10 @@ def _listed(key: str, q: int):
 
 
 def index(df: DataFrame, key: str, text: str = "text", q: int = Q) -> DataFrame:
-    """(gram, key) of every text, written where the text is, in runs sorted by gram: nothing is shuffled, and a filter on grams reads
-    a few pages of each run. Null texts have none."""
+    """(gram, keys) of every text, written where the text is, in runs sorted by gram: nothing is shuffled, and a filter on grams reads
+    a few pages of each run. A gram has a list in each run, of the run's texts at most. Null texts have none."""
     rows = df.select(key, F.lower(F.coalesce(text, F.lit(""))).cast("binary").alias("__low"))
-    return written(rows.mapInArrow(_listed(key, q), f"gram string, {key} {df.schema[key].dataType.simpleString()}"))
+    return written(rows.mapInArrow(_listed(key, q), f"gram string, keys array<{df.schema[key].dataType.simpleString()}>"))
 
 
 def candidates(postings: DataFrame, terms: list[str], key: str, q: int = Q) -> DataFrame:
@@ -89,11 +89,11 @@ def candidates(postings: DataFrame, terms: list[str], key: str, q: int = Q) -> D
     if own:
         wanted = postings.sparkSession.createDataFrame([(t, g, len(gs)) for t, gs in own.items() for g in gs], "term string, gram string, needs int")
         some = postings.filter(F.col("gram").isin(sorted({g for gs in own.values() for g in gs})))
-        have = some.join(F.broadcast(wanted), "gram").groupBy("term", key).agg(F.count_distinct("gram").alias("n"), F.first("needs").alias("needs"))  # wanted: the question's grams
+        have = some.join(F.broadcast(wanted), "gram").select("term", "gram", "needs", F.explode("keys").alias(key)).groupBy("term", key).agg(F.count_distinct("gram").alias("n"), F.first("needs").alias("needs"))  # wanted: the question's grams
         lists.append(have.filter("n = needs").select("term", key))
     for t in short:
-        lists.append(postings.filter(F.contains("gram", F.lit(t))).select(F.lit(t).alias("term"), key).distinct())
-    out = postings.limit(0).select(F.col("gram").alias("term"), key)
+        lists.append(postings.filter(F.contains("gram", F.lit(t))).select(F.lit(t).alias("term"), F.explode("keys").alias(key)).distinct())
+    out = postings.limit(0).select(F.col("gram").alias("term"), F.explode("keys").alias(key))
     for p in lists:
         out = out.unionByName(p)
     return out
