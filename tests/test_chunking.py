@@ -93,3 +93,14 @@ def test_long_turns_are_packed_too(spark, tmp_path):
     own = {c: [(titles, text) for k, _, titles, text in got if k == c] for c in (1, 2)}
     assert own[1][0] == ("user", "short") and own[1][-1] == ("user", "end")
     assert " ".join(t for _, t in own[1][1:-1]) == " ".join(t for _, t in own[2]) == long and {t for t, _ in own[2]} == {"bot"}
+
+
+def test_batches_are_halved_to_bounded_bytes():
+    import pyarrow as pa
+
+    from corpuscle.operators import batches
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(40)), "t": ["x" * (5000 if k == 7 else 50) for k in range(40)], "c": [["y" * 9] * 3 for _ in range(40)]})
+    found = list(batches.parts(iter([batch, batch.slice(0, 0)]), 1000))
+    assert pa.Table.from_batches(found).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or p.nbytes <= 1000 for p in found) and len(found) > 5
