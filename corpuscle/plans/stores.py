@@ -48,8 +48,8 @@ def embed_stream(spark, sf_dir):
     """All documents embedded by a stream over files; the progress table against the vectors."""
     source, to = _folder(spark, "docs"), _folder(spark, "vectors")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.repartition(4, "doc_id").write.parquet(source)
-    embedding.run(spark, source, "doc_id long, text string", "doc_id", "text", to, files=2)
+    docs.repartition("doc_id").write.parquet(source)  # files of a bounded size, more of them for more documents
+    embedding.run(spark, source, "doc_id long, text string", "doc_id", "text", to, files=16)
     done = embedding.progress(spark, to).agg(F.sum("n_vectors").alias("done"))
     have = embedding.vectors(spark, to).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_keys"))
     return have.crossJoin(done).select("n", "n_keys", (F.col("done") == F.col("n")).alias("complete"))  # one row each

@@ -43,3 +43,20 @@ def test_embedding_that_breaks_off_embeds_each_row_once(spark, tmp_path):
     done = embedding.progress(spark, to)
     assert done.count() == 4 and done.select("file").distinct().count() == 4 and done.agg(F.sum("n_vectors")).first()[0] == 40
     assert sorted(r.id for r in embedding.vectors(spark, to).collect()) == list(range(40))
+
+
+def test_documents_are_dealt_by_size_into_files(spark, sf, monkeypatch):
+    from corpuscle.plans import stores
+
+    seen = []
+    monkeypatch.setattr(stores.embedding, "run", lambda spark, source, *a, f=stores.embedding.run, **k: seen.append(spark.read.parquet(source)) or f(spark, source, *a, **k))
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(least)
+    spark.conf.set(least, "4k")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert stores.embed_stream(spark, sf).first().complete
+    finally:
+        spark.conf.set(least, before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(seen[0].inputFiles()) > 4
