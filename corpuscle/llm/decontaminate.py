@@ -24,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -385,12 +386,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     return out
 
 
-def _keep(shared):
+def _keep(shared, column: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in slices(batches, f"{OWN}text", 2 << 20):
-            found = index.search([t.decode("utf-8", "replace") for t in batch.column(f"{OWN}text").to_pylist()])
-            yield batch.filter(pa.array([not x for x in found])).drop_columns([f"{OWN}text"])
+        for batch in slices(batches, column, 2 << 20):
+            texts = pc.fill_null(batch.column(column).cast(pa.binary()), b"")
+            found = index.search([t.decode("utf-8", "replace") for t in texts.to_pylist()])
+            yield batch.filter(pa.array([not x for x in found])).select(names)
 
     return run
 
@@ -404,7 +406,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
     """
     for index in blocks(benchmark, p):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.withColumn(f"{OWN}text", raw_text()).mapInArrow(tidy(_keep(shared)), docs.schema)
+        plain = docs.schema["text"].dataType.simpleString() == "string"  # then the text goes to Python once
+        rows = docs if plain else docs.withColumn(f"{OWN}text", raw_text())
+        docs = rows.mapInArrow(tidy(_keep(shared, "text" if plain else f"{OWN}text", docs.columns)), docs.schema)
     return docs
 
 

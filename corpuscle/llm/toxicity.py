@@ -18,6 +18,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -340,13 +341,14 @@ def learn(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Chain:  #
     return chain.trimmed(len(chosen[-1]))
 
 
-def _predict(shared):
+def _predict(shared, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: Chain = shared.value
         terms = Terms(chain.terms, chain.p)
         names = [f"{OWN}{c}" for c in chain.p.categories]
-        for batch in slices(batches, f"{OWN}text", 2 << 20):
-            chances = chain.predict(rows_of(*terms.count(batch.column(f"{OWN}text").to_pylist()), len(chain.terms)))
+        for batch in slices(batches, column, 2 << 20):
+            texts = pc.fill_null(batch.column(column).cast(pa.binary()), b"")
+            chances = chain.predict(rows_of(*terms.count(texts.to_pylist()), len(chain.terms)))
             columns = {c: batch.column(c) for c in batch.schema.names if c != f"{OWN}text"}
             columns |= {c: pa.array(chances[:, i]) for i, c in enumerate(names)}
             yield pa.RecordBatch.from_pydict(columns)
@@ -361,9 +363,10 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     Very long texts are read whole, in runs. Repeated rows each return; an empty table returns no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    rows = docs.withColumn(f"{OWN}text", raw_text())
+    plain = docs.schema["text"].dataType.simpleString() == "string"  # then the text goes to Python once
+    rows = docs if plain else docs.withColumn(f"{OWN}text", raw_text())
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(tidy(_predict(shared)), kinds + "".join(f", {OWN}{c} double" for c in chain.p.categories))
+    return rows.mapInArrow(tidy(_predict(shared, "text" if plain else f"{OWN}text")), kinds + "".join(f", {OWN}{c} double" for c in chain.p.categories))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008

@@ -172,3 +172,13 @@ def test_no_passage_spans_two_documents():
     assert index.search([own[:96]])[0]
     for cut in (20, 48, 70):
         assert index.search([own[:cut], own[cut:96], "x"]) == [[], [], []]
+
+
+def test_the_text_goes_to_python_once(spark):
+    from corpuscle.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a passage of the benchmark that is long enough")], "item_id long, text string")
+    out = decontaminate.keep_clean(docs, items)
+    assert sorted(map(tuple, out.collect())) == [(1, "some words"), (2, None)]
+    assert "__cc_text" not in out._jdf.queryExecution().optimizedPlan().toString()
