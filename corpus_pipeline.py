@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm import bpe, decontaminate, linededup, simhash, toxicity
 from corpuscle.llm.common import materialize
-from corpuscle.session import shipped
+from corpuscle.session import bounded, shipped
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +49,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids; null and empty texts have no ids. Extra columns end here."""
-    return bpe.encode_decode(docs).drop("decoded")
+    return bpe.encode_decode(docs, decoded=False)
 
 
 STAGES = [
-    ("toxicity", shipped(drop_toxic)),
-    ("line_dedup", shipped(drop_repeated_lines)),
-    ("simhash_near_dedup", shipped(drop_near_duplicates)),
-    ("decontamination", shipped(drop_contaminated)),
-    ("bpe", shipped(encode)),
+    ("toxicity", shipped(bounded(drop_toxic))),
+    ("line_dedup", shipped(bounded(drop_repeated_lines))),
+    ("simhash_near_dedup", shipped(bounded(drop_near_duplicates))),
+    ("decontamination", shipped(bounded(drop_contaminated))),
+    ("bpe", shipped(bounded(encode))),
 ]
 
 #: A trained classifier, near-duplicate groups and BPE are beyond SQL; tests hold the stages to brute force.

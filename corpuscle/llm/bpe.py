@@ -77,6 +77,10 @@ class Memory:
     def __init__(self, most: int = REMEMBERED):
         self.most, self.young, self.old = most, {}, {}
 
+    def forget(self) -> None:
+        """After a task: a worker that waits holds the codec only."""
+        self.young, self.old = {}, {}
+
     def settle(self) -> None:
         """After a batch: long fragments aren't kept, a full generation grows old."""
         if len(self.young) >= self.most:
@@ -141,6 +145,9 @@ class Codec:
         self._memory = Memory()
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def forget(self) -> None:
+        self._memory.forget()
+
     def forced(self, piece: bytes) -> list[bytes]:
         """The piece, cut at every byte pair that no token contains."""
         inside, cuts = self.inside, [0]
@@ -195,10 +202,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _run(path: str | None, keep: bool):
+def _run(path: str | None, keep: bool, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(path or default_path()), hashlib.sha256
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids = [c.encode(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
             back = [c.decode(x) for x in ids]
             columns = {
@@ -208,14 +215,17 @@ def _run(path: str | None, keep: bool):
                 "decoded_sha256": pa.array([sha(t.encode()).hexdigest() for t in back]),
             }
             if keep:
-                columns |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(back)}
+                columns["ids"] = pa.array(ids, pa.binary())
+            if keep and decoded:
+                columns["decoded"] = pa.array(back)
             yield pa.RecordBatch.from_pydict(columns)
+        c.forget()
 
     return run
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if `keep`, ids and decoded.
+def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = True, decoded: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if `keep`, ids and (if `decoded`) decoded.
 
     ids holds little-endian unsigned 32-bit integers. Null and empty texts have no ids and the
     digests of nothing. No row moves: it is one pass without a shuffle. `path`: the tokenizer
@@ -224,8 +234,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = True) -
     texts encode whole, part by part at certain cuts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
-    return docs.select("doc_id", raw_text().alias("text")).mapInArrow(tidy(_run(path, keep)), schema)
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep + ", decoded string" * (keep and decoded)
+    return docs.select("doc_id", raw_text().alias("text")).mapInArrow(tidy(_run(path, keep, decoded)), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

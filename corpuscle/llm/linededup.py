@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, discard, materialize, raw_text, slices, tie
+from .common import OWN, discard, materialize, raw_text, slices, tidy, tie
 
 MIN_WORDS = 50
 
@@ -52,7 +52,7 @@ def line_spans(words: np.ndarray, least: int) -> list[list[int]]:
 def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             counts, ids, spans = [], [], []
             for text in batch.column("text").to_pylist():
                 own = [s for line in text.split(b"\n") if (s := line.strip())]
@@ -89,13 +89,15 @@ def ranked(groups: DataFrame, keys: list[str]) -> DataFrame:
     spark = groups.sparkSession
     placed = groups.repartitionByRange(*keys).sortWithinPartitions(*keys)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema.fields)
-    placed = materialize(placed.mapInArrow(_cumulate, f"{kinds}, part int, inside long"))
+    placed = materialize(placed.mapInArrow(tidy(_cumulate), f"{kinds}, part int, inside long"))
     totals = sorted(map(tuple, placed.groupBy("part").agg(F.sum("n")).collect()))
     base, at = [(-1, 0)], 0
     for part, n in totals:
         base.append((part, at))
         at += n
-    starts = spark.createDataFrame(base, "part int, base long")
+    # From Arrow: of a list Spark makes Python tasks of the RDD kind, whose workers would stay beside the others.
+    parts, bases = zip(*base, strict=True)
+    starts = spark.createDataFrame(pa.table({"part": pa.array(parts, pa.int32()), "base": pa.array(bases, pa.int64())}))
     return placed.join(F.broadcast(starts), "part").withColumn("rank", F.col("base") + F.col("inside")).drop("part", "base", "inside")
 
 
@@ -146,7 +148,7 @@ def _runs(level: int):
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tie, pos, n): every run of n lines from line pos (lines with words, from 0) that came before."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie("text").alias("tie"), raw_text().alias("text"))
-    lines = materialize(rows.mapInArrow(_lines(min_words), "doc_id long, tie long, pos int, line binary, spans array<int>"))
+    lines = materialize(rows.mapInArrow(tidy(_lines(min_words)), "doc_id long, tie long, pos int, line binary, spans array<int>"))
     shared = lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1")
     first = materialize(ranked(shared, ["line"]).select("line", "rank"))
     ranks = materialize(lines.join(first, "line").select("doc_id", "tie", "pos", "rank", "spans"))
@@ -154,7 +156,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = []
     for level in range(max(1, min_words.bit_length())):
         ordered = ranks.repartition("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "pos")
-        runs = materialize(ordered.mapInArrow(_runs(level), "doc_id long, tie long, pos int, n int, r1 long, r2 long"))
+        runs = materialize(ordered.mapInArrow(tidy(_runs(level)), "doc_id long, tie long, pos int, n int, r1 long, r2 long"))
         named = runs.filter("n > 0")
         place = F.struct("doc_id", "tie", "pos")
         intervals = named.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
@@ -173,7 +175,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop the runs' lines from the text; texts without runs pass as they are, null included."""
-    for batch in batches:
+    for batch in slices(batches, "text", 2 << 20):
         texts, runs = batch.column("text").to_pylist(), batch.column(f"{OWN}runs").to_pylist()
         out, lines, deleted = [], [], []
         for text, own in zip(texts, runs, strict=True):
@@ -202,7 +204,7 @@ def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     same = rows["doc_id"].eqNullSafe(runs[f"{OWN}id"]) & (rows[f"{OWN}tie"] == runs[f"{OWN}of"])
     joined = rows.join(runs, same, "left").select(*docs.columns, f"{OWN}runs")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.drop(f"{OWN}runs").schema.fields)
-    return joined.mapInArrow(_delete, f"{kinds}, {OWN}lines long, {OWN}deleted long")
+    return joined.mapInArrow(tidy(_delete), f"{kinds}, {OWN}lines long, {OWN}deleted long")
 
 
 def keep_remaining(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

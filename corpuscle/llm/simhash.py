@@ -191,7 +191,7 @@ def jaccard(one: np.ndarray, two: np.ndarray) -> float:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             prints = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tie"), pa.array(prints.view(np.int64))],
@@ -203,7 +203,7 @@ def _fingerprints(shingle: int):
 
 def _sketches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             prints, found = [], []
             for t in batch.column("text").to_pylist():
                 parts = list(hashed(t, shingle))
@@ -223,7 +223,7 @@ def _sketches(shingle: int):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             found = [distinct(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(found, pa.binary())], names=["t", "set"])
 
@@ -319,8 +319,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sketches: bool = False
 def links(prints: DataFrame, blocks: int | None = None) -> DataFrame:
     """(a, b) of all linked distinct fingerprints, a < b, each once. `prints`: one column fp, distinct."""
     blocks = blocks or (2 if prints.count() < MANY else 3)
-    home = prints.mapInArrow(_anchored(blocks, home=True), "anchor long, fp long")
-    near = prints.mapInArrow(_anchored(blocks, home=False), "anchor long, fp long").withColumnRenamed("fp", "fp2")
+    home = prints.mapInArrow(tidy(_anchored(blocks, home=True)), "anchor long, fp long")
+    near = prints.mapInArrow(tidy(_anchored(blocks, home=False)), "anchor long, fp long").withColumnRenamed("fp", "fp2")
     return home.join(
         shuffled(near), (home.anchor == near.anchor) & (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= THRESHOLD)
     ).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))

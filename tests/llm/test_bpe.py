@@ -104,3 +104,12 @@ def test_other_files_are_refused(tmp_path):
         else:
             with pytest.raises(ValueError, match="can't be cut"):
                 bpe.Codec(str(path))
+
+
+def test_a_waiting_worker_remembers_no_fragments():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array([b"some words that are remembered"])})
+    assert [b.num_rows for b in bpe._run(None, True, False)(iter([batch]))] == [1]
+    memory = bpe.codec(bpe.default_path())._memory
+    assert not memory.young and not memory.old

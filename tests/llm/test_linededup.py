@@ -74,3 +74,10 @@ def test_edge_rows(spark):
     left = d.keep_remaining(df)
     assert left.columns == df.columns and sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 2, 9, 11, 12]
     assert d.keep_remaining(df.limit(0)).count() == 0
+
+
+def test_ranks_start_no_python_tasks_of_the_rdd_kind(spark):
+    groups = spark.createDataFrame([(b"a", 2), (b"b", 3), (b"c", 4)], "line binary, n long")
+    got = d.ranked(groups, ["line"])
+    assert {bytes(r.line): r.rank for r in got.collect()} == {b"a": 0, b"b": 2, b"c": 5}
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,7 @@ import hashlib
 import struct
 
 import corpus_pipeline as pipe
+import pyarrow as pa
 import __spark_entry__ as entry
 from corpuscle.llm import bpe, simhash
 from tokenizers import Tokenizer
@@ -78,3 +79,20 @@ def test_near_copies_go_by_similarity(spark, sf):
     groups, by_bits = near_groups(text), near_groups(text, 2.0)
     kept = {r.doc_id: r.text for r in pipe.drop_near_duplicates(spark, docs, sf).collect()}
     assert kept == {i: text[i] for i, g in groups.items() if g == i} and len(kept) < len(set(by_bits.values()))
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark, sf):
+    own = spark.newSession()
+    pipe.STAGES[-1][1](own, own.read.parquet(f"{sf}/documents.parquet"), sf)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches)
+    texts = own.range(0, 9_000, 1, 1).selectExpr("repeat('x', 2000) AS text")
+    got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 18_000_000 and max(got) < 5_000_000
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    pipe.STAGES[-1][1](own, own.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+
+
+def test_no_stage_sends_decoded_texts(spark, sf):
+    plan = pipe.encode(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)._jdf.queryExecution().analyzed().toString()
+    assert "decoded_sha256" in plan and "decoded#" not in plan
